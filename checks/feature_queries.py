@@ -237,8 +237,8 @@ WITH a AS (SELECT *, event_id + CASE WHEN event_id % 10 = 0 THEN 25 ELSE 0 END A
 w AS (SELECT *, lag(us) OVER o AS prev, first_value(us) OVER o AS first_us, row_number() OVER o AS rn,
              max(us) OVER (PARTITION BY user_id ORDER BY arrival, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
       FROM a WINDOW o AS (PARTITION BY user_id ORDER BY arrival, transaction_id))
-SELECT transaction_id, round(ln(1 + CASE WHEN prev IS NULL THEN 30*86400 ELSE greatest(us - prev, 0) / 1e6 END), 6) AS log_secs_since_last_tx,
- round(CASE WHEN rn = 1 THEN 0 ELSE ln(1 + greatest(us - first_us, 0) / 86400e6) END, 6) AS log_history_days,
+SELECT transaction_id, round(ln(1 + CASE WHEN prev IS NULL THEN 30*86400 ELSE greatest(us - prev, 0) / 1e6 END) + 1e-9, 6) AS log_secs_since_last_tx,
+ round(CASE WHEN rn = 1 THEN 0 ELSE ln(1 + greatest(us - first_us, 0) / 86400e6) END + 1e-9, 6) AS log_history_days,
  coalesce(us < top, false) AS late FROM w""")
 
 

@@ -278,9 +278,8 @@ def build_features(tx: DataFrame, users: DataFrame, period_start: str | None = N
     `period_start` anchors the account age; by default the day of the first transaction. Features are
     FLOAT; `precise` keeps DOUBLE. `extra` transaction columns are carried along.
     """
-    extra = tuple(e for e in extra if e not in INPUT_COLUMNS)
-    labels = [n for n in ("is_fraud", "fraud_type") if n in tx.columns and n not in extra]
-    carried = [*labels, *extra]
+    wanted = [n for n in ("is_fraud", "fraud_type") if n in tx.columns and n not in extra] + list(extra)
+    carried = [n for n in wanted if n not in INPUT_COLUMNS]
     tx = tx.select(*INPUT_COLUMNS, *carried)
     shared = _links(tx, DEVICE + WALLET + AGENT)
     own = _links(tx, PROVINCE + MERCHANT)
@@ -296,5 +295,5 @@ def build_features(tx: DataFrame, users: DataFrame, period_start: str | None = N
     meta = [n for n in META_COLUMNS if n in INPUT_COLUMNS or n in carried]
     return history.select(
         *[(F.col(n) if n == "user_id" else F.col(f"tx.{n}")).alias(n) for n in meta],
-        *[F.col(f"tx.{n}").alias(n) for n in carried if n not in meta], "known_user",
+        *[F.col(f"tx.{n}").alias(n) for n in wanted if n not in meta], "known_user",
         *[c.cast(kind).alias(n) for n, c in features.items()])
