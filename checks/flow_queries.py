@@ -1,6 +1,8 @@
 """Ingest (I*), sources and sinks (S*), cases and audit (K*), monitoring (W*), audit list (Q12)."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.feature_queries import rounded
@@ -89,7 +91,8 @@ def i5(spark, d):
         part = raw.select(F.lit(name).alias("provider"), F.get_json_object("raw", a).alias("id"),
                           F.get_json_object("raw", b).alias("code"), F.get_json_object("raw", c).alias("third"))
         out = part if out is None else out.unionByName(part)
-    return out
+    # AT is a keyword in DuckDB
+    return {n: (run, re.sub(r'(?<!")\bat\b(?!")', '"at"', sql) if n.startswith("w") else sql) for n, (run, sql) in out.items()}
 
 
 def _case(table: dict) -> str:
@@ -105,11 +108,11 @@ UNION ALL SELECT 'visa', transaction_id, {_case(ig.VISA_TYPES)}, CAST(CAST(round
 
 def i6(spark, d):
     tx = transactions(spark, d).withColumn("code", F.expr("CASE event_id % 4 WHEN 0 THEN 'usd' WHEN 1 THEN 'CDF' WHEN 2 THEN 'cdf' ELSE 'EUR' END"))
-    usd = ig.to_usd(F.col("amount") * 3, F.col("code"))
+    usd = ig.to_usd(F.col("amount") * 3 + 0.00001, F.col("code"))
     return tx.select("transaction_id", F.round(usd + 1e-9, 2).alias("amount_usd"), usd.isNull().alias("rejected"))
 
 
-I6_SQL = duck("""SELECT transaction_id, round(CASE event_id % 4 WHEN 0 THEN amount * 3 WHEN 3 THEN NULL ELSE amount * 3 / 2850.0e0 END + 1e-9, 2) AS amount_usd,
+I6_SQL = duck("""SELECT transaction_id, round(CASE event_id % 4 WHEN 0 THEN amount * 3 + 0.00001e0 WHEN 3 THEN NULL ELSE (amount * 3 + 0.00001e0) / 2850.0e0 END + 1e-9, 2) AS amount_usd,
   event_id % 4 = 3 AS rejected FROM tx""")
 
 
@@ -185,9 +188,10 @@ def i14(spark, d):
 
 
 def _ingested(spark, d):
-    parsed = ig.union_sources({n: _messages(spark, d, n) for n in ig.PROVIDERS})
+    parsed = materialise(ig.union_sources({n: _messages(spark, d, n) for n in ig.PROVIDERS}), "parsed")
     valid, _ = ig.split_valid(parsed)
-    scored = fact(spark, d).filter("event_id % 20 <> 3")
+    scored = materialise(fact(spark, d).filter("event_id % 20 <> 3").select(
+        "transaction_id", "action", "risk_level", "reason", "fraud_probability"), "scored")
     return parsed, ig.with_fallback(valid, scored)
 
 
@@ -247,12 +251,12 @@ def s5(spark, d):
     return e.select("transaction_id", F.unix_micros(F.col("tx_time").cast("timestamp")).alias("tx_us"), "user_id", "channel", "operator",
                     "tx_type", "access_channel", "currency", "amount_usd", "province", "device_id", "counterparty_id", "agent_id",
                     "merchant_id", "risk_level", "action", "reason", F.concat_ws("|", "rules_triggered").alias("rules_triggered"),
-                    "model_version", "latency_ms", "degraded", F.round(F.element_at("features", F.lit("amount_to_kyc_limit")), 4).alias("kyc"))
+                    "model_version", "latency_ms", "degraded", F.element_at("features", F.lit("is_new_device")).alias("new_device"))
 
 
 S5_SQL = scored_sql("""SELECT s.transaction_id, epoch_us(s.timestamp) AS tx_us, s.user_id, s.channel, s.operator, s.tx_type, s.access_channel, s.currency, s.amount_usd, s.province,
  s.device_id, tx.counterparty_id, tx.agent_id, tx.merchant_id, risk_level, action, reason, array_to_string(rules, '|') AS rules_triggered, 'rules' AS model_version,
- s.latency_ms, degraded, round(round(amount_to_kyc_limit, 5), 4) AS kyc FROM scored s JOIN tx USING (transaction_id)""")
+ s.latency_ms, degraded, CAST(is_new_device AS DOUBLE) AS new_device FROM scored s JOIN tx USING (transaction_id)""")
 
 
 def s6(spark, d):
@@ -367,7 +371,7 @@ f AS (
                    WHEN asks AND status IN ('FRAUDE_CONFIRMEE','FAUX_POSITIF') AND coalesce(note, '') = '' AND nt = '' THEN 'une note de résolution est obligatoire' END AS rr
     FROM (SELECT n.case_id, n.pos, n.seq, n.status, n.note, f.st, f.nt, n.status IS NOT NULL AND n.status <> f.st AS asks
           FROM f JOIN n ON n.case_id = f.case_id AND n.pos = f.pos + 1)))
-SELECT case_id, seq, accepted, reject_reason, st AS status_after FROM f WHERE pos > 0""").replace("WITH tx AS", "WITH RECURSIVE tx AS", 1).replace(",\nRECURSIVE rq", ",\nrq")
+SELECT case_id, seq, accepted, reject_reason, st AS status_after FROM f WHERE pos > 0""").replace("WITH tx AS", "WITH RECURSIVE tx AS MATERIALIZED", 1).replace(",\nRECURSIVE rq AS", ",\nrq AS").replace("n AS (SELECT *, row_number()", "n AS MATERIALIZED (SELECT *, row_number()")
 
 
 def _audit(spark, d):
@@ -402,7 +406,7 @@ K6_SQL = duck(f"WITH {AUDIT.strip()} SELECT event_id, actor, action, entity, ent
 
 def k7(spark, d):
     a = _audit(spark, d)
-    seen = a.filter("event_id LIKE 'f%'").select("event_id")
+    seen = a.filter("event_id LIKE 'f%' AND length(event_id) < 64").select("event_id")
     return au.drop_repeats(a, seen).select(F.when(F.length("event_id") < 64, F.col("event_id")).alias("event_id"), "entity_id")
 
 
@@ -432,7 +436,7 @@ ch AS (
 
 
 def chain_sql(body: str) -> str:
-    return duck(f"WITH {CHAIN.strip()}\n{body}").replace("WITH tx AS", "WITH RECURSIVE tx AS", 1)
+    return duck(f"WITH {CHAIN.strip()}\n{body}").replace("WITH tx AS", "WITH RECURSIVE tx AS MATERIALIZED", 1).replace("lg AS (", "lg AS MATERIALIZED (", 1)
 
 
 def k8(spark, d):
@@ -595,4 +599,5 @@ def build() -> dict:
         "w4_rates": (w4, W4_SQL), "w5_probability_histogram": (w5, scored_sql(_histogram_sql("p", mo.PROBABILITY_BUCKETS))), "w6_provider_latency": (w6, W6_SQL),
         "w7_drift_alarm": (w7, W7_SQL), "w8_latency_histogram": (w8, scored_sql(_histogram_sql("latency_ms / 1000", mo.LATENCY_BUCKETS))),
     }
-    return out
+    # AT is a keyword in DuckDB
+    return {n: (run, re.sub(r'(?<!")\bat\b(?!")', '"at"', sql) if n.startswith("w") else sql) for n, (run, sql) in out.items()}
