@@ -7,8 +7,7 @@ along its order; each slice is a window of its own and receives the total of the
          ──► window inside (key, slice)
          ──► one total per (key, slice), prefix over slices, added back
 
-The result does not depend on where the cuts fall, so cuts come from a cheap frequent-items sketch
-and a bounded row sample.
+The result does not depend on where the cuts fall, so they come from a bounded row sample.
 """
 from __future__ import annotations
 
@@ -29,8 +28,8 @@ class SkewPolicy:
     """When to cut a key. At most `max_slices` keys can each hold 1/`max_slices` of the rows, so the
     cut table and the slice totals have a few times `max_slices` rows at most and may be broadcast."""
     min_rows: int = 2_000_000        # a smaller key always fits one task
-    max_slices: int = 8192
-    sample_per_slice: int = 16
+    max_slices: int = 32_768
+    sample_per_slice: int = 32
     small_bytes: int = 64 << 20      # input files below this are not inspected at all
 
 
@@ -51,38 +50,30 @@ def slice_plan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame | None:
     """Cut points (`__h`, `__cuts`) of the keys that are too large for one task, or None.
 
-    One pass counts the rows and sketches frequent keys; a second, only if a key is too large,
-    samples that key's order columns.
+    A count, and a sample of about `sample_per_slice` rows per slice: a key with more sampled rows than
+    that is too large, and its sampled rows give the cuts. The sample has at most `sample_per_slice *
+    max_slices` rows, whatever the table holds.
     """
     if input_bytes(df) < policy.small_bytes:
         return None
     spark = df.sparkSession
     narrow = df.select(_key_hash(keys).alias("__h"), F.struct(*order).alias("__o"))
-    if keys:
-        tracked = 8 * policy.max_slices
-        row = narrow.select(
-            F.count("*").alias("n"),
-            F.expr(f"approx_top_k(__h, {policy.max_slices}, {tracked})").alias("top")).first()
-        total, frequent = row.n, [(item["item"], item["count"]) for item in row.top or []]
-    else:
-        total = narrow.count()
-        frequent = [(0, total)]
+    total = narrow.count()
     target = max(policy.min_rows, -(-total // policy.max_slices))
-    hot = [h for h, n in frequent if n > target]
+    if total <= target:
+        return None
+    step, grain = policy.sample_per_slice, 1 << 30
+    sampled = narrow.filter(F.pmod(F.xxhash64("__h", "__o"), F.lit(grain)) < max(1, step * grain // target))
+    hot = [r["__h"] for r in sampled.groupBy("__h").count().filter(F.col("count") > step).select("__h").collect()]
     if not hot:
         return None
-    # every sample_per_slice-th sampled row is a cut, so a slice holds about `target` rows
-    grain = 1 << 20
-    keep = min(grain, max(1, policy.sample_per_slice * grain // target))
     hot_keys = spark.createDataFrame([(h,) for h in hot], "__h long")
-    sampled = (narrow.filter(F.pmod(F.xxhash64("__o"), F.lit(grain)) < keep)
-               .join(F.broadcast(hot_keys), "__h", "left_semi")
+    ordered = (sampled.join(F.broadcast(hot_keys), "__h", "left_semi")
                .groupBy("__h").agg(F.array_sort(F.collect_list("__o")).alias("__s")))
-    step = policy.sample_per_slice
-    cuts = sampled.select("__h", F.filter("__s", lambda _, i: i % step == step - 1).alias("__cuts"))
-    cuts = cuts.filter(F.size("__cuts") > 0)
-    rows = cuts.collect()            # at most max_slices cut points in all
-    return spark.createDataFrame(rows, cuts.schema) if rows else None
+    # every step-th sampled row is a cut, so a slice holds about `target` rows
+    cuts = ordered.select("__h", F.filter("__s", lambda _, i: i % step == step - 1).alias("__cuts"))
+    rows = cuts.collect()            # about max_slices cut points in all
+    return spark.createDataFrame(rows, cuts.schema)
 
 
 def _slice_number(cuts: Column, value: Column) -> Column:
