@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.feature_queries import rounded
 from checks.report_queries import CASES, case_table
-from checks.scored import fact, scored_sql
+from checks.scored import fact, scored_sql, stored_fact
 from checks.tables import duck, transactions
 from paywarden.functions.ids import canonical_id, to_local_naive
 from paywarden.operators import audit as au
@@ -261,7 +261,7 @@ S5_SQL = scored_sql("""SELECT s.transaction_id, epoch_us(s.timestamp) AS tx_us,
 
 def s6(spark, d):
     """A batch with repeats against a table that already holds a part."""
-    f = fact(spark, d).select("transaction_id", "event_id", "tx_time", "action", "risk_level")
+    f = stored_fact(spark, d, "transaction_id", "event_id", "tx_time", "action", "risk_level")
     twice = f.withColumn("arrival", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
         "risk_level", F.when(F.col("arrival") == 2, F.lower("risk_level")).otherwise(F.col("risk_level")))
     return ev.new_rows(twice, f.filter("event_id % 4 = 0"), "arrival").select("transaction_id", "action", "risk_level")

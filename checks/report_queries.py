@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from checks.feature_queries import _select, features, feats_sql, rounded
 from checks.model_queries import SPLIT, split_sql
-from checks.scored import THRESHOLD, fact, scored_sql, with_probability
+from checks.scored import THRESHOLD, fact, scored_sql, stored_fact
 from checks.tables import duck, profiles, transactions
 from paywarden.operators import labels as lb
 from paywarden.operators import ledger as lg
@@ -38,7 +38,7 @@ def case_table(df):
 
 
 def q1(spark, d):
-    k = rp.kpis(fact(spark, d), NOW, WEEK)
+    k = rp.kpis(stored_fact(spark, d, "scored_at", "action", "amount_usd", "latency_ms", "degraded"), NOW, WEEK)
     return k.select("volume", "approved", "verified", "blocked", "degraded", "window_minutes",
                     *rounded(k, ["amount_usd", "amount_blocked_usd", "amount_verified_usd"], 2),
                     *rounded(k, ["latency_avg_ms", "latency_p95_ms", "alert_rate"], 4))
@@ -105,7 +105,7 @@ FROM scored WHERE action <> 'APPROVE' AND {SINCE} GROUP BY user_id ORDER BY aler
 
 
 def q7(spark, d):
-    r = rp.list_transactions(fact(spark, d), page=2, size=50, channel="MOBILE_MONEY", alerts_only=True,
+    r = rp.list_transactions(stored_fact(spark, d, *rp.SUMMARY), page=2, size=50, channel="MOBILE_MONEY", alerts_only=True,
                              min_probability=0.05, labeled=True)
     return r.select("transaction_id", "user_id", "action", "risk_level", "reason", "label", "total")
 
@@ -131,7 +131,7 @@ def q9(spark, d):
 
 
 def q10(spark, d):
-    r = rp.case_queue(case_table(fact(spark, d)), page=1, size=50)
+    r = rp.case_queue(case_table(stored_fact(spark, d, "event_id", "transaction_id", "tx_time", "user_id", "channel", "tx_type", "amount_usd", "fraud_probability", "risk_level", "action")), page=1, size=50)
     return r.select("transaction_id", "status", "risk_level", "amount_usd", "total")
 
 
@@ -295,11 +295,11 @@ def labels_sql(body: str) -> str:
 
 
 def r1(spark, d):
-    return lb.resolve_labels(fact(spark, d)).select("transaction_id", "y")
+    return lb.resolve_labels(stored_fact(spark, d, "transaction_id", "tx_time", "label")).select("transaction_id", "y")
 
 
 def r2(spark, d):
-    return lb.production_split(lb.resolve_labels(fact(spark, d))).select("transaction_id", "part")
+    return lb.production_split(lb.resolve_labels(stored_fact(spark, d, "transaction_id", "tx_time", "label"))).select("transaction_id", "part")
 
 
 def r3(spark, d):
@@ -337,14 +337,15 @@ SELECT part, count(*) AS n, CAST(sum(y) AS BIGINT) AS frauds, count(cp) AS with_
 
 
 def r5(spark, d):
-    return lb.enough_labels(lb.resolve_labels(fact(spark, d)))
+    return lb.enough_labels(lb.resolve_labels(stored_fact(spark, d, "transaction_id", "tx_time", "label")))
 
 
 R5_SQL = labels_sql("SELECT count(*) AS n_labeled, CAST(sum(y) AS BIGINT) AS n_frauds, count(*) >= 2000 AND sum(y) >= 30 AS go FROM r1")
 
 
 def _evaluation(spark, d):
-    prod = materialise(lb.production_split(lb.resolve_labels(fact(spark, d))).select(
+    stored = stored_fact(spark, d, "transaction_id", "tx_time", "label", "fraud_probability", "amount_zscore_user")
+    prod = materialise(lb.production_split(lb.resolve_labels(stored)).select(
         "transaction_id", "part", "y", F.round("fraud_probability", 6).alias("champion_proba"),
         F.round(F.col("amount_zscore_user") + 1e-9, 6).alias("challenger_proba")), "evaluation")
     return prod.filter("part = 'eval'")

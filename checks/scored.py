@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.feature_queries import feats_sql, features
 from paywarden.operators.decision import Policy, decide
 from paywarden.operators.rules import rule_score
+from paywarden.session import materialise
 
 THRESHOLD = 0.3
 EXTRA = ("event_id", "latency_ms", "operator", "access_channel", "location_province", "amount", "currency",
@@ -33,6 +34,11 @@ def fact(spark, d) -> DataFrame:
         "labeled_at": F.when(label.isNotNull(), F.expr("timestamp + INTERVAL 2 DAYS"))})
 
 
+def stored_fact(spark, d, *columns: str) -> DataFrame:
+    """The fact as reports find it: written once, for queries that read it more than once."""
+    return materialise(fact(spark, d).select(*columns), "fact")
+
+
 SCORED = """
 s0 AS (
   SELECT *, CAST((amount_ratio_user_mean > ln(6)) AS INT) + is_new_device + is_night + is_near_full_drain
