@@ -91,8 +91,7 @@ def i5(spark, d):
         part = raw.select(F.lit(name).alias("provider"), F.get_json_object("raw", a).alias("id"),
                           F.get_json_object("raw", b).alias("code"), F.get_json_object("raw", c).alias("third"))
         out = part if out is None else out.unionByName(part)
-    # AT is a keyword in DuckDB
-    return {n: (run, re.sub(r'(?<!")\bat\b(?!")', '"at"', sql) if n.startswith("w") else sql) for n, (run, sql) in out.items()}
+    return out
 
 
 def _case(table: dict) -> str:

@@ -357,7 +357,7 @@ G9_SQL = drift_sql("""SELECT (SELECT count(*) FROM lv WHERE split = 3 AND featur
  max(round(ks_d, 4)) FILTER (WHERE feature = 'fraud_probability') AS score_ks_d,
  max(round(psi, 4)) FILTER (WHERE feature = 'fraud_probability') AS score_psi,
  bool_or(drift AND family = 'comportementale' AND feature <> 'fraud_probability') OR max(psi) FILTER (WHERE feature = 'fraud_probability') > 0.2 AS alarm
- FROM fam""")
+ FROM fam HAVING (SELECT count(*) FROM lv WHERE split = 3 AND feature = 'fraud_probability') >= 500""")
 
 
 def g10(spark, d):
