@@ -318,7 +318,7 @@ def k2(spark, d):
 
 K2_SQL = scored_sql("""SELECT transaction_id, 'SMS' AS notify_channel, coalesce(wallet_id, '?') AS recipient, CASE WHEN wallet_id IS NULL THEN 'ECHEC' ELSE 'ENVOYE' END AS notify_status,
   CASE WHEN wallet_id IS NULL THEN 'pas de numéro de portefeuille' ELSE 'simulé (aucune passerelle configurée)' END AS detail FROM scored WHERE action <> 'APPROVE'
- UNION ALL SELECT transaction_id, 'EMAIL', 'equipe-fraude@fraud-rdc.local', 'ENVOYE', 'equipe-fraude@fraud-rdc.local' FROM scored WHERE action <> 'APPROVE' AND (event_id % 5 = 0 OR risk_level = 'CRITIQUE')
+ UNION ALL SELECT transaction_id, 'EMAIL', 'fraud-team@example.org', 'ENVOYE', 'fraud-team@example.org' FROM scored WHERE action <> 'APPROVE' AND (event_id % 5 = 0 OR risk_level = 'CRITIQUE')
  UNION ALL SELECT transaction_id, 'WEBHOOK', concat('https://', lower(operator), '.example/hook'), 'ENVOYE', NULL FROM scored WHERE action <> 'APPROVE' AND operator IN ('VODACOM','ORANGE')""")
 
 

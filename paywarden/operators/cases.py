@@ -11,7 +11,7 @@ from paywarden.plans.scan import DEFAULT_POLICY, SkewPolicy, running
 from paywarden.schema import FINAL_LABEL
 
 # --- fixed values: recipients, statuses and message texts -----------------------------------------
-FRAUD_TEAM = "equipe-fraude@fraud-rdc.local"
+FRAUD_TEAM = "fraud-team@example.org"
 SENT, FAILED = "ENVOYE", "ECHEC"
 NO_WALLET = "pas de numéro de portefeuille"
 SIMULATED = "simulé (aucune passerelle configurée)"
@@ -45,7 +45,8 @@ def sms_text() -> Column:
     return F.when(F.col("action") == "VERIFY", text(SMS_VERIFY)).when(F.col("action") == "BLOCK", text(SMS_BLOCK))
 
 
-def notification_plan(alerts: DataFrame, webhooks: Mapping[str, str] | None = None) -> DataFrame:
+def notification_plan(alerts: DataFrame, webhooks: Mapping[str, str] | None = None,
+                      team: str = FRAUD_TEAM) -> DataFrame:
     """(transaction_id, channel, recipient, status, detail): SMS to the client, e-mail to the team for
     critical alerts, webhook where the operator has an address."""
     wallet = F.when(F.length("wallet_id") > 0, F.col("wallet_id"))
@@ -56,7 +57,7 @@ def notification_plan(alerts: DataFrame, webhooks: Mapping[str, str] | None = No
 
     sms = note("SMS", F.coalesce(wallet, F.lit("?")), F.when(wallet.isNull(), FAILED).otherwise(SENT),
                F.when(wallet.isNull(), NO_WALLET).otherwise(SIMULATED))
-    email = note("EMAIL", F.lit(FRAUD_TEAM), F.lit(SENT), F.lit(FRAUD_TEAM))
+    email = note("EMAIL", F.lit(team), F.lit(SENT), F.lit(team))
     parts = [F.when(F.col("action").isin("VERIFY", "BLOCK"), sms), F.when(F.col("risk_level") == "CRITIQUE", email)]
     if webhooks:
         address = lookup(dict(webhooks), F.col("operator"))
