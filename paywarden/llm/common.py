@@ -119,7 +119,7 @@ def write_file(uri: str) -> tuple[pa.NativeFile, Callable[[], str]]:
     Attempts that fail leave files that no manifest names."""
     fs, path = file_system(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    stream = fs.open_output_stream(path)
+    stream = fs.open_output_stream(path, compression=None)
 
     def close() -> str:
         stream.close()

@@ -43,9 +43,27 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", ids_crc32().alias("ids_crc32"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paywarden.llm.warc import archive
+    return archive(read(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, html, sha1(html) as hex, max(page_id) over (partition by html) as original from p)
+select page_id, octet_length(encode(html))::bigint as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(hex, (1 + 5 * (i // 4))::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') as payload_digest,
+       case when original <> page_id then 'revisit' else 'response' end as record_type,
+       case when original <> page_id then original end as refers_to
+from h
+"""
+
+
 def build() -> dict:
     return {
         "op1_bpe": (op1_bpe, None),
         "op2_line_dedup": (op2_line_dedup, OP2_SQL),
         "op9_token_files": (op9_token_files, None),
+        "op10_warc": (op10_warc, OP10_SQL),
     }
