@@ -38,6 +38,14 @@ select doc_id, source, case when text is not null then array_to_string(stay, chr
 """
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paywarden.llm.langid import fit, held_out, identify
+    docs = read(spark, sf_dir, "documents")
+    model = fit(docs.filter(~held_out("doc_id", 5, 0)))
+    done = identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paywarden.llm.tokenbin import ids_crc32, token_files
     return token_files(read(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", ids_crc32().alias("ids_crc32"))
@@ -64,6 +72,7 @@ def build() -> dict:
     return {
         "op1_bpe": (op1_bpe, None),
         "op2_line_dedup": (op2_line_dedup, OP2_SQL),
+        "op7_language": (op7_language, None),
         "op9_token_files": (op9_token_files, None),
         "op10_warc": (op10_warc, OP10_SQL),
     }
