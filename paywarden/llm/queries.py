@@ -38,6 +38,15 @@ select doc_id, source, case when text is not null then array_to_string(stay, chr
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paywarden.llm.langid import held_out
+    from paywarden.llm.toxicity import fit, score
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").filter("toxic is not null").select("doc_id", "toxic")
+    learned = docs.join(labels, "doc_id").filter(~held_out("doc_id", 3, 1))
+    return score(docs, fit(learned)).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paywarden.llm.langid import fit, held_out, identify
     docs = read(spark, sf_dir, "documents")
@@ -72,6 +81,7 @@ def build() -> dict:
     return {
         "op1_bpe": (op1_bpe, None),
         "op2_line_dedup": (op2_line_dedup, OP2_SQL),
+        "op6_toxicity": (op6_toxicity, None),
         "op7_language": (op7_language, None),
         "op9_token_files": (op9_token_files, None),
         "op10_warc": (op10_warc, OP10_SQL),
