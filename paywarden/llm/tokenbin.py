@@ -202,7 +202,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     yield rows_batch(rows)
 
     schema = "doc_id long, start long, n_tokens long, ids binary"
-    return files.repartition("file").mapInArrow(run, schema)
+    return files.repartition(max(1, manifest.count()), "file").mapInArrow(run, schema)
 
 
 def rows_batch(rows: list[tuple]) -> pa.RecordBatch:

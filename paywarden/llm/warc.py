@@ -183,7 +183,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"file": done, "index": close_index(), "records": len(lines)}])
 
     spark, schema = manifest.sparkSession, "file string, index string, records long"
-    manifest.select("file").repartition("file").mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
+    manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
     return spark.read.schema(schema).parquet(f"{folder}/manifest")
 
 
@@ -231,7 +231,7 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
               ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * with_payload
     arrow = pa.schema(fields)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return manifest.select("file", "index").repartition("file").mapInArrow(run, schema)
+    return manifest.select("file", "index").repartition(max(1, manifest.count()), "file").mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0, with_payload: bool = False) -> DataFrame:
