@@ -38,6 +38,11 @@ select doc_id, source, case when text is not null then array_to_string(stay, chr
 """
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paywarden.llm.substring import remove_repeats
+    return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_sentences", "n_removed")
+
+
 def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paywarden.llm.order_minhash import classes
     return classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "class_size")
@@ -86,6 +91,7 @@ def build() -> dict:
     return {
         "op1_bpe": (op1_bpe, None),
         "op2_line_dedup": (op2_line_dedup, OP2_SQL),
+        "op4_repeats": (op4_repeats, None),
         "op5_near_copies": (op5_near_copies, None),
         "op6_toxicity": (op6_toxicity, None),
         "op7_language": (op7_language, None),
