@@ -65,6 +65,33 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paywarden.llm.decontaminate import matches
+    found = matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", F.round("similarity", 9).alias("similarity"))
+
+
+OP8_SQL = r"""
+with words as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents where text is not null),
+doc as (select doc_id, case when len(w) < 5 then [] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end as s from words),
+item_words as (select item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark),
+item as materialized (select item_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as s from item_words where len(w) >= 5),
+hits as materialized (
+  select d.doc_id, i.item_id, min(d.pos) as lo, max(d.pos) as hi
+  from (select doc_id, unnest(s) as h, generate_subscripts(s, 1) as pos from doc) d
+  join (select item_id, unnest(list_distinct(s)) as h from item) i using (h) group by all),
+windows as (
+  select h.doc_id, h.item_id, i.s as own, d.s as s, unnest(range(greatest(1, h.lo - len(i.s) + 1), h.hi + 1)) as pos
+  from hits h join item i using (item_id) join doc d using (doc_id)),
+cut as (select doc_id, item_id, own, pos, s[pos:pos + len(own) - 1] as win from windows),
+common as (select doc_id, item_id, pos, len(own) + len(win) as total,
+             coalesce(list_sum(list_transform(list_intersect(own, win), lambda x: least(len(list_filter(own, lambda y: y = x)), len(list_filter(win, lambda y: y = x))))), 0) as k
+           from cut where len(list_intersect(own, win)) >= 0.4 * len(own))
+select doc_id, item_id, (arg_max(pos, struct_pack(a := k / (total - k), b := -pos)) - 1)::int as start, round(max(k / (total - k)), 9) as similarity
+from common where k / (total - k) >= 0.8 group by doc_id, item_id
+"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paywarden.llm.tokenbin import ids_crc32, token_files
     return token_files(read(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", ids_crc32().alias("ids_crc32"))
@@ -95,6 +122,7 @@ def build() -> dict:
         "op5_near_copies": (op5_near_copies, None),
         "op6_toxicity": (op6_toxicity, None),
         "op7_language": (op7_language, None),
+        "op8_decontaminate": (op8_decontaminate, OP8_SQL),
         "op9_token_files": (op9_token_files, None),
         "op10_warc": (op10_warc, OP10_SQL),
     }
