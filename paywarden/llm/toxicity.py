@@ -12,7 +12,7 @@ alternates, as in multiple-instance learning: fit on witness words of toxic text
 ones, score again, choose witnesses again. A logistic curve over text scores gives the probability.
 
 Fitting takes at most about `docs_per_class` labelled texts of each class and `max_chars` characters of
-them, picked by the hash of the text; scoring takes every text whole. Each worker keeps a bounded cache of scored words.
+them, picked by hash; a document with several labels has the highest; scoring takes every text whole. Each worker keeps a bounded cache of scored words.
 
 Null and empty texts score as texts without any word. Rows without a label don't train; with a class
 missing every text scores 0. Repeated rows score alike. Other columns pass through; columns named like an
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paywarden.llm.common import add_columns
+from paywarden.session import materialise
 
 P, SPAN, DECAY = 4, 6, 0.7
 WIDTH = 26                       # characters of a word's window, marks included; longer words have several
@@ -272,25 +273,30 @@ def train(toxic: list[set[str]], clean: list[set[str]], landmarks: int = 256, ro
     return scorer
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "toxic", docs_per_class: int = 2_000, max_chars: int = 8_000_000,
-        landmarks: int = 256) -> Scorer | None:
-    """Train on a hashed sample of the labelled rows of `df`; the bounds hold per class, in expectation."""
-    rows = df.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    sizes = {r["y"]: (r["n"], r["chars"]) for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("chars")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic",
+        docs_per_class: int = 2_000, max_chars: int = 8_000_000, landmarks: int = 256) -> Scorer | None:
+    """Train on a hashed sample of `labels`; the bounds hold per class, in expectation. The picked labels are
+    what is broadcast, so no text is shuffled."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if set(sizes) != {0, 1}:
         return None
     grain = 1 << 30
-    share = {y: int(grain * min(1.0, docs_per_class / n, max_chars / max(1, chars))) for y, (n, chars) in sizes.items()}
-    picked = rows.filter(F.pmod(F.xxhash64("t"), F.lit(grain)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    pick = lambda column, share: F.pmod(F.xxhash64(column), F.lit(grain)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0])
+    some = known.filter(pick("__id", {y: int(grain * min(1.0, docs_per_class / n)) for y, n in sizes.items()}))
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(ident).alias("__id"), F.col(text).alias("t"))
+    texts = materialise(rows.join(F.broadcast(some), "__id").select("y", "t"), "labelled-texts")
+    chars = {r["y"]: r["c"] for r in texts.groupBy("y").agg(F.sum(F.length("t")).alias("c")).collect()}
+    picked = texts.filter(pick("t", {y: int(grain * min(1.0, max_chars / max(1, chars.get(y, 0)))) for y in (0, 1)}))
 
     def run(batches):                     # the distinct units of each text
         for batch in batches:
             found = [sorted({u for w in set(words(t)) for u in units(w)}) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.string()))], names=["y", "units"])
 
-    texts = picked.mapInArrow(run, "y int, units array<string>").toArrow()
+    found = picked.mapInArrow(run, "y int, units array<string>").toArrow()
     both: list[list[set[str]]] = [[], []]
-    for y, u in zip(texts.column("y").to_pylist(), texts.column("units").to_pylist()):
+    for y, u in zip(found.column("y").to_pylist(), found.column("units").to_pylist()):
         both[y].append({sys.intern(w) for w in u})
     return train(both[1], both[0], landmarks)
 
