@@ -38,6 +38,11 @@ select doc_id, source, case when text is not null then array_to_string(stay, chr
 """
 
 
+def op3_embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paywarden.llm.flat_graph import links
+    return links(read(spark, sf_dir, "embeddings"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paywarden.llm.substring import remove_repeats
     return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_sentences", "n_removed")
@@ -52,9 +57,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paywarden.llm.langid import held_out
     from paywarden.llm.toxicity import fit, score
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").filter("toxic is not null").select("doc_id", "toxic")
-    learned = docs.join(labels, "doc_id").filter(~held_out("doc_id", 3, 1))
-    return score(docs, fit(learned)).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+    labels = read(spark, sf_dir, "labels").filter(~held_out("doc_id", 3, 1))
+    return score(docs, fit(docs, labels)).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +122,7 @@ def build() -> dict:
     return {
         "op1_bpe": (op1_bpe, None),
         "op2_line_dedup": (op2_line_dedup, OP2_SQL),
+        "op3_embedding_copies": (op3_embedding_copies, None),
         "op4_repeats": (op4_repeats, None),
         "op5_near_copies": (op5_near_copies, None),
         "op6_toxicity": (op6_toxicity, None),
