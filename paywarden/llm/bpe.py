@@ -23,6 +23,15 @@ from paywarden.llm.common import ChunkCache, add_columns, word_chunks
 
 #: Fixed value: how byte-level tokenizers cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters and numbers newer than Unicode 16, which byte-level tokenizers still treat as symbols.
+LATE = (r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+        r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+        r"\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+        r"\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+        r"\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+        r"\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+        r"\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+        r"\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f")
 NONE = 1 << 62
 
 
@@ -59,9 +68,15 @@ class Codec:
         self.keys = keys[order]
         self.ranks, self.merged = np.array(list(self.pairs.values()), np.int64)[order].T
         self.pattern = regex.compile(PATTERN)
+        self.late = regex.compile(f"[{LATE}]")
+        self.strict = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{LATE}]]")
+                                    .replace(r" ?\p{L}+", rf" ?[\p{{L}}--[{LATE}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{LATE}]]+"), regex.V1)
         self.id_of_byte = np.array(self.byte_id, np.int64)
         self.cache = ChunkCache(self.chunks, self.encode_chunks)
 
+    def pieces(self, text: str) -> list[str]:
+        return (self.pattern if text.isascii() or not self.late.search(text) else self.strict).findall(text)
+
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of one piece, lowest rank first, leftmost among equals."""
         n = len(ids)
@@ -183,9 +198,9 @@ class Codec:
 
     def chunks(self, text: str) -> list[str]:
         if self.cut is None or not self.cut.search(text):
-            return word_chunks(text) or self.pattern.findall(text)
+            return word_chunks(text) or self.pieces(text)
         return [c for p in self.cut.split(text) if p
-                for c in ([p] if p in self.special else word_chunks(p) or self.pattern.findall(p))]
+                for c in ([p] if p in self.special else word_chunks(p) or self.pieces(p))]
 
     def encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
         """Special tokens have their id; a chunk of several pieces is the ids of its pieces joined."""
@@ -194,7 +209,7 @@ class Codec:
             if c in self.special:
                 out[c] = np.array([self.special[c]], "<u4").tobytes()
                 continue
-            pieces = self.pattern.findall(c)
+            pieces = self.pieces(c)
             if len(pieces) == 1:
                 whole.append(c)
             else:
