@@ -243,8 +243,8 @@ SELECT transaction_id, round(ln(1 + CASE WHEN prev IS NULL THEN 30*86400 ELSE gr
 
 
 def f9(spark, d):
-    """Replay with recorded decisions: rows whose amount passes the KYC limit were blocked."""
-    tx = transactions(spark, d)
+    """Replay with recorded decisions: half of the rows have no status, those above an amount were blocked."""
+    tx = transactions(spark, d).withColumn("status", F.expr("CASE WHEN event_id % 2 = 0 THEN status END"))
     decisions = tx.select("transaction_id", F.when(F.col("amount_usd") > 150, "BLOCK").otherwise("APPROVE").alias("action"))
     df = ft.build_features(sn.apply_decisions(tx, decisions), profiles(spark, d), precise=True)
     return df.select("transaction_id", *rounded(df, ["failed_count_24h"]))
@@ -253,7 +253,7 @@ def f9(spark, d):
 F9_SQL = duck("""
 SELECT transaction_id, CAST(count(*) FILTER (WHERE f) OVER (PARTITION BY user_id ORDER BY timestamp
    RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) - f::INT AS DOUBLE) AS failed_count_24h
-FROM (SELECT *, amount_usd > 150 AS f FROM tx)""")
+FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN status <> 'SUCCESS' ELSE amount_usd > 150 END AS f FROM tx)""")
 
 
 def build() -> dict:

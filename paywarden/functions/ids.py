@@ -10,11 +10,12 @@ UTC_OFFSET = "+01:00"       # fixed value: local time of the transactions
 
 
 def canonical_id(value: Column) -> Column:
-    """Text of an identifier: a whole float such as 243917538864.0 loses its fraction, an empty or NaN
-    one is null."""
+    """Text of an identifier: a whole float such as 243917538864.0 loses its fraction, a NaN number is null.
+    Texts stay as they are, also an empty one or "nan"."""
     text = value.cast("string")
     scientific = text.rlike(r"^-?[0-9](\.[0-9]+)?E[0-9]+$")
-    return (F.when(F.lower(text).isin("nan", ""), F.lit(None))
+    number = F.typeof(value).isin("double", "float")
+    return (F.when(number & (text == "NaN"), F.lit(None))
             .when(scientific, F.coalesce(text.try_cast("decimal(38,0)").cast("string"), text))
             .otherwise(F.regexp_replace(text, r"^(-?[0-9]+)\.0+$", "$1")))
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,6 @@ from pyspark.sql import types as T
 from paywarden.plans.scan import DEFAULT_POLICY, SkewPolicy, running
 
 GENESIS = "0" * 64                       # fixed value
-SEGMENT_ROWS = 1_000_000
 
 
 def normalise(audit: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -32,9 +33,11 @@ def normalise(audit: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def drop_repeats(events: DataFrame, log: DataFrame | None = None, order: str = "ts") -> DataFrame:
-    """One row per event id, the earliest, without those already in `log`."""
+    """One row per event id, the earliest (of several at that time the one with the smallest content), without
+    those already in `log`."""
     columns = events.columns
-    first = events.groupBy("event_id").agg(F.min_by(F.struct(*columns), F.col(order)).alias("e")).select("e.*")
+    content = F.to_json(F.struct(*columns))
+    first = events.groupBy("event_id").agg(F.min_by(F.struct(*columns), F.struct(F.col(order), content)).alias("e")).select("e.*")
     if log is None:
         return first
     return first.join(log.select("event_id").distinct(), "event_id", "left_anti")
@@ -69,44 +72,72 @@ def entry_hash(prev: Column) -> Column:
 
 
 def _fold(key: Sequence[str]):
-    """Chain the rows of a sorted partition; only the last digest is kept between batches."""
+    """Chain the rows of a sorted partition from `__start`; only the last digest is kept between batches."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, prev = None, GENESIS
+        chain = prev = None
         for batch in batches:
             previous, hashes = [], []
-            for row, head, tail in zip(batch[list(key)].itertuples(index=False, name=None), batch["__head"], batch["__tail"]):
+            keys = batch[list(key)].itertuples(index=False, name=None) if key else [()] * len(batch)
+            for row, start, head, tail in zip(keys, batch["__start"], batch["__head"], batch["__tail"]):
                 if row != chain:
-                    chain, prev = row, GENESIS
+                    chain, prev = row, start
                 previous.append(prev)
                 prev = hashlib.sha256(f"{head}{prev}{tail}".encode()).hexdigest()
                 hashes.append(prev)
-            yield batch.drop(columns=["__head", "__tail"]).assign(prev_hash=previous, hash=hashes)
+            yield batch.drop(columns=["__head", "__tail", "__start"]).assign(prev_hash=previous, hash=hashes)
     return run
 
 
 def hash_chain(events: DataFrame, key: Sequence[str] = (), order: Sequence[str] = ("ts", "event_id"),
-               segment_rows: int = SEGMENT_ROWS, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
-    """Add `segment`, `prev_hash` and `hash`. One chain per key and segment of `segment_rows` entries:
-    digests of a chain depend on each other, so a segment is what one task must walk through."""
+               tips: DataFrame | None = None) -> DataFrame:
+    """Add `prev_hash` and `hash`: one chain per key, of any length.
+
+    Every digest depends on the one before, so one task walks a chain, row by row and in constant memory;
+    the key decides how much runs in parallel. Choose one that bounds a chain (a day, an actor's day), and link
+    the chains with `chain_tips`. `tips` (key columns, `tip`) continues stored chains from their last hash."""
+    key = list(key)
     head, tail = _around_prev()
-    numbered = running(events, list(key), list(order), sums={"__pos": F.lit(1)}, policy=policy)
-    ready = (numbered.withColumns({"segment": F.floor(F.col("__pos") / segment_rows), "__head": head, "__tail": tail})
-             .drop("__pos"))
-    chain = [*key, "segment"]
-    ordered = ready.repartition(*chain).sortWithinPartitions(*chain, *order)
-    plain = [f for f in ready.schema.fields if f.name not in ("__head", "__tail", "details")]
-    schema = T.StructType([*plain, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())])
+    ready = events.withColumns({"__head": head, "__tail": tail})
+    if tips is None:
+        ready = ready.withColumn("__start", F.lit(GENESIS))
+    elif key:
+        stored = tips.select(*[F.col(k).alias(f"__k_{k}") for k in key], F.col("tip").alias("__tip"))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in key])
+        ready = ready.join(stored, same, "left").withColumn("__start", F.coalesce("__tip", F.lit(GENESIS))).drop("__tip", *[f"__k_{k}" for k in key])
+    else:
+        last = tips.select("tip").first()
+        ready = ready.withColumn("__start", F.lit(last["tip"] if last else GENESIS))
+    ordered = (ready.repartition(*key) if key else ready.repartition(1)).sortWithinPartitions(*key, *order)
+    plain = [f for f in ready.schema.fields if f.name not in ("__head", "__tail", "__start", "details")]
     # the map travels as text through the fold
-    text = ordered.withColumn("details", F.to_json("details"))
-    schema = T.StructType([*schema.fields, T.StructField("details", T.StringType())])
-    folded = text.mapInPandas(lambda it: (b[schema.names] for b in _fold(chain)(it)), schema)
+    schema = T.StructType([*plain, *[T.StructField(n, T.StringType()) for n in ("prev_hash", "hash", "details")]])
+    folded = ordered.withColumn("details", F.to_json("details")).mapInPandas(lambda it: (b[schema.names] for b in _fold(key)(it)), schema)
     return folded.withColumn("details", F.from_json("details", "map<string,string>"))
 
 
-def seal_segments(chain: DataFrame, key: Sequence[str] = (), order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """Last hash and length of every segment: what to keep elsewhere so that cutting off a whole segment
-    or the end of a chain shows."""
-    return chain.groupBy(*key, "segment").agg(F.max_by("hash", F.struct(*order)).alias("tip"), F.count("*").alias("n"))
+def seal_chains(chain: DataFrame, key: Sequence[str] = (), order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """Last hash (`tip`) and length of every chain: where the next batch goes on, and what to keep elsewhere so
+    that cutting off the end of a chain shows."""
+    return chain.groupBy(*key).agg(F.max_by("hash", F.struct(*order)).alias("tip"), F.count("*").alias("n"))
+
+
+def chain_tips(tips: DataFrame, key: Sequence[str], start: str = GENESIS) -> DataFrame:
+    """The tips chained in key order (`prev_link`, `link`), so that a lost chain shows. One row per chain is
+    walked in one task, say one per day."""
+    key = list(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prev = start
+        for batch in batches:
+            before, links = [], []
+            for tip, n in zip(batch["tip"], batch["n"]):
+                before.append(prev)
+                prev = hashlib.sha256(f"{prev}{tip}{n}".encode()).hexdigest()
+                links.append(prev)
+            yield batch.assign(prev_link=before, link=links)
+
+    rows = tips.select(*key, "tip", "n").repartition(1).sortWithinPartitions(*key)
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("prev_link", T.StringType()), T.StructField("link", T.StringType())]))
 
 
 def verify_chain(log: DataFrame, key: Sequence[str] = (), order: str = "id",

@@ -64,11 +64,13 @@ def entity_snapshot(tx: DataFrame, until: str | None = None) -> DataFrame:
 
 def parity_check(a: DataFrame, b: DataFrame, *, key: str = "transaction_id", value: str = "score",
                  tolerance: float = 1e-4) -> DataFrame:
-    """Largest and mean absolute gap between two score tables; ok when the largest is below tolerance."""
+    """Largest and mean absolute gap between two score tables, and the ids that only one of them has; ok when the
+    largest gap is below tolerance and there are none of those."""
     gap = F.abs(F.col("a") - F.col("b"))
-    both = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key)
-    return both.agg(F.count("*").alias("n"), F.max(gap).alias("max_gap"), F.avg(gap).alias("mean_gap")).withColumn(
-        "ok", F.col("max_gap") < tolerance)
+    both = a.select(key, F.col(value).alias("a"), F.lit(1).alias("in_a")).join(b.select(key, F.col(value).alias("b"), F.lit(1).alias("in_b")), key, "full")
+    one_side = F.col("in_a").isNull() | F.col("in_b").isNull()
+    return both.agg(F.count_if(~one_side).alias("n"), F.count_if(one_side).alias("n_one_side"), F.max(gap).alias("max_gap"), F.avg(gap).alias("mean_gap")).withColumn(
+        "ok", F.coalesce(F.col("max_gap") < tolerance, F.lit(True)) & (F.col("n_one_side") == 0))
 
 
 def arrival_gaps(tx: DataFrame, arrival: str, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
@@ -87,10 +89,11 @@ def arrival_gaps(tx: DataFrame, arrival: str, policy: SkewPolicy = DEFAULT_POLIC
 
 
 def apply_decisions(tx: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Status as the profile records it: a blocked transaction failed, any other undecided one succeeded."""
+    """Status as the profile records it: a known status stays; where none is known a blocked transaction failed
+    and any other succeeded."""
     blocked = F.col("action") == "BLOCK"
     return (tx.join(decisions.select("transaction_id", "action"), "transaction_id", "left")
-            .withColumn("status", F.when(blocked, "FAILED").otherwise("SUCCESS")).drop("action"))
+            .withColumn("status", F.coalesce("status", F.when(blocked, "FAILED").otherwise("SUCCESS"))).drop("action"))
 
 
 def incremental_features(batch: DataFrame, history: DataFrame, users: DataFrame, period_start: str,

@@ -16,7 +16,7 @@ CASE_OUT = "case_id long, seq long, accepted boolean, reject_reason string, stat
 
 
 class FailureFeedback(StatefulProcessor):
-    """Per user: failures of the last 24 hours, where a blocked decision is a failure."""
+    """Per user: failures of the last 24 hours, where a block of a transaction without status is one."""
 
     def __init__(self, decide: Callable[[dict, int], str]):
         self.decide = decide
@@ -32,7 +32,8 @@ class FailureFeedback(StatefulProcessor):
             known = [t for t in known if row["ts_us"] - t <= DAY_US]
             count = len(known)
             action = self.decide(row, count)
-            failed = action == "BLOCK" or (row["status"] is not None and row["status"] != "SUCCESS")
+            # a known status counts as it is; where none is known a block is a failure
+            failed = row["status"] != "SUCCESS" if isinstance(row["status"], str) else action == "BLOCK"
             if failed:
                 known.append(row["ts_us"])
             out.append((row["transaction_id"], key[0], row["ts_us"], count, action))

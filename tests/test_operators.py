@@ -110,11 +110,33 @@ def test_tampering_and_deletion_show(spark):
     assert au.verify_chain(chain.filter("id <> 2")).first().broken_at_id == 3
 
 
-def test_segments_bound_what_one_task_walks(spark, cut_everything):
-    chain = au.hash_chain(log_rows(spark, 300), order=["id"], segment_rows=100, policy=cut_everything)
-    seals = {r.segment: r.n for r in au.seal_segments(chain, order=["id"]).collect()}
-    assert seals == {0: 100, 1: 100, 2: 100}
-    assert all(r.valid for r in au.verify_chain(chain, key=["segment"], policy=cut_everything).collect())
+def test_an_untouched_chain_of_any_length_is_valid(spark, cut_everything):
+    from paywarden.session import materialise
+    rows = log_rows(spark, 3000)
+    chain = materialise(au.hash_chain(rows, order=["id"]), "chain")
+    for policy in (cut_everything, au.DEFAULT_POLICY):
+        assert au.verify_chain(chain, policy=policy).first().asDict() == {"valid": True, "checked": 3000, "broken_at_id": None}
+
+
+def test_a_stored_chain_continues_from_its_tip(spark):
+    from paywarden.session import materialise
+    rows = log_rows(spark, 40)
+    whole = {r.id: r.hash for r in au.hash_chain(rows, order=["id"]).collect()}
+    first = materialise(au.hash_chain(rows.filter("id <= 15"), order=["id"]), "chain")
+    second = au.hash_chain(rows.filter("id > 15"), order=["id"], tips=au.seal_chains(first, order=["id"]))
+    assert {r.id: r.hash for r in first.union(second).collect()} == whole
+    keyed = rows.withColumn("day", F.when(F.col("id") % 2 == 0, F.lit("d")))
+    by = {r.id: r.hash for r in au.hash_chain(keyed, key=["day"], order=["id"]).collect()}
+    one = materialise(au.hash_chain(keyed.filter("id <= 20"), key=["day"], order=["id"]), "chain")
+    two = au.hash_chain(keyed.filter("id > 20"), key=["day"], order=["id"], tips=au.seal_chains(one, key=["day"], order=["id"]))
+    assert {r.id: r.hash for r in one.union(two).collect()} == by
+
+
+def test_a_lost_day_shows(spark):
+    tips = spark.createDataFrame([("d1", "aa", 3), ("d2", "bb", 4), ("d3", "cc", 5)], "day string, tip string, n long")
+    links = {r.day: r.link for r in au.chain_tips(tips, ["day"]).collect()}
+    cut = {r.day: r.link for r in au.chain_tips(tips.filter("day <> 'd2'"), ["day"]).collect()}
+    assert links["d1"] == cut["d1"] and links["d3"] != cut["d3"]
 
 
 def test_sms(spark):
