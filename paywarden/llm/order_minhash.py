@@ -8,15 +8,15 @@ the connected groups of links and exact copies.
     sketch: each of `slots` hash orders picks the `pick` smallest occurrence-labelled shingles of a text and
             keeps them in text order; texts with an equal pick share a bucket
     exact copies collapse to one node before anything meets
-    small buckets: their pairs that share at least two buckets; large buckets: members against hubs
+    small buckets: their pairs; large buckets: members against hubs; two shared buckets make a candidate
     verify: multiset bound, then banded alignment
 
-At similarity 0.8 one slot agrees with probability near 0.8 ** 4 = 0.41; at most one of 24 agrees in 6 cases
-of 100 000. Large buckets never meet as all pairs: the first round compares each member with one hub;
+At similarity 0.8 one slot agrees with probability near 0.8 ** 6 = 0.26, and at most one of 32 agrees in 7
+cases of 10 000 (at 0.85 in 2 of 100 000); a pair must share two buckets. Large buckets never meet as all pairs: the first round compares each member with one hub;
 a bucket whose members ended in one class is done; the others are compared with four times as many hubs per
 round, only across classes, until every member has been a hub. So no link between two classes is lost, a
 class of thousands costs one comparison per member, and no bucket is collected into one task. Buckets of unlike texts
-that share a passage shrink with the fourth power of its share of the text.
+that share a passage shrink with the sixth power of its share of the text.
 
 Null texts and texts without a word are in no class but their own. The class id is the smallest doc_id (null
 ids last); ties between equal texts go to the smaller id. Rows that repeat both id and text are one document.
@@ -34,7 +34,7 @@ from paywarden.llm.common import connected, row_key, slices, without
 from paywarden.session import materialise
 
 WORDS = 5
-SLOTS, PICK = 24, 4
+SLOTS, PICK = 32, 6
 SMALL = 16                       # buckets up to this size are compared pair by pair
 BROADCAST_ROWS = 500_000         # keys of about 40 bytes
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -90,17 +90,27 @@ SEEDS = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * _A)
 def sketch(h: np.ndarray) -> np.ndarray:
     """One hash per slot: the slot's smallest shingles, in text order."""
     own = labelled(h)
-    pick = min(PICK, len(own))
-    at = np.empty((SLOTS, pick), np.int64)
-    for s in range(SLOTS):
-        order = (own ^ SEEDS[s]) * np.uint64(0xBF58476D1CE4E5B9)
-        order ^= order >> np.uint64(29)
-        at[s] = np.argpartition(order, pick - 1)[:pick]
-    at.sort(axis=1)
-    total = SEEDS.copy()
-    for i in range(pick):
-        total = total * _A + own[at[:, i]]
-    return mix(total)
+    n, pick = len(own), min(PICK, len(own))
+    out = SEEDS.copy()
+    for start in range(0, SLOTS, max(1, (1 << 18) // n)):          # long texts a few slots at a time
+        seeds = SEEDS[start:start + max(1, (1 << 18) // n)]
+        order = (own[None, :] ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+        if n > 64:
+            # the smallest few lie below a bound that all but never leaves fewer than wanted
+            row, col = np.nonzero(order < np.uint64(int((pick + 16) / n * (1 << 63)) * 2) if n > 2 * (pick + 16) else order >= 0)
+            if np.bincount(row, minlength=len(seeds)).min() < pick:
+                row, col = np.nonzero(order >= 0)
+        else:
+            row, col = np.nonzero(order >= 0)
+        at = np.lexsort((order[row, col], row))
+        row, col = row[at], col[at]
+        first = np.searchsorted(row, np.arange(len(seeds)))
+        best = np.sort(col[first[:, None] + np.arange(pick)], axis=1)
+        total = seeds.copy()
+        for i in range(pick):
+            total = total * _A + own[best[:, i]]
+        out[start:start + len(seeds)] = mix(total)
+    return out
 
 
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -200,7 +210,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshol
     shared = materialise(member.join(sizes.filter("m > 1"), "bucket"), "omh-buckets")
     fewer = shared.filter(F.col("m") <= SMALL)
     left, right = fewer.select("bucket", F.col("node").alias("a"), F.col("n").alias("na")), fewer.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"))
-    # a longer pair that shares one bucket of all is below the threshold but for 6 cases of 100 000, unless its
+    # a longer pair that shares one bucket of all is below the threshold but for 7 cases of 10 000, unless its
     # other buckets are large ones; those have rounds of their own
     small = (left.join(right, "bucket").filter((F.col("a") < F.col("b")) & near("na", "nb", threshold))
              .groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("na").alias("n")).filter("k >= 2 or n < 32").select("a", "b"))
@@ -227,30 +237,34 @@ def node_texts(docs: DataFrame, needed: DataFrame, ident: str, text: str) -> Dat
 
 
 def hub_rounds(many: DataFrame, links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links of large buckets: members against hubs of other classes, four times as many hubs each round."""
+    """Links of large buckets: members against hubs of other classes. The first round's hub is a bucket's
+    smallest member; later a member is a hub when its hash falls in the round's range, the same in every
+    bucket, and ranges grow fourfold until all members have been hubs."""
     largest = many.agg(F.max("m")).first()[0]
-    hubs = many.groupBy("bucket").agg(F.min(F.struct("u", "node", "n")).alias("h")).select("bucket", F.col("h.node").alias("a"), F.col("h.n").alias("na"))
-    low, high = 0.0, 1.0
+    smallest = many.groupBy("bucket").agg(F.min(F.struct("u", "node")).alias("h")).select("bucket", F.col("h.node").alias("a"))
+    low = high = 0.0
     while True:
-        found = links.select("a").limit(1).count()
-        label = connected(links, "omh") if found else None
-        tagged = many if label is None else many.join(label, "node", "left")
-        tagged = tagged.withColumn("root", F.coalesce("root", "node")) if label is not None else tagged.withColumn("root", F.col("node"))
+        if links.isEmpty():
+            tagged = many.withColumn("root", F.col("node"))
+        else:
+            tagged = many.join(connected(links, "omh"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
         tagged = materialise(tagged.join(open_, "bucket", "left_semi"), "omh-open")
         if tagged.isEmpty():
             return links
-        if high == 1.0:
-            hub = hubs.join(tagged.select(F.col("node").alias("a"), F.col("root").alias("ra")).distinct(), "a")
+        as_hub = tagged.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "u")
+        if high == 0.0:
+            hub = as_hub.join(smallest, ["bucket", "a"], "left_semi")
         else:
-            hub = (tagged.filter((F.col("u") * F.col("m") >= low) & (F.col("u") * F.col("m") < high))
-                   .select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")))
-        pairs = (tagged.join(hub, "bucket").filter((F.col("root") != F.col("ra")) & near("n", "na", threshold))
-                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+            hub = as_hub.filter((F.col("u") >= low) & (F.col("u") < high))
+        pairs = (tagged.join(hub.drop("u"), "bucket").filter((F.col("root") != F.col("ra")) & near("n", "na", threshold))
+                 .select("bucket", F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
+        # a pair of which both are hubs comes twice per bucket
+        pairs = pairs.groupBy("a", "b").agg(F.count_distinct("bucket").alias("k")).filter("k >= 2").select("a", "b")
         links = materialise(links.union(verified(pairs, texts, threshold)), "omh-links")
-        if low >= largest:
+        if high >= 1.0:
             return links
-        low, high = (0.0, 4.0) if high == 1.0 else (high, high * 4)
+        low, high = (0.0, min(1.0, 4.0 / largest)) if high == 0.0 else (high, min(1.0, 4 * high))
 
 
 def drop_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
