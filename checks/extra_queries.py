@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.feature_queries import _select, features, feats_sql, rounded
-from checks.model_queries import SCALED, _drift_inputs, drift_sql, feats_split_sql
+from checks.model_queries import _drift_inputs, drift_sql, feats_split_sql
 from checks.tables import profiles, transactions
 from paywarden.operators import drift as dr
 from paywarden.operators import features as ft
@@ -16,7 +16,7 @@ from paywarden.sources import tables as st
 
 START = "2024-01-01 00:00:00"
 CUT = "2024-01-25 00:00:00"
-NAMES = [n for n in ft.FEATURE_NAMES if n not in ("type_AIRTIME", "type_BILL_PAYMENT")]
+NAMES = list(ft.FEATURE_NAMES)
 
 
 def f6(spark, d):
@@ -33,30 +33,31 @@ F6_SQL = feats_sql(f"SELECT transaction_id, {_select(ft.FEATURE_NAMES)} FROM fea
 def s2(spark, d):
     path = f"{stage_folder(spark)}/feature-cache-{spark.sparkContext.applicationId}-{abs(hash(d))}"
     df = st.read_features(spark, path, build=lambda: features(spark, d), rebuild=True)
-    return df.select("transaction_id", *rounded(df, ["tx_count_7d", "device_n_users", "log_amount_usd"]))
+    return df.select("transaction_id", *rounded(df, ft.FEATURE_NAMES))
 
 
-S2_SQL = feats_sql(f"SELECT transaction_id, {_select(['tx_count_7d', 'device_n_users', 'log_amount_usd'])} FROM feats")
+S2_SQL = feats_sql(f"SELECT transaction_id, {_select(ft.FEATURE_NAMES)} FROM feats")
 
 
 def s9(spark, d):
     path = f"{stage_folder(spark)}/reference-{spark.sparkContext.applicationId}-{abs(hash(d))}"
     df = sp.temporal_split(features(spark, d)).withColumn(dr.SCORE, F.col("night_unusual"))
-    st.write_reference_sample(df, ["log_amount_usd"], path, n=500, seed=7)
-    return spark.read.parquet(f"{path}/features").select("transaction_id", F.round(F.col("log_amount_usd") + 1e-9, 6).alias("log_amount_usd"))
+    st.write_reference_sample(df, ft.FEATURE_NAMES, path, n=500, seed=7)
+    kept = spark.read.parquet(f"{path}/features")
+    return kept.select("transaction_id", *rounded(kept, ft.FEATURE_NAMES))
 
 
-S9_SQL = feats_split_sql("""SELECT transaction_id, round(log_amount_usd + 1e-9, 6) AS log_amount_usd FROM fs WHERE split <= 1
+S9_SQL = feats_split_sql(f"""SELECT transaction_id, {_select(ft.FEATURE_NAMES)} FROM fs WHERE split <= 1
   ORDER BY md5(concat(transaction_id, ':7')), transaction_id LIMIT 500""")
 
 
 def s10(spark, d):
     path = f"{stage_folder(spark)}/by-split-{spark.sparkContext.applicationId}-{abs(hash(d))}"
-    st.export_features_by_split(sp.temporal_split(features(spark, d)).select("transaction_id", "split", "tx_count_24h"), path)
-    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum("tx_count_24h").alias("tx_count_24h"))
+    st.export_features_by_split(sp.temporal_split(features(spark, d)).select("transaction_id", "split", *ft.FEATURE_NAMES), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), *[F.round(F.sum(n) + 1e-6, 3).alias(n) for n in ft.FEATURE_NAMES])
 
 
-S10_SQL = feats_split_sql("SELECT split, count(*) AS n, CAST(sum(tx_count_24h) AS DOUBLE) AS tx_count_24h FROM fs GROUP BY split")
+S10_SQL = feats_split_sql("SELECT split, count(*) AS n, " + ", ".join(f"round(CAST(sum({n}) AS DOUBLE) + 1e-6, 3) AS {n}" for n in ft.FEATURE_NAMES) + " FROM fs GROUP BY split")
 
 
 def g4(spark, d):
@@ -168,13 +169,13 @@ def m2(spark, d):
 
 def m3(spark, d):
     rows = _train_rows(spark, d)
-    model = md.train_random_forest(rows.filter("split <= 1"), NAMES, trees=50)
+    model = md.train_random_forest(rows.filter("split <= 1"), NAMES)
     return md.model_score(model, rows, "score").select("transaction_id", "y", "score")
 
 
 def m4(spark, d):
     rows = _train_rows(spark, d)
-    model = md.train_trees(rows.filter("split = 0"), rows.filter("split = 1"), NAMES, rounds=20)
+    model = md.train_trees(rows.filter("split = 0"), rows.filter("split = 1"), NAMES)
     return md.model_score(model, rows, "xgboost").select("transaction_id", "y", "xgboost")
 
 
@@ -185,14 +186,14 @@ def m5(spark, d):
 
 
 def m6(spark, d):
-    rows = _train_rows(spark, d, SCALED[:5], sequences=True)
-    wide = [*SCALED[:5], *[f"seq_{n}" for n in SCALED[:5]]]
+    rows = _train_rows(spark, d, sequences=True)
+    wide = [*NAMES, *[f"seq_{n}" for n in NAMES]]
     model = md.train_logreg(rows.filter("split = 0"), wide)
     return md.model_score(model, rows, "lstm_attention").select("transaction_id", "y", "lstm_attention")
 
 
 def m13(spark, d):
-    rows = _train_rows(spark, d, SCALED[:5], sequences=True)
+    rows = _train_rows(spark, d, sequences=True)
     return rows.select("transaction_id", F.size(md.attention_on_history()).alias("length"),
                        F.round(F.aggregate("attention", F.lit(0.0), lambda a, x: a + x) + 1e-9, 6).alias("total"))
 
@@ -201,9 +202,8 @@ M13_SQL = feats_sql("""SELECT transaction_id, least(10, row_number() OVER (PARTI
 
 
 def _ensemble(spark, d):
-    names = SCALED[:5] + ["amount_zscore_user", "device_n_users", "kyc_level", "hour_sin", "is_high_risk_merchant"]
-    rows = _train_rows(spark, d, names, sequences=True)
-    return rows, md.train_ensemble(rows, names, rounds=20)
+    rows = _train_rows(spark, d, sequences=True)
+    return rows, md.train_ensemble(rows, NAMES)
 
 
 def m8(spark, d):
@@ -249,5 +249,5 @@ def build() -> dict:
         "m12_top_contributions": (m12, M12_SQL), "m17_predicted_flag": (m17, feats_sql("SELECT transaction_id, p >= 0.3 AS is_fraud_predicted FROM mp", BR.strip())),
         "m2_logistic_regression": (m2, None), "m3_random_forest": (m3, None), "m4_boosted_trees": (m4, None), "m5_novelty": (m5, None),
         "m6_sequence_branch": (m6, None), "m13_attention": (m13, M13_SQL), "m8_stacking": (m8, None), "m14_ablations": (m14, None),
-        "m15_comparison": (m15, None), "m16_save_load": (m16, None),
+        "m15_comparison": (m15, None), "m16_save_load": (m16, feats_sql("SELECT count(*) AS n, true AS ok FROM feats")),
     }

@@ -141,6 +141,26 @@ def f1(spark, d):
                      "known_user", *rounded(df, ft.FEATURE_NAMES))
 
 
+NULLS = [*ft.feature_names("device"), *ft.feature_names("location")]
+
+
+def f2_nulls(spark, d):
+    """Absent devices and provinces are values like any other."""
+    tx = transactions(spark, d).withColumns({
+        "device_id": F.when(F.col("event_id") % 7 != 3, F.col("device_id")),
+        "location_province": F.when(F.col("event_id") % 5 != 1, F.col("location_province"))})
+    df = ft.build_features(tx, profiles(spark, d), precise=True)
+    return df.select("transaction_id", *rounded(df, NULLS))
+
+
+# the same with a name for what is absent
+F2_NULLS_SQL = feats_sql(f"SELECT transaction_id, {_select(NULLS)} FROM feats").replace(
+    "concat('D', CAST((a.user_id", "CASE WHEN a.event_id % 7 = 3 THEN 'NONE' ELSE concat('D', CAST((a.user_id").replace(
+    "% 211 AS varchar(20))) AS device_id", "% 211 AS varchar(20))) END AS device_id").replace(
+    "concat('PROV', CAST(CASE WHEN k % 10", "CASE WHEN a.event_id % 5 = 1 THEN 'NONE' ELSE concat('PROV', CAST(CASE WHEN k % 10").replace(
+    "% 9 END AS varchar(20))) AS location_province", "% 9 END AS varchar(20))) END AS location_province")
+
+
 def f3(spark, d):
     """Half of the users are taken out of the profile table."""
     users = profiles(spark, d).filter("CAST(substr(user_id, 2) AS INT) % 2 = 0")
@@ -262,6 +282,7 @@ def build() -> dict:
         + _select(ft.FEATURE_NAMES) + " FROM feats"))}
     for g in ft.FEATURE_GROUPS:
         out[f"f2_features_{g}"] = _group(g)
+    out["f2_absent_values"] = (f2_nulls, F2_NULLS_SQL)
     out |= {"f3_unknown_user": (f3, F3_SQL), "f4_profile_snapshot": (f4, F4_SQL),
             "f4_profile_links": (f4_links, F4_LINKS_SQL), "f5_entity_snapshot": (f5, F5_SQL),
             "f7_parity_check": (f7, F7_SQL), "f8_late_rows": (f8, F8_SQL),

@@ -21,8 +21,7 @@ cuts AS (SELECT t0, t1, t0 + CAST(floor((t1 - t0) * 0.595e0) AS BIGINT) AS c1, t
 sp AS (SELECT tx.*, epoch_us(timestamp) AS us, CASE WHEN us < c1 THEN 0 WHEN us < c2 THEN 1 WHEN us < c3 THEN 2 ELSE 3 END AS split
        FROM tx, cuts)
 """
-SCALED = ["log_amount_usd", "amount_to_balance", "tx_count_24h", "log_secs_since_last_tx", "is_night",
-          "type_AIRTIME"]
+SCALED = list(ft.FEATURE_NAMES)
 
 
 def split_sql(body: str) -> str:
@@ -73,22 +72,24 @@ def p5(spark, d):
 
 P5_SQL = feats_split_sql(
     "SELECT transaction_id, " + ", ".join(
-        f"round(CAST(CAST(greatest(-10, least(10, ({n} - (SELECT avg({n}) FROM fs WHERE split <= 1)) / "
-        f"(SELECT CASE WHEN stddev_pop({n}) > 0 THEN stddev_pop({n}) ELSE 1 END FROM fs WHERE split <= 1))) AS FLOAT) AS DOUBLE) + 1e-5, 3) AS {n}"
-        for n in SCALED) + " FROM fs")
+        f"round(CAST(CAST(greatest(-10, least(10, ({n} - m_{n}) / s_{n})) AS FLOAT) AS DOUBLE) + 1e-5, 3) AS {n}" for n in SCALED)
+    + " FROM fs, (SELECT " + ", ".join(
+        f"avg({n}) AS m_{n}, CASE WHEN stddev_pop({n}) > 0 THEN stddev_pop({n}) ELSE 1 END AS s_{n}" for n in SCALED) + " FROM fs WHERE split <= 1)")
 
 
 def p6(spark, d):
-    """Scaled inside the clip range, then back: the raw value."""
+    """Scaled, then back: the raw value, where the clip range holds it."""
     df, scaler = _scaler(spark, d)
     params = sp.scaler_params(scaler)
     back = sp.unscale(sp.scale(df, params), params)
-    names = ["log_amount_usd", "is_night"]
-    return back.select("transaction_id", *[F.round(F.col(n) + 1e-5, 3).alias(n) for n in names])
+    return back.select("transaction_id", *[F.round(F.col(n).cast("double") + 1e-5, 3).alias(n) for n in SCALED])
 
 
-P6_SQL = feats_sql("SELECT transaction_id, round(log_amount_usd + 1e-5, 3) AS log_amount_usd, "
-                   "round(is_night + 1e-5, 3) AS is_night FROM feats")
+P6_SQL = feats_split_sql(
+    "SELECT transaction_id, " + ", ".join(
+        f"round(CAST(CAST(greatest(-10, least(10, ({n} - m_{n}) / s_{n})) AS FLOAT) AS DOUBLE) * s_{n} + m_{n} + 1e-5, 3) AS {n}" for n in SCALED)
+    + " FROM fs, (SELECT " + ", ".join(
+        f"avg({n}) AS m_{n}, CASE WHEN stddev_pop({n}) > 0 THEN stddev_pop({n}) ELSE 1 END AS s_{n}" for n in SCALED) + " FROM fs WHERE split <= 1)")
 
 
 def p7(spark, d):
@@ -258,7 +259,7 @@ E8_SQL = eval_sql("SELECT fraud_type, count(*) AS n, round(avg((score >= 1.5)::I
                   "WHERE y = 1 AND fraud_type IS NOT NULL GROUP BY fraud_type")
 
 # --- drift: first 70 % of the time span against the last 15 % ----------------------------------------
-DRIFT = [n for n in ft.FEATURE_NAMES if n not in ("type_AIRTIME", "type_BILL_PAYMENT")]
+DRIFT = list(ft.FEATURE_NAMES)
 
 
 def _drift_inputs(spark, d):

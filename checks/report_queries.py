@@ -8,7 +8,6 @@ from checks.model_queries import SPLIT, split_sql
 from checks.scored import THRESHOLD, fact, scored_sql, stored_fact
 from checks.tables import duck, profiles, transactions
 from paywarden.operators import labels as lb
-from paywarden.operators import ledger as lg
 from paywarden.operators import quality as qa
 from paywarden.operators import reports as rp
 from paywarden.operators import split as sp
@@ -275,12 +274,6 @@ def v11(spark, d):
 V11_SQL = duck("SELECT transaction_id, round(least(greatest(amount_usd, 0.2e0), kyc_tx_limit_usd * 0.95e0), 6) AS amount_usd FROM tx JOIN profile USING (user_id)", profile=True)
 
 
-def v8(spark, d):
-    r = lg.ledger_replay(transactions(spark, d), wallet_opening=200.0, card_opening=50.0)
-    return r.select("transaction_id", F.round("balance_before_usd", 2).alias("balance_before_usd"),
-                    F.round("balance_after_usd", 2).alias("balance_after_usd"), "status")
-
-
 # --- labels -----------------------------------------------------------------------------------------
 R1 = """
 rl AS (SELECT *, coalesce(label, CASE WHEN epoch_us(tx_time) <= (SELECT max(epoch_us(tx_time)) FROM scored) - 7*86400000000 THEN 0 END) AS y FROM scored),
@@ -488,7 +481,6 @@ def build() -> dict:
         "v5_identifier_lengths": (v5, V5_SQL), "v6_finite_features": (v6, V6_SQL),
         "v7_no_future_leak": (v7, duck("SELECT count(*) FILTER (WHERE timestamp < TIMESTAMP '2024-01-20') AS checked, 0 AS leaks FROM tx")),
         "v7_prefix_features": (v7_prefix, feats_sql("SELECT transaction_id, " + _select(FEATURE_NAMES) + " FROM feats WHERE timestamp < TIMESTAMP '2024-01-20'")),
-        "v8_ledger_replay": (v8, None),
         "v9_round_amounts": (v9, V9_SQL), "v10_display_amount": (v10, V10_SQL), "v11_clip_amount": (v11, V11_SQL),
         "r1_resolve_labels": (r1, labels_sql("SELECT transaction_id, y FROM r1")),
         "r2_production_split": (r2, labels_sql("SELECT transaction_id, part FROM prod")), "r3_history_split": (r3, R3_SQL),

@@ -76,14 +76,15 @@ def feature_input(tx: DataFrame) -> DataFrame:
 
 
 def _links(tx: DataFrame, kinds: str) -> DataFrame:
-    """(kind, entity, user_id, ts_us, transaction_id), one row per entity a transaction touches."""
+    """(kind, entity, user_id, ts_us, transaction_id), one row per entity a transaction touches. An absent device
+    or province is an entity like any other; other absent entities aren't touched."""
     entity = {
         DEVICE: F.col("device_id"), PROVINCE: F.col("location_province"),
         WALLET: F.when(F.col("tx_type").isin(P2P_TYPES), F.col("counterparty_id")),
         AGENT: F.col("agent_id"), MERCHANT: F.col("merchant_id")}
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), entity[k].alias("entity")) for k in kinds])
     return (tx.select("user_id", epoch_us("timestamp").alias("ts_us"), "transaction_id",
-                      F.inline(F.filter(pairs, lambda p: p.entity.isNotNull()))))
+                      F.inline(F.filter(pairs, lambda p: p.entity.isNotNull() | p.kind.isin(DEVICE, PROVINCE)))))
 
 
 def _prior_uses(links: DataFrame, policy: SkewPolicy) -> DataFrame:

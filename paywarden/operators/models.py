@@ -59,9 +59,10 @@ def train_logreg(df: DataFrame, names: Sequence[str], y: str = "y", c: float = L
     return Pipeline(stages=[assemble(names), lr]).fit(df)
 
 
-def train_random_forest(df: DataFrame, names: Sequence[str], y: str = "y", trees: int = TREES, seed: int = 42) -> PipelineModel:
+def train_random_forest(df: DataFrame, names: Sequence[str], y: str = "y", trees: int = TREES, seed: int = 42, max_depth: int = 30) -> PipelineModel:
+    """Random forest; `max_depth` is the deepest Spark ML allows, as the model has no limit of its own."""
     rf = RandomForestClassifier(featuresCol="vector", labelCol=y, weightCol="weight", numTrees=trees, minInstancesPerNode=MIN_LEAF,
-                                featureSubsetStrategy="sqrt", maxDepth=12, seed=seed)
+                                featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=seed)
     return Pipeline(stages=[assemble(names), rf]).fit(balanced_weights(df, y))
 
 
