@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from paywarden.llm.common import connected
 from paywarden.session import materialise
 
-SAMPLE, CELL_NODES, MAX_CELLS, MARGIN = 20_000, 4_000, 5_000, 0.08
-BLOCK, DEGREE, BEAM, ALPHA, POOL = 2_048, 24, 32, 1.2, 64
+SAMPLE, CELL_NODES, MAX_CELLS, MARGIN = 20_000, 40_000, 5_000, 0.08
+BLOCK, DEGREE, BEAM, ALPHA, POOL = 8_192, 24, 32, 1.2, 64
 NODE = "node binary, label int, embedding array<float>, n long"
 
 
@@ -342,7 +342,7 @@ def audit(df: DataFrame, found: DataFrame, queries: int = 200, threshold: float
             total += ((spec.value[0] @ x.T >= threshold) & (spec.value[1][:, None] == lab[None, :])).sum(1)
         yield pa.RecordBatch.from_pydict({"q": list(range(len(total))), "k": total.tolist()})
 
-    true = sum(r["k"] for r in rows.select("embedding", "label").mapInArrow(run, "q int, k long").groupBy("q").agg(F.sum("k").alias("k")).collect()) - len(picked)
+    true = sum(r["k"] for r in rows.select("embedding", "label").mapInArrow(run, "q long, k long").groupBy("q").agg(F.sum("k").alias("k")).collect()) - len(picked)
     ids = df.sparkSession.createDataFrame([(r["vec_id"],) for r in picked], "vec_id long")
     got = found.join(F.broadcast(ids), "vec_id").agg(F.sum("n_links")).first()[0] or 0
     return int(got), int(true)
