@@ -242,9 +242,9 @@ def train(toxic: list[set[str]], clean: list[set[str]], landmarks: int = 256, ro
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
         # frequent witnesses also train with a character inserted, as people write them to evade word lists
-        disguised = [(u[:i] + chr(97 + rng.integers(26)) + u[i:], witness[u] / 4) for u in positives[:200] if len(u) > 5
+        disguised = [(u[:i] + chr(97 + rng.integers(26)) + u[i:], witness[u] / 2) for u in positives[:300] if len(u) > 5
                      for i in rng.integers(2, len(u) - 1, 3)]
-        hard = [] if scorer is None else [clean_units[i] for i in np.argsort(-scorer.score_units(clean_units))[:2000]]
+        hard = [] if scorer is None else [clean_units[i] for i in np.argsort(-scorer.score_units(clean_units))[:4000]]
         sample = [*positives, *[u for u, _ in disguised], *negatives, *hard]
         y = np.array([1.0] * (len(positives) + len(disguised)) + [-1.0] * (len(negatives) + len(hard)))
         seen = np.sqrt([witness[u] for u in positives] + [n for _, n in disguised])
