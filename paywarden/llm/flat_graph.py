@@ -168,7 +168,8 @@ def greedy(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, beam: in
 
 
 def build(x: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Adjacency (nodes, DEGREE) of one block, -1 padded; batches double."""
+    """Adjacency (nodes, DEGREE) of one block, -1 padded: a pass that inserts in doubling batches, and one that
+    searches the whole graph again for every node, with its list as a start."""
     n = len(x)
     graph = np.full((n, DEGREE), -1, np.int64)
     entry = medoid(x)
@@ -183,6 +184,12 @@ def build(x: np.ndarray, seed: int = 5) -> np.ndarray:
         mates = np.argsort(-(x[batch] @ x[batch].T), axis=1)[:, :8] if len(batch) > 1 else np.zeros((1, 0), int)
         graph[batch] = prune(x, batch, np.hstack([ids, batch[mates]]))
         back(x, graph, batch)
+    for start in range(0, n, 256):
+        batch = order[start:start + 256]
+        ids, _, _ = greedy(x, graph, x[batch], entry, POOL, batch)
+        pool = np.hstack([graph[batch], np.where((ids[:, :, None] == graph[batch][:, None, :]).any(2), -1, ids)])
+        graph[batch] = prune(x, batch, pool)
+        back(x, graph, batch)
     return graph
 
 
