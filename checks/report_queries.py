@@ -36,15 +36,26 @@ def case_table(df):
         "action", status.alias("status"), F.col("event_id").alias("case_id"))
 
 
+def _as_text(name: str):
+    """A map as text: key=value pairs in key order."""
+    pairs = F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return F.concat_ws("|", pairs).alias(name)
+
+
+COUNTS = "(SELECT string_agg(concat(status, '=', n), '|' ORDER BY status) FROM (SELECT status, count(*) AS n FROM cases GROUP BY status))"
+
+
 def q1(spark, d):
-    k = rp.kpis(stored_fact(spark, d, "scored_at", "action", "amount_usd", "latency_ms", "degraded"), NOW, WEEK)
-    return k.select("volume", "approved", "verified", "blocked", "degraded", "window_minutes",
+    f = stored_fact(spark, d, "scored_at", "action", "amount_usd", "latency_ms", "degraded", "event_id", "transaction_id", "tx_time", "user_id",
+                    "channel", "tx_type", "fraud_probability", "risk_level")
+    k = rp.kpis(f, NOW, WEEK, cases=case_table(f))
+    return k.select("volume", _as_text("cases"), "approved", "verified", "blocked", "degraded", "window_minutes",
                     *rounded(k, ["amount_usd", "amount_blocked_usd", "amount_verified_usd"], 2),
                     *rounded(k, ["latency_avg_ms", "latency_p95_ms", "alert_rate"], 4))
 
 
-Q1_SQL = scored_sql(f"""
-SELECT count(*) AS volume, count(*) FILTER (WHERE action = 'APPROVE') AS approved, count(*) FILTER (WHERE action = 'VERIFY') AS verified,
+Q1_SQL = cases_sql(f"""
+SELECT count(*) AS volume, {COUNTS} AS cases, count(*) FILTER (WHERE action = 'APPROVE') AS approved, count(*) FILTER (WHERE action = 'VERIFY') AS verified,
  count(*) FILTER (WHERE action = 'BLOCK') AS blocked, count(*) FILTER (WHERE degraded) AS degraded, {WEEK} AS window_minutes,
  round(coalesce(sum(amount_usd), 0) + 1e-9, 2) AS amount_usd, round(coalesce(sum(amount_usd) FILTER (WHERE action = 'BLOCK'), 0) + 1e-9, 2) AS amount_blocked_usd,
  round(coalesce(sum(amount_usd) FILTER (WHERE action = 'VERIFY'), 0) + 1e-9, 2) AS amount_verified_usd, round(avg(latency_ms) + 1e-9, 4) AS latency_avg_ms,
@@ -131,10 +142,10 @@ def q9(spark, d):
 
 def q10(spark, d):
     r = rp.case_queue(case_table(stored_fact(spark, d, "event_id", "transaction_id", "tx_time", "user_id", "channel", "tx_type", "amount_usd", "fraud_probability", "risk_level", "action")), page=1, size=50)
-    return r.select("transaction_id", "status", "risk_level", "amount_usd", "total")
+    return r.select("transaction_id", "status", "risk_level", "amount_usd", "total", _as_text("counts"))
 
 
-Q10_SQL = cases_sql("""SELECT transaction_id, status, risk_level, amount_usd, count(*) OVER () AS total FROM cases
+Q10_SQL = cases_sql(f"""SELECT transaction_id, status, risk_level, amount_usd, count(*) OVER () AS total, {COUNTS} AS counts FROM cases
  ORDER BY status <> 'OUVERT', list_position(['CRITIQUE','ELEVE','MOYEN','FAIBLE'], risk_level), amount_usd DESC, transaction_id LIMIT 50""")
 
 

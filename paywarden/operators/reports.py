@@ -32,8 +32,15 @@ def _sum_if(condition: Column, value: str = "amount_usd") -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(value))), F.lit(0.0))
 
 
-def kpis(fact: DataFrame, now: str, minutes: int = 60, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
-    """One row: volume, counts and amounts per action, latency, degraded scores, alert rate."""
+def status_counts(cases: DataFrame) -> Column:
+    """Map from status to number of cases, as a value for one-row results."""
+    pairs = F.array_sort(F.collect_list(F.struct("status", "n")))
+    return F.lit(None).cast("map<string,bigint>") if cases is None else cases_by_status(cases).agg(F.map_from_entries(pairs)).scalar()
+
+
+def kpis(fact: DataFrame, now: str, minutes: int = 60, policy: SkewPolicy = DEFAULT_POLICY, cases: DataFrame | None = None) -> DataFrame:
+    """One row: volume, counts and amounts per action, latency, degraded scores, alert rate, and the number of
+    cases by status where `cases` is given."""
     rows = recent(fact, now, minutes)
     action = F.col("action")
     p95 = exact_quantiles(rows.select("latency_ms"), "latency_ms", {"p95": 0.95}, policy=policy).scalar()
@@ -49,7 +56,7 @@ def kpis(fact: DataFrame, now: str, minutes: int = 60, policy: SkewPolicy = DEFA
     return totals.withColumns({
         "latency_p95_ms": F.coalesce(p95, F.lit(0.0)),
         "alert_rate": F.coalesce(F.try_divide(alerts, F.col("volume")), F.lit(0.0)),
-        "window_minutes": F.lit(minutes)})
+        "window_minutes": F.lit(minutes), "cases": status_counts(cases)})
 
 
 def cases_by_status(cases: DataFrame) -> DataFrame:
@@ -139,13 +146,16 @@ def user_history(fact: DataFrame, user_id: str, limit: int = 30) -> DataFrame:
 
 def case_queue(cases: DataFrame, page: int = 1, size: int = 50, status: str | None = None,
                risk_level: str | None = None, assigned_to: int | None = None) -> DataFrame:
-    """One page of the queue: open first, then by risk, then by amount."""
+    """One page of the queue: open first, then by risk, then by amount; `total` counts the filtered cases,
+    `counts` all of them by status."""
+    counts = status_counts(cases)
     for name, value in {"status": status, "risk_level": risk_level, "assigned_to": assigned_to}.items():
         if value is not None:
             cases = cases.filter(F.col(name) == value)
     order = [F.col("status") != "OUVERT", position(RISK_LEVELS, F.col("risk_level")), F.desc("amount_usd"),
              F.col("transaction_id")]
-    return page_of(cases, order, page, size).withColumn("total", F.lit(0) + cases.agg(F.count("*")).scalar())
+    return page_of(cases, order, page, size).withColumns({
+        "total": F.lit(0) + cases.agg(F.count("*")).scalar(), "counts": counts})
 
 
 def alert_rate_by_type(fact: DataFrame, now: str, minutes: int = 1440) -> DataFrame:
