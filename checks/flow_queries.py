@@ -323,6 +323,21 @@ K2_SQL = scored_sql("""SELECT transaction_id, 'SMS' AS notify_channel, coalesce(
  UNION ALL SELECT transaction_id, 'WEBHOOK', concat('https://', lower(operator), '.example/hook'), 'ENVOYE', NULL FROM scored WHERE action <> 'APPROVE' AND operator IN ('VODACOM','ORANGE')""")
 
 
+def k2_email(spark, d):
+    """Subject and text for the critical alerts whose case is new."""
+    rows = _alert_rows(spark, d).withColumn("case_id", F.col("event_id"))
+    opened = cs.open_cases(rows, case_table(rows).filter("case_id % 3 = 0"))
+    mails = cs.opened_only(rows.filter("risk_level = 'CRITIQUE'"), opened)
+    return mails.select("transaction_id", cs.email_subject().alias("subject"), cs.email_text(F.array(F.lit("a"), F.lit("b"))).alias("body"))
+
+
+K2_EMAIL_SQL = scored_sql("""SELECT transaction_id, concat('[CRITIQUE] Dossier #', event_id, ' — ', tx_type, ' ', printf('%.2f', amount_usd), ' USD (', action, ')') AS subject,
+  concat('Transaction ', transaction_id, ' du client ', user_id, ' (', channel, ', ', operator, ')', chr(10), 'Montant : ', amount, ' ', currency, ' (', printf('%.2f', amount_usd), ' USD) — ', location_province, chr(10),
+   'Probabilité de fraude : ', printf('%.3f', p), ' — décision : ', action, ' (', reason, ')', chr(10), 'Règles déclenchées : ', CASE WHEN len(rules) = 0 THEN 'aucune' ELSE array_to_string(rules, ', ') END, chr(10),
+   'Principaux facteurs : a, b', chr(10), chr(10), 'Traiter le dossier dans le tableau de bord.') AS body
+ FROM scored WHERE action <> 'APPROVE' AND event_id % 3 <> 0 AND (event_id % 5 = 0 OR risk_level = 'CRITIQUE')""")
+
+
 def k3(spark, d):
     return fact(spark, d).select("transaction_id", cs.sms_text().alias("sms"))
 
@@ -605,7 +620,7 @@ def build() -> dict:
         "s11_predictions": (s11, S11_SQL),
         "k1_open_cases": (k1, K1_SQL), "k2_notification_plan": (k2, K2_SQL), "k3_sms_text": (k3, K3_SQL), "k4_opened_events": (k4, K4_SQL),
         "k5_case_workflow": (k5, K5_SQL), "k6_normalise": (k6, K6_SQL), "k7_drop_repeats": (k7, K7_SQL),
-        "k8_hash_chain": (k8, chain_sql("SELECT id, prev_hash, hash FROM ch")), "k8_append": (k8_append, chain_sql("SELECT id, prev_hash, hash FROM ch")), "k9_verify_chain": (k9, K9_SQL), "k10_changed_entries": (k10, K10_SQL),
+        "k8_hash_chain": (k8, chain_sql("SELECT id, prev_hash, hash FROM ch")), "k2_email": (k2_email, K2_EMAIL_SQL), "k8_append": (k8_append, chain_sql("SELECT id, prev_hash, hash FROM ch")), "k9_verify_chain": (k9, K9_SQL), "k10_changed_entries": (k10, K10_SQL),
         "q12_list_audit": (q12, Q12_SQL),
         "w1_latency_quantiles": (w1, W1_SQL), "w1_latency_alert": (w1_firing, W1_FIRING_SQL), "w2_alert_rate": (w2, W2_SQL), "w3_windowed_counts": (w3, W3_SQL),
         "w4_rates": (w4, W4_SQL), "w5_probability_histogram": (w5, scored_sql(_histogram_sql("p", mo.PROBABILITY_BUCKETS))), "w6_provider_latency": (w6, W6_SQL),

@@ -478,8 +478,32 @@ def r11_labels(spark, d):
 R11_LABELS_SQL = scored_sql("SELECT transaction_id, CASE WHEN transaction_id IN (SELECT transaction_id FROM jd WHERE outcome IS NULL) THEN 1 ELSE label END AS label FROM scored", COMPLAINTS)
 
 
+def r11_cases(spark, d):
+    """Complaints close open cases and open closed ones for transactions without a case."""
+    f, judged = _judged(spark, d)
+    after = lb.complaint_cases(judged.withColumn("analyst", F.lit("ana@x")), f, case_table(f))
+    return after.select("transaction_id", "status", "resolution_note", "resolved_by", "assigned_to", F.col("resolved_at").isNotNull().alias("resolved"), "opened")
+
+
+R11_CASES_SQL = scored_sql("""SELECT transaction_id, CASE WHEN a.note IS NOT NULL THEN 'FRAUDE_CONFIRMEE' ELSE status END AS status, 'Plainte client : ' || a.note AS resolution_note,
+  CASE WHEN a.note IS NOT NULL THEN 'ana@x' END AS resolved_by, CASE WHEN a.note IS NOT NULL THEN 'ana@x' END AS assigned_to, a.note IS NOT NULL AS resolved, c.status IS NULL AS opened
+ FROM cases c FULL JOIN (SELECT transaction_id, note FROM jd WHERE outcome IS NULL) a USING (transaction_id)""", COMPLAINTS)
+
+
+def r11_events(spark, d):
+    f, judged = _judged(spark, d)
+    feedback, audit = lb.complaint_events(judged.withColumn("analyst", F.lit("ana@x")), f)
+    return feedback.select(F.lit("feedback").alias("kind"), "transaction_id", F.col("label").cast("string").alias("value")).union(
+        audit.select("action", "entity_id", F.element_at("details", F.lit("decision_modele"))))
+
+
+R11_EVENTS_SQL = scored_sql("""SELECT 'feedback' AS kind, transaction_id, '1' AS value FROM jd WHERE outcome IS NULL
+ UNION ALL SELECT 'PLAINTE_CLIENT', transaction_id, concat('"', action, '"') FROM jd JOIN scored USING (transaction_id) WHERE outcome IS NULL""", COMPLAINTS)
+
+
 def build() -> dict:
     out = {
+        "r11_cases": (r11_cases, R11_CASES_SQL), "r11_events": (r11_events, R11_EVENTS_SQL),
         "q1_kpis": (q1, Q1_SQL), "q2_cases_by_status": (q2, cases_sql("SELECT status, count(*) AS n FROM cases GROUP BY status")),
         "q3_timeseries": (q3, Q3_SQL), "q5_model_performance": (q5, Q5_SQL), "q6_top_risky_users": (q6, Q6_SQL),
         "q7_list_transactions": (q7, Q7_SQL), "q8_get_transaction": (q8, Q8_SQL),

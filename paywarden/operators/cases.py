@@ -66,13 +66,39 @@ def notification_plan(alerts: DataFrame, webhooks: Mapping[str, str] | None = No
     return alerts.select("transaction_id", F.inline(plan))
 
 
+def opened_only(alerts: DataFrame, opened: DataFrame) -> DataFrame:
+    """The alerts whose case was newly opened; a repeated message notifies nobody again."""
+    return alerts.join(opened.select("transaction_id"), "transaction_id", "left_semi")
+
+
+def email_subject() -> Column:
+    return F.concat(F.lit("["), F.col("risk_level"), F.lit("] Dossier #"), F.col("case_id").cast("string"), F.lit(" — "), F.col("tx_type"), F.lit(" "),
+                    F.format_string("%.2f", F.col("amount_usd").cast("double")), F.lit(" USD ("), F.col("action"), F.lit(")"))
+
+
+def email_text(factors: Column | None = None) -> Column:
+    """Body of the team's e-mail; `factors` is an array of feature names, the first four are listed."""
+    top = F.lit("") if factors is None else F.concat_ws(", ", F.slice(factors, 1, 4))
+    rules = F.concat_ws(", ", "rules_triggered")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    return F.concat(
+        F.lit("Transaction "), F.col("transaction_id"), F.lit(" du client "), F.col("user_id"), F.lit(" ("), F.col("channel"), F.lit(", "), part("operator"), F.lit(")\n"),
+        F.lit("Montant : "), part("amount"), F.lit(" "), F.col("currency"), F.lit(" ("), F.format_string("%.2f", F.col("amount_usd").cast("double")),
+        F.lit(" USD) — "), part("location_province"), F.lit("\n"),
+        F.lit("Probabilité de fraude : "), F.format_string("%.3f", F.col("fraud_probability").cast("double")), F.lit(" — décision : "), F.col("action"),
+        F.lit(" ("), F.col("reason"), F.lit(")\n"),
+        F.lit("Règles déclenchées : "), F.when(rules == "", "aucune").otherwise(rules), F.lit("\n"),
+        F.lit("Principaux facteurs : "), F.when(top == "", "n/d").otherwise(top), F.lit("\n\nTraiter le dossier dans le tableau de bord."))
+
+
 def opened_audit_events(cases: DataFrame, notifications: DataFrame, case_id: str = "case_id") -> DataFrame:
     """Audit event per opened case; details hold JSON values."""
     channels = notifications.groupBy("transaction_id").agg(F.array_sort(F.collect_list("notify_channel")).alias("__n"))
     joined = cases.join(channels, "transaction_id", "left")
 
     def text(c: str) -> Column:
-        return F.concat(F.lit('"'), F.col(c), F.lit('"'))
+        listed = F.to_json(F.array(F.col(c)))              # escaped as JSON asks
+        return listed.substr(F.lit(2), F.length(listed) - 2)
 
     empty = F.array().cast("array<string>")
     return joined.select(

@@ -141,3 +141,32 @@ def apply_complaints(judged: DataFrame, fact: DataFrame) -> DataFrame:
     return (fact.join(accepted, "transaction_id", "left")
             .withColumns({"label": F.when(hit, F.lit(1)).otherwise(F.col("label")),
                           "labeled_at": F.when(hit, F.col("__at")).otherwise(F.col("labeled_at"))}).drop("__at"))
+
+
+def complaint_cases(judged: DataFrame, fact: DataFrame, cases: DataFrame, analyst: str = "analyst") -> DataFrame:
+    """Cases after the accepted complaints (`analyst` names the column with who took them): an open case closes
+    as confirmed fraud, a transaction without a case gets one that is closed at once. `opened` marks the new ones."""
+    accepted = judged.filter(F.col("outcome").isNull()).select(
+        "transaction_id", F.col("ts").alias("__at"), F.concat(F.lit(COMPLAINT_PREFIX), F.col("note")).alias("__note"), F.col(analyst).alias("__by"))
+    shared = ["transaction_id", "tx_time", "user_id", "channel", "tx_type", "amount_usd", "fraud_probability", "risk_level", "action"]
+    stored = cases.withColumns({c: F.lit(None).cast(k) for c, k in (("resolution_note", "string"), ("resolved_by", "string"), ("resolved_at", "timestamp_ntz"),
+                                                                     ("assigned_to", "string")) if c not in cases.columns})
+    known = stored.withColumn("opened", F.lit(False))
+    new = (fact.join(accepted.select("transaction_id"), "transaction_id", "left_semi").join(cases.select("transaction_id"), "transaction_id", "left_anti")
+           .select(*shared).withColumn("opened", F.lit(True)))
+    hit = F.col("__at").isNotNull()
+    both = known.unionByName(new, allowMissingColumns=True).join(accepted, "transaction_id", "left")
+    return both.withColumns({
+        "status": F.when(hit, "FRAUDE_CONFIRMEE").otherwise(F.col("status")), "resolution_note": F.when(hit, F.col("__note")).otherwise(F.col("resolution_note")),
+        "resolved_by": F.when(hit, F.col("__by")).otherwise(F.col("resolved_by")), "resolved_at": F.when(hit, F.col("__at")).otherwise(F.col("resolved_at")),
+        "assigned_to": F.when(hit, F.coalesce("assigned_to", "__by")).otherwise(F.col("assigned_to"))}).drop("__at", "__note", "__by")
+
+
+def complaint_events(judged: DataFrame, fact: DataFrame, analyst: str = "analyst") -> tuple[DataFrame, DataFrame]:
+    """Feedback (transaction_id, label, analyst, ts) and audit events of the accepted complaints."""
+    accepted = judged.filter(F.col("outcome").isNull()).join(fact.select("transaction_id", F.col("action").alias("__action")), "transaction_id")
+    feedback = accepted.select("transaction_id", F.lit(1).alias("label"), F.col(analyst).alias("analyst"), "ts")
+    audit = accepted.select(
+        "ts", F.col(analyst).alias("actor"), F.lit("PLAINTE_CLIENT").alias("action"), F.lit("transaction").alias("entity"), F.col("transaction_id").alias("entity_id"),
+        F.create_map(F.lit("decision_modele"), F.concat(F.lit('"'), F.col("__action"), F.lit('"'))).alias("details"))
+    return feedback, audit
