@@ -11,6 +11,7 @@ from paywarden.operators import features as ft
 from paywarden.operators import models as md
 from paywarden.operators import snapshots as sn
 from paywarden.operators import split as sp
+from paywarden.operators.decision import Policy
 from paywarden.session import materialise, stage_folder
 from paywarden.sources import tables as st
 
@@ -228,13 +229,18 @@ def m15(spark, d):
 
 
 def m16(spark, d):
-    rows, ensemble = _ensemble(spark, d)
+    """Features to decision with a trained model, and again with the same model read back: equal scores and actions."""
+    feats = materialise(sp.temporal_split(features(spark, d)).withColumn("y", F.col("is_fraud")), "features")
+    params = sp.scaler_params(sp.fit_scaler(feats.filter("split <= 1"), NAMES))
+    rows = materialise(md.sequence_features(sp.scale(feats, params), NAMES), "rows")
+    ensemble = md.train_ensemble(rows, NAMES)
+    ensemble.scaler = params
     path = f"{stage_folder(spark)}/model-{spark.sparkContext.applicationId}-{abs(hash(d))}"
     ensemble.save(path)
-    again = md.Ensemble.load(path)
-    a = ensemble.score(rows).select("transaction_id", F.col("fraud_probability").alias("score"))
-    b = again.score(rows).select("transaction_id", F.col("fraud_probability").alias("score"))
-    return sn.parity_check(a, b, tolerance=1e-9).select("n", "ok")
+    policy = Policy(ensemble.meta.threshold)
+    score = lambda model: md.score_and_decide(feats, model, policy).select(
+        "transaction_id", (F.col("fraud_probability") + F.when(F.col("action") == "BLOCK", 2).when(F.col("action") == "VERIFY", 1).otherwise(0)).alias("score"))
+    return sn.parity_check(score(ensemble), score(md.Ensemble.load(path)), tolerance=1e-9).select("n", "ok")
 
 
 def build() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.plans.scan import DEFAULT_POLICY, SkewPolicy, running
+from paywarden.session import materialise
 
 SINGLE_CLASS = "une seule classe présente"      # fixed value
 
@@ -15,8 +16,9 @@ def pr_curve(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str
              policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
     """Per distinct score used as threshold: own positives/negatives, tp, fp, totals, precision, recall."""
     by = list(by)
-    per_score = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    # written once: the probe for hot groups, the running totals and the totals all read it
+    per_score = materialise(df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")), "per-score")
     ranked = running(per_score.withColumn("__down", -F.col("threshold")), by, ["__down"],
                      sums={"tp": F.col("pos"), "fp": F.col("neg")}, inclusive=True, policy=policy)
     totals = per_score.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(

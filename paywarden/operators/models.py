@@ -18,8 +18,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paywarden.operators.decision import Policy, decide
 from paywarden.operators.evaluate import best_f1_threshold, evaluate, pr_curve
-from paywarden.operators.split import build_sequences, fit_scaler, scaler_params
+from paywarden.operators.split import build_sequences, fit_scaler, scale, scaler_params
 
 # --- fixed values -------------------------------------------------------------------------------
 BRANCHES = ["xgboost", "lstm_attention", "autoencoder"]
@@ -228,6 +229,7 @@ class Ensemble:
     novelty: PipelineModel
     meta: MetaLearner | None
     names: list[str]
+    scaler: dict[str, tuple[float, float]] | None = None        # (mean, std) of each feature, to score raw rows
 
     def branch_scores(self, df: DataFrame) -> DataFrame:
         """Add one column per branch, in order. Rows need their sequence features."""
@@ -242,14 +244,35 @@ class Ensemble:
         for name in ("trees", "sequence", "novelty"):
             getattr(self, name).write().overwrite().save(f"{path}/{name}")
         spark = SparkSession.active()
-        record = {"names": self.names, "branch_order": BRANCHES, "meta": asdict(self.meta), **(metadata or {})}
+        record = {"names": self.names, "branch_order": BRANCHES, "meta": asdict(self.meta), "scaler": self.scaler, **(metadata or {})}
         spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
     @classmethod
     def load(cls, path: str) -> Ensemble:
         record = json.loads(SparkSession.active().read.text(f"{path}/metadata").first().value)
         parts = [PipelineModel.load(f"{path}/{n}") for n in ("trees", "sequence", "novelty")]
-        return cls(*parts, MetaLearner(**record["meta"]), record["names"])
+        scaler = {n: tuple(v) for n, v in record["scaler"].items()} if record.get("scaler") else None
+        return cls(*parts, MetaLearner(**record["meta"]), record["names"], scaler)
+
+    def score_raw(self, features: DataFrame) -> DataFrame:
+        """Score feature rows as `build_features` gives them: scaled by the stored scaler, with the sequences
+        of the rows at hand; the feature columns come back raw."""
+        if self.scaler is None:
+            raise ValueError("the ensemble has no scaler")
+        kept = features.withColumn("__raw", F.struct(*self.names))
+        wide = sequence_features(scale(kept, {n: self.scaler[n] for n in self.names}), self.names)
+        scored = self.score(wide)
+        added = [c for c in scored.columns if c not in wide.columns or c in features.columns]
+        return scored.select(*[F.col(f"__raw.{c}").alias(c) if c in self.names else F.col(c) for c in added])
+
+
+def score_and_decide(features: DataFrame, ensemble: Ensemble, policy: Policy, version: str = "1") -> DataFrame:
+    """Features to decision in one plan: scaler, branches, meta-learner, costs and rules, with the model's
+    version and an explanation (branch contributions, rules, missing branches)."""
+    decided = decide(ensemble.score_raw(features), policy)
+    return decided.withColumns({
+        "model_version": F.lit(version),
+        "explanation": F.struct("branch_contributions", "degraded_branches", "rules_triggered", "reason")})
 
 
 def train_ensemble(df: DataFrame, names: Sequence[str], y: str = "y", rounds: int = GBT_ROUNDS, seed: int = 42) -> Ensemble:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paywarden.functions.columns import clip, epoch_us
 from paywarden.plans.scan import DEFAULT_POLICY, SkewPolicy, running
+from paywarden.session import materialise
 
 # --- fixed values -------------------------------------------------------------------------------
 SPLIT_NAMES = ["train", "early_stop", "val", "test"]
@@ -110,7 +111,7 @@ def build_sequences(df: DataFrame, value: Column, length: int = SEQUENCE_LENGTH,
 def time_order_check(df: DataFrame, sequence: Sequence[str], ts: str = "timestamp",
                      policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
     """Rows out of chronological order when the table is read in `sequence`: count and first offender."""
-    rows = df.select(*sequence, epoch_us(ts).alias("us"))
+    rows = materialise(df.select(*sequence, epoch_us(ts).alias("us")), "sequence")      # the probe reads it too
     seen = running(rows, [], list(sequence), maxes={"newest": F.col("us")}, policy=policy)
     late = F.col("us") < F.col("newest")
     return seen.agg(F.count("*").alias("n"), F.count_if(late).alias("out_of_order"),

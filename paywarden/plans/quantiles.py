@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywarden.plans.scan import DEFAULT_POLICY, SkewPolicy, running
+from paywarden.session import materialise
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -26,7 +27,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
                     policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
     """One row per group with a column per quantile in `probs` ({name: probability})."""
     by = list(by)
-    counts = value_counts(df, value, by)
+    counts = materialise(value_counts(df, value, by), "value-counts")      # read by the probe and twice more
     upto = running(counts, by, [value], sums={"upto": F.col("n")}, inclusive=True, policy=policy)
     totals = counts.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.sum("n").alias("total"))
     if by:
