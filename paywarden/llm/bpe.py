@@ -72,7 +72,7 @@ class Codec:
         self.strict = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{LATE}]]")
                                     .replace(r" ?\p{L}+", rf" ?[\p{{L}}--[{LATE}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{LATE}]]+"), regex.V1)
         self.id_of_byte = np.array(self.byte_id, np.int64)
-        self.cache = ChunkCache(self.chunks, self.encode_chunks)
+        self.cache = ChunkCache(self.chunks, self.encode_chunks, 150_000)
 
     def pieces(self, text: str) -> list[str]:
         return (self.pattern if text.isascii() or not self.late.search(text) else self.strict).findall(text)

@@ -34,12 +34,12 @@ def row_key(*names: str) -> Column:
     return F.struct(F.col(ident).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("h"))
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about BATCH_BYTES of text (a single longer text is a piece of its own)."""
+def slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `size` bytes of text (a single longer text is a piece of its own)."""
     lengths = pc.binary_length(batch.column(text)).to_pylist()
     start = total = 0
     for i, n in enumerate(lengths):
-        if total and total + (n or 0) > BATCH_BYTES:
+        if total and total + (n or 0) > size:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n or 0
@@ -48,7 +48,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 
 def add_columns(df: DataFrame, text: str, fields: Sequence[T.StructField],
-                make: Callable[[list], Sequence[pa.Array]]) -> DataFrame:
+                make: Callable[[list], Sequence[pa.Array]], size: int = BATCH_BYTES) -> DataFrame:
     """Pass every row through Arrow batches; `make` turns a list of texts into the new columns.
 
     Columns of `df` that clash with the new names are replaced; all others stay.
@@ -58,7 +58,7 @@ def add_columns(df: DataFrame, text: str, fields: Sequence[T.StructField],
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, size):
                 new = make(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *[f.name for f in fields]])
 

@@ -53,7 +53,7 @@ def words(text: str | None) -> list[str]:
 
 def shingles(found: list[str]) -> np.ndarray:
     """Hash of every run of five words, in text order."""
-    if len(_hashes) > 500_000:
+    if len(_hashes) > 150_000:
         _hashes.clear()
     known = _hashes
     for w in set(found).difference(known):
