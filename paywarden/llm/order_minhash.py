@@ -13,8 +13,8 @@ the connected groups of links and exact copies.
 
 At similarity 0.8 one slot agrees with probability near 0.8 ** 6 = 0.26, and at most one of 32 agrees in 7
 cases of 10 000 (at 0.85 in 2 of 100 000); a pair must share two buckets. Large buckets never meet as all pairs: the first round compares each member with one hub;
-a bucket whose members ended in one class is done; the others are compared with four times as many hubs per
-round, only across classes, until every member has been a hub. So no link between two classes is lost, a
+a bucket whose members ended in one class is done; the others are compared with sixteen times as many hubs
+per round, only across classes, until every member has been a hub. So no link between two classes is lost, a
 class of thousands costs one comparison per member, and no bucket is collected into one task. Buckets of unlike texts
 that share a passage shrink with the sixth power of its share of the text.
 
@@ -239,7 +239,7 @@ def node_texts(docs: DataFrame, needed: DataFrame, ident: str, text: str) -> Dat
 def hub_rounds(many: DataFrame, links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links of large buckets: members against hubs of other classes. The first round's hub is a bucket's
     smallest member; later a member is a hub when its hash falls in the round's range, the same in every
-    bucket, and ranges grow fourfold until all members have been hubs."""
+    bucket, and ranges grow sixteenfold until all members have been hubs."""
     largest = many.agg(F.max("m")).first()[0]
     smallest = many.groupBy("bucket").agg(F.min(F.struct("u", "node")).alias("h")).select("bucket", F.col("h.node").alias("a"))
     low = high = 0.0
@@ -264,7 +264,7 @@ def hub_rounds(many: DataFrame, links: DataFrame, texts: DataFrame, threshold: f
         links = materialise(links.union(verified(pairs, texts, threshold)), "omh-links")
         if high >= 1.0:
             return links
-        low, high = (0.0, min(1.0, 4.0 / largest)) if high == 0.0 else (high, min(1.0, 4 * high))
+        low, high = (0.0, min(1.0, 16.0 / largest)) if high == 0.0 else (high, min(1.0, 16 * high))
 
 
 def drop_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
