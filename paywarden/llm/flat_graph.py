@@ -13,7 +13,8 @@
 
 Centres come from a hashed sample of about `SAMPLE` nodes; every vector is indexed and every vector is a
 query. Memory of a task is bounded by the block size, whatever a label or a cell holds; a task returns a count
-and one edge per node, never pairs. `audit` measures recall against brute force.
+per node and a spanning forest of its links (fewer edges than nodes), never pairs. `audit` measures recall
+against brute force.
 
 Vectors that are null, zero, hold null or non-finite values or have a null label link with nothing. A vector
 of another length than the others of its label forms a group of its own. Rows that repeat a vec_id are
@@ -267,7 +268,7 @@ def links(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label
     work = alone.unionByName(held).unionByName(asking)
     found = materialise(work.groupBy("label", "cell", "part", "asks").applyInArrow(search_block(threshold), "node binary, links long, root binary"), "vector-links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = connected(found.filter("root is not null and root != node").select(F.col("node").alias("a"), F.col("root").alias("b")), "vector")
+    roots = connected(found.filter("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")), "vector")
     placed = (rows.join(nodes.select("node", "n").join(counts, "node", "left"), "node", "left").join(roots, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     firsts = placed.filter("root is not null").groupBy("root").agg(F.min("vec_id").alias("first"))
@@ -296,7 +297,8 @@ def same_length(vectors: list) -> list[tuple[np.ndarray, list[int]]]:
 
 def search_block(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        """Links of the querying nodes with the nodes of one block: count and the smallest linked node."""
+        """Links of the querying nodes with the nodes of one block: a count per querying node, and the edges
+        (node, root) of a spanning forest over all links, fewer than the nodes of the block and the queries."""
         role = table.column("role").to_pylist()
         node, cells_of, n = table.column("node").to_pylist(), table.column("cells").to_pylist(), table.column("n").to_pylist()
         cell = table.column("cell")[0].as_py() if len(node) else 0
@@ -314,7 +316,8 @@ def search_block(threshold: float):
             graph[k, :len(r)] = r
         weight = np.array([n[i] for i in g])
         first = np.array([min(cells_of[i]) == cell for i in g])
-        count, root = [], []
+        count, asked, edge_a, edge_b = [], [node[i] for i in ask], [], []
+        group = np.arange(len(g))                  # of graph nodes that this block's links connect so far
         for start in range(0, len(ask), 512):
             part = q[start:start + 512]
             seen = in_range(x, graph, part, threshold - 0.03, np.array([place.get(node[i], -1) for i in ask[start:start + 512]]))
@@ -326,12 +329,26 @@ def search_block(threshold: float):
                 own = set(cells_of[i])
                 counted = [j for j in hit if (first[j] and cell == min(own)) or min(own.intersection(cells_of[g[j]])) == cell]
                 count.append(int(weight[counted].sum()))
-                root.append(min([node[g[j]] for j in hit], default=None))
-        return pa.table({"node": pa.array([node[i] for i in ask], pa.binary()), "links": pa.array(count, pa.int64()), "root": pa.array(root, pa.binary())})
+                for j in join_groups(group, hit, place.get(node[i], -1)):
+                    edge_a.append(node[i])
+                    edge_b.append(node[g[j]])
+        return pa.table({"node": pa.array(asked + edge_a, pa.binary()), "links": pa.array(count + [0] * len(edge_a), pa.int64()),
+                         "root": pa.array([None] * len(asked) + edge_b, pa.binary())})
 
     return run
 
 
+def join_groups(group: np.ndarray, hit: np.ndarray, own: int) -> np.ndarray:
+    """Joins the groups of the graph nodes `hit`, and that of the querying node where it is one (`own`, -1
+    otherwise); returns one hit of each group the querying node wasn't in."""
+    number, at = np.unique(group[hit], return_index=True)
+    fresh = hit[at[number != group[own]]] if own >= 0 else hit[at]
+    whole = np.union1d(number, group[own]) if own >= 0 else number
+    if len(whole) > 1:
+        group[np.isin(group, whole)] = whole[0]
+    return fresh
+
+
 def audit(df: DataFrame, found: DataFrame, queries: int = 200, threshold: float = 0.98) -> tuple[int, int]:
     """(links found, links that exist) of about `queries` vectors picked by hash, against all rows: the
     queries are broadcast, every task compares its rows with them in blocks."""

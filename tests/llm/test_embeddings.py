@@ -61,6 +61,45 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     assert sum(g[1] for g in got) >= (1.0 if block == 8192 else 0.9) * links > 0
 
 
+def chained_rows(rng):
+    """Chains whose next neighbours alone are linked, and tight groups that a single pair or a short chain joins."""
+    def basis():
+        return np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+
+    def arc(plane, angles):
+        return [np.cos(t) * plane[0] + np.sin(t) * plane[1] for t in angles]
+
+    v = []
+    for n in (4, 9, 16):
+        v += arc(basis(), np.arange(n) * 0.19)
+    for steps in (1, 4):
+        plane, ends = basis(), (0.0, 0.19 * steps)
+        v += arc(plane, np.arange(steps + 1) * 0.19)
+        for t, away in zip(ends, (-0.06, 0.06)):
+            v += [w + rng.normal(size=32) * 0.004 for w in arc(plane, [t + away] * 25)]
+    order = rng.permutation(len(v))
+    return [(int(i), v[j].astype(np.float32).tolist(), 1) for i, j in enumerate(order)]
+
+
+@pytest.mark.parametrize("block", [8192, 30])
+def test_classes_of_chains_and_bridges(spark, monkeypatch, block):
+    monkeypatch.setattr(flat_graph, "BLOCK", block)
+    rows = chained_rows(np.random.default_rng(8))
+    found = flat_graph.links(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(3))
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in found.collect()), key=repr)
+    want = plain(rows)
+    assert len({w[2] for w in want}) == 5
+    assert got == want
+
+
+def test_forest_of_a_path_keeps_every_link():
+    group, edges = np.arange(4), []
+    for q, hit in enumerate(([2], [3], [0, 3], [1, 2])):          # 0-2, 2-3, 3-1: each keeps its smallest: 2-3 is lost
+        edges += [(q, int(j)) for j in flat_graph.join_groups(group, np.array(hit), q)]
+    assert len(set(group)) == 1 and len(edges) == 3
+    assert flat_graph.join_groups(group, np.array([1, 2]), -1).tolist() == [1] and flat_graph.join_groups(group, np.array([], int), -1).tolist() == []
+
+
 def test_edge_vectors(spark):
     a = [1.0, 0.0, 0.0]
     rows = [(1, a, 1), (2, a, 1), (2, a, 1), (3, a, 2), (4, None, 1), (5, [], 1), (6, [0.0, 0.0, 0.0], 1), (7, [1.0, None, 0.0], 1), (8, [1.0, float("nan"), 0.0], 1),
