@@ -1,7 +1,7 @@
 """Near-duplicate embeddings through a robust-pruned flat graph on overlapping shards.
 
     vectors ── equal ones of a label become one node with a count
-            ── cells: the nearest of K centres and every cell whose border lies within `MARGIN`
+            ── cells: the nearest of K centres and every cell whose border lies within the margin
             ── shard = (label, cell), cut into blocks of `BLOCK` nodes where it is larger
     build   ── per block: batches are inserted by greedy search from the medoid, robust pruning
                (degree `DEGREE`, slack `ALPHA`), reverse edges pruned again
@@ -11,6 +11,9 @@
     verify  ── cosine in double precision, >= `threshold`; a pair that two shards hold counts in the first
     classes ── connected nodes
 
+The margin is half the largest distance of two linked vectors, sqrt((1 - threshold) / 2): of a linked pair on
+two sides of a border one vector lies within it, so every linked pair shares a cell.
+
 Centres come from a hashed sample of about `SAMPLE` nodes; every vector is indexed and every vector is a
 query. Memory of a task is bounded by the block size, whatever a label or a cell holds; a task returns a count
 per node and a spanning forest of its links (fewer edges than nodes), never pairs. `audit` measures recall
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from paywarden.llm.common import connected
 from paywarden.session import materialise
 
-SAMPLE, CELL_NODES, MAX_CELLS, MARGIN = 20_000, 40_000, 5_000, 0.08
+SAMPLE, CELL_NODES, MAX_CELLS = 20_000, 40_000, 5_000
 BLOCK, DEGREE, BEAM, ALPHA, POOL = 8_192, 24, 32, 1.2, 64
 NODE = "node binary, label int, embedding array<float>, n long"
 
@@ -80,8 +83,13 @@ def centres(nodes: DataFrame, total: int, seed: int = 11) -> dict[int, np.ndarra
     return out
 
 
-def cells(x: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """For each unit vector: its nearest cell first, then the cells whose border is within MARGIN."""
+def border(threshold: float) -> float:
+    """The margin that lets every pair of unit vectors with cosine >= threshold share a cell."""
+    return max(0.0, (1 - threshold) / 2) ** 0.5 + 1e-6
+
+
+def cells(x: np.ndarray, c: np.ndarray, margin: float) -> list[np.ndarray]:
+    """For each unit vector: the cells whose border is within the margin, its nearest cell among them."""
     sim = x @ c.T
     nearest = sim.argmax(1)
     apart = np.linalg.norm(c[nearest][:, None, :] - c[None, :, :], axis=2) if len(c) <= 64 else None
@@ -89,13 +97,13 @@ def cells(x: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     for i, j in enumerate(nearest):
         gap = sim[i, j] - sim[i]                       # (|x-c|^2 - |x-c_j|^2) / 2 for unit centres
         width = apart[i] if apart is not None else np.linalg.norm(c - c[j], axis=1)
-        out.append(np.flatnonzero(gap <= MARGIN * np.maximum(width, 1e-9)))
+        out.append(np.flatnonzero(gap <= margin * np.maximum(width, 1e-9)))
     return out
 
 
-def shards(nodes: DataFrame, found: dict[int, np.ndarray]) -> DataFrame:
+def shards(nodes: DataFrame, found: dict[int, np.ndarray], threshold: float) -> DataFrame:
     """One row per node and cell; `cells` holds all cells of the node."""
-    spec = nodes.sparkSession.sparkContext.broadcast(found)
+    spec, margin = nodes.sparkSession.sparkContext.broadcast(found), border(threshold)
 
     def run(batches):
         for batch in batches:
@@ -106,7 +114,7 @@ def shards(nodes: DataFrame, found: dict[int, np.ndarray]) -> DataFrame:
                 by.setdefault(len(v), []).append(i)
             for size, own in by.items():
                 c = spec.value.get(size)
-                got = cells(unit([vectors[i] for i in own]), c) if c is not None else [np.array([0])] * len(own)
+                got = cells(unit([vectors[i] for i in own]), c, margin) if c is not None else [np.array([0])] * len(own)
                 for i, g in zip(own, got):
                     of[i] = [size << 32 | int(j) for j in g]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"])
@@ -254,7 +262,7 @@ def links(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label
     nodes = materialise(rows.filter("node is not null").groupBy("node").agg(
         F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("n")), "vector-nodes")
     total = nodes.count()
-    member = materialise(shards(nodes, centres(nodes, total)), "vector-shards")
+    member = materialise(shards(nodes, centres(nodes, total), threshold), "vector-shards")
     sizes = member.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     member = materialise(member.join(sizes, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "vector-blocks")
     lists = materialise(member.groupBy("label", "cell", "part").applyInArrow(build_block, "node binary, near array<binary>"), "vector-lists")

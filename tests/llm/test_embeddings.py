@@ -100,6 +100,22 @@ def test_forest_of_a_path_keeps_every_link():
     assert flat_graph.join_groups(group, np.array([1, 2]), -1).tolist() == [1] and flat_graph.join_groups(group, np.array([], int), -1).tolist() == []
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.98, 0.995])
+def test_linked_pairs_share_a_cell(threshold):
+    rng = np.random.default_rng(3)
+    c = flat_graph.unit(rng.normal(size=(12, 8)))
+    x = flat_graph.unit(rng.normal(size=(20_000, 8)))
+    side = rng.normal(size=x.shape)
+    side = flat_graph.unit(side - (side * x).sum(1, keepdims=True) * x)
+    angle = np.arccos(threshold) * rng.uniform(0.97, 1, (len(x), 1))
+    y = np.cos(angle) * x + np.sin(angle) * side
+    margin = flat_graph.border(threshold)
+    both = list(zip(flat_graph.cells(x, c, margin), flat_graph.cells(y, c, margin)))
+    assert all(np.intersect1d(a, b).size for a, b in both)
+    narrow = list(zip(flat_graph.cells(x, c, 0.8 * margin), flat_graph.cells(y, c, 0.8 * margin)))
+    assert not all(np.intersect1d(a, b).size for a, b in narrow)
+
+
 def test_edge_vectors(spark):
     a = [1.0, 0.0, 0.0]
     rows = [(1, a, 1), (2, a, 1), (2, a, 1), (3, a, 2), (4, None, 1), (5, [], 1), (6, [0.0, 0.0, 0.0], 1), (7, [1.0, None, 0.0], 1), (8, [1.0, float("nan"), 0.0], 1),
