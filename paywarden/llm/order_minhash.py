@@ -12,7 +12,8 @@ the connected groups of links and exact copies.
     verify: multiset bound, then banded alignment
 
 At similarity 0.8 one slot agrees with probability near 0.8 ** 6 = 0.26, and at most one of 32 agrees in 7
-cases of 10 000 (at 0.85 in 2 of 100 000); a pair must share two buckets. Large buckets never meet as all pairs: the first round compares each member with one hub;
+cases of 10 000 (at 0.85 in 2 of 100 000; in 2 of 1 000 at 0.8 with some 36 shingles); a pair must share two
+buckets of whatever sizes, or one if a text has fewer than 32 shingles. Large buckets never meet as all pairs: the first round compares each member with one hub;
 a bucket whose members ended in one class is done; the others are compared with four times as many hubs per
 round, only across classes, until every member has been a hub. So no link between two classes is lost, a
 class of thousands costs one comparison per member, and no bucket is collected into one task. Buckets of unlike texts
@@ -35,6 +36,7 @@ from paywarden.session import materialise
 
 WORDS = 5
 SLOTS, PICK = 32, 6
+SINGLE = 32                      # below so many shingles one shared bucket is enough
 SMALL = 16                       # buckets up to this size are compared pair by pair
 BROADCAST_ROWS = 500_000         # keys of about 40 bytes
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -210,15 +212,16 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshol
     shared = materialise(member.join(sizes.filter("m > 1"), "bucket"), "omh-buckets")
     fewer = shared.filter(F.col("m") <= SMALL)
     left, right = fewer.select("bucket", F.col("node").alias("a"), F.col("n").alias("na")), fewer.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"))
-    # a longer pair that shares one bucket of all is below the threshold but for 7 cases of 10 000, unless its
-    # other buckets are large ones; those have rounds of their own
-    small = (left.join(right, "bucket").filter((F.col("a") < F.col("b")) & near("na", "nb", threshold))
-             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("na").alias("n")).filter("k >= 2 or n < 32").select("a", "b"))
+    # a longer pair that shares one bucket of all sizes is below the threshold but for 2 cases of 1 000; one that
+    # shares a single small bucket may share large ones, so the rounds of those add it to their count
+    met = materialise(left.join(right, "bucket").filter((F.col("a") < F.col("b")) & near("na", "nb", threshold))
+                      .groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("na", "nb")).alias("n")), "omh-met")
+    small = met.filter(enough("k", "n")).select("a", "b")
     many = shared.filter(F.col("m") > SMALL).withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40))
     texts = node_texts(docs, shared.groupBy("node").agg(F.first("key").alias("key")), ident, text)
     links = materialise(verified(small, texts, threshold), "omh-links")
     if not many.isEmpty():
-        links = hub_rounds(many, links, texts, threshold)
+        links = hub_rounds(many, links, texts, threshold, once(met, many))
     roots = connected(links, "omh")
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("key"))
@@ -228,6 +231,19 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshol
                       (F.col("root").isNull() | (F.col("key") == F.col("first.key"))).alias("kept"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
+def enough(k: str, n: str):
+    """Whether `k` shared buckets make a candidate of a pair whose shorter text has `n` shingles."""
+    return (F.col(k) >= 2) | (F.col(n) < SINGLE)
+
+
+def once(met: DataFrame, many: DataFrame) -> DataFrame:
+    """Pairs that share one small bucket and may share large ones."""
+    held = many.select("node").distinct()
+    pairs = met.filter(~enough("k", "n")).select("a", "b")
+    pairs = pairs.join(held.withColumnRenamed("node", "a"), "a", "left_semi").join(held.withColumnRenamed("node", "b"), "b", "left_semi")
+    return materialise(pairs.select("a", "b", F.lit(1).alias("before")), "omh-once")
+
+
 def node_texts(docs: DataFrame, needed: DataFrame, ident: str, text: str) -> DataFrame:
     """The text of every node that meets another, written once."""
     needed = materialise(needed, "omh-needed")
@@ -236,10 +252,11 @@ def node_texts(docs: DataFrame, needed: DataFrame, ident: str, text: str) -> Dat
     return materialise(found.dropDuplicates(["node"]), "omh-texts")
 
 
-def hub_rounds(many: DataFrame, links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def hub_rounds(many: DataFrame, links: DataFrame, texts: DataFrame, threshold: float, single: DataFrame) -> DataFrame:
     """Links of large buckets: members against hubs of other classes. The first round's hub is a bucket's
     smallest member; later a member is a hub when its hash falls in the round's range, the same in every
-    bucket, and ranges grow fourfold until all members have been hubs."""
+    bucket, and ranges grow fourfold until all members have been hubs. So all large buckets of a pair are
+    counted in the round of its hub; the small bucket of the pairs of `single` counts with them."""
     largest = many.agg(F.max("m")).first()[0]
     smallest = many.groupBy("bucket").agg(F.min(F.struct("u", "node")).alias("h")).select("bucket", F.col("h.node").alias("a"))
     low = high = 0.0
@@ -258,9 +275,10 @@ def hub_rounds(many: DataFrame, links: DataFrame, texts: DataFrame, threshold: f
         else:
             hub = as_hub.filter((F.col("u") >= low) & (F.col("u") < high))
         pairs = (tagged.join(hub.drop("u"), "bucket").filter((F.col("root") != F.col("ra")) & near("n", "na", threshold))
-                 .select("bucket", F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
+                 .select("bucket", F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.least("n", "na").alias("n")))
         # a pair of which both are hubs comes twice per bucket
-        pairs = pairs.groupBy("a", "b").agg(F.count_distinct("bucket").alias("k")).filter("k >= 2").select("a", "b")
+        pairs = (pairs.groupBy("a", "b").agg(F.count_distinct("bucket").alias("k"), F.min("n").alias("n")).join(single, ["a", "b"], "left")
+                 .withColumn("k", F.col("k") + F.coalesce("before", F.lit(0))).filter(enough("k", "n")).select("a", "b"))
         links = materialise(links.union(verified(pairs, texts, threshold)), "omh-links")
         if high >= 1.0:
             return links

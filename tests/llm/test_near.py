@@ -82,6 +82,38 @@ def test_large_buckets_lose_no_class(spark):
     assert len({got[i] for i in range(120)} | {got[500]}) == 1 and len({got[i] for i in range(1000, 1060)}) == 60
 
 
+def test_shared_buckets_count_over_all_sizes(spark, monkeypatch):
+    """Pairs of one small and one large bucket, and short ones of one large bucket, are compared."""
+    rng = random.Random(21)
+    base, short = prose(rng, 60).split(), prose(rng, 14).split()
+    near = [*base[:-1], "changed"]
+    small = [*short, "more"]
+    crowd = [" ".join(rng.choices(VOCABULARY, k=60)) for _ in range(20)]
+    tiny = [" ".join(rng.choices(VOCABULARY, k=14)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate([" ".join(base), " ".join(near), " ".join(short), " ".join(small), *crowd, *tiny])]
+    filler = iter(range(10 ** 6))
+    shared = {rows[0][1]: [1, 2], rows[1][1]: [1, 2], rows[2][1]: [3], rows[3][1]: [3]} | {t: [2] for t in crowd} | {t: [3] for t in tiny}
+    of = {order_minhash.shingles(order_minhash.words(t)).tobytes(): own for t, own in shared.items()}
+
+    def dealt(h, *_):
+        own = of[h.tobytes()]
+        return np.array([10 + s if s in own else 1000 + next(filler) for s in range(order_minhash.SLOTS)], np.uint64)
+
+    member = [(t, s) for t, own in shared.items() for s in own]
+    assert [sum(s == x for _, s in member) for x in (1, 2, 3)] == [2, 22, 22]
+    real = order_minhash.sketches
+
+    def picked(docs, ident, text, *rest):
+        done = real(docs, ident, text, *rest).collect()
+        text_of = dict(rows)
+        out = [(r.doc_id, r.key, r.node, r.n, dealt(order_minhash.shingles(order_minhash.words(text_of[r.doc_id]))).view(np.int64).tolist()) for r in done]
+        return spark.createDataFrame(out, "doc_id long, key struct<id: long, h: long>, node binary, n int, picks array<long>")
+
+    monkeypatch.setattr(order_minhash, "sketches", picked)
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows) and got[1] == 0 and got[3] == 2
+
+
 def test_near_copies_edges(spark, edge, empty):
     got = order_minhash.drop_copies(edge)
     assert got.columns == edge.columns
