@@ -7,13 +7,15 @@ the connected groups of links and exact copies.
 
     sketch: each of `slots` hash orders picks the `pick` smallest occurrence-labelled shingles of a text and
             keeps them in text order; texts with an equal pick share a bucket
+    short texts: what is left when as many shingles are removed as a link allows; equal rests share a bucket
     exact copies collapse to one node before anything meets
     small buckets: their pairs; large buckets: members against hubs; two shared buckets make a candidate
     verify: multiset bound, then banded alignment
 
 At similarity 0.8 one slot agrees with probability near 0.8 ** 6 = 0.26, and at most one of 32 agrees in 7
 cases of 10 000 (at 0.85 in 2 of 100 000; in 2 of 1 000 at 0.8 with some 36 shingles); a pair must share two
-buckets of whatever sizes, or one if a text has fewer than 32 shingles. Large buckets never meet as all pairs: the first round compares each member with one hub;
+buckets of whatever sizes, or one if a text has fewer than 32 shingles. Texts of up to `SHORT` shingles, whose
+picks would be nearly the whole text, always share a bucket with those of them they're linked with. Large buckets never meet as all pairs: the first round compares each member with one hub;
 a bucket whose members ended in one class is done; the others are compared with four times as many hubs per
 round, only across classes, until every member has been a hub. So no link between two classes is lost, a
 class of thousands costs one comparison per member, and no bucket is collected into one task. Buckets of unlike texts
@@ -25,6 +27,8 @@ Extra columns are ignored here and kept by `drop_copies`. An empty table gives n
 """
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,6 +41,7 @@ from paywarden.session import materialise
 WORDS = 5
 SLOTS, PICK = 32, 6
 SINGLE = 32                      # below so many shingles one shared bucket is enough
+SHORT = 12                       # texts of up to so many shingles share buckets by what removals leave of them
 SMALL = 16                       # buckets up to this size are compared pair by pair
 BROADCAST_ROWS = 500_000         # keys of about 40 bytes
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -115,6 +120,30 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def shortened(h: np.ndarray, threshold: float) -> np.ndarray:
+    """One hash for every sequence that is left of a short text when as many shingles are removed as a link
+    allows. Two linked texts both leave their common subsequence, so they share one of these."""
+    rest = []
+    for left in range(len(h), 0, -1):
+        if len(h) - left > (1 / threshold - 1) * left + 1e-9:
+            break
+        at = np.array(list(combinations(range(len(h)), left)))
+        total = np.full(len(at), left, np.uint64)
+        for i in range(left):
+            total = total * _A + h[at[:, i]]
+        rest.append(np.unique(mix(total)))
+    return np.concatenate(rest)
+
+
+def buckets(h: np.ndarray, threshold: float) -> np.ndarray:
+    """The picks of all slots, and what removals leave of a short text, which has no other use for the slots
+    if all texts it may be linked with are short."""
+    if len(h) > SHORT:
+        return sketch(h)
+    own = shortened(h, threshold)
+    return own if len(h) + 1e-9 < threshold * (SHORT + 1) else np.concatenate([sketch(h), own])
+
+
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """Whether LCS(a, b) / (|a| + |b| - LCS) >= threshold, within the band the threshold leaves."""
     total = len(a) + len(b)
@@ -151,7 +180,7 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return False
 
 
-def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
+def sketches(docs: DataFrame, ident: str, text: str, threshold: float) -> DataFrame:
     """key (id and text hash), node (equal for equal word sequences), n shingles, picks: one row per document."""
     rows = docs.select(F.col(ident).alias("doc_id"), row_key(ident, text).alias("key"), F.col(text).alias("t"))
 
@@ -169,7 +198,7 @@ def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
                     h = shingles(found)
                     node.append(xxhash.xxh3_128_digest(" ".join(found)))
                     sizes.append(len(h))
-                    picks.append(sketch(h).view(np.int64).tolist())
+                    picks.append(buckets(h, threshold).view(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(node, pa.binary()), pa.array(sizes, pa.int32()),
                                                   pa.array(picks, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "n", "picks"])
 
@@ -203,11 +232,10 @@ def near(a: str, b: str, threshold: float):
 
 def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """doc_id, key, node, class_id, kept for every document."""
-    rows = materialise(sketches(docs, ident, text), "omh-sketches")
+    rows = materialise(sketches(docs, ident, text, threshold), "omh-sketches")
     nodes = rows.filter("node is not null").groupBy("node").agg(
         F.min("key").alias("key"), F.first("n").alias("n"), F.first("picks").alias("picks"))
-    member = materialise(nodes.select("node", "n", "key", F.posexplode("picks").alias("slot", "pick"))
-                         .select(F.xxhash64("slot", "pick").alias("bucket"), "node", "n", "key"), "omh-members")
+    member = materialise(nodes.select(F.explode("picks").alias("bucket"), "node", "n", "key"), "omh-members")
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
     shared = materialise(member.join(sizes.filter("m > 1"), "bucket"), "omh-buckets")
     fewer = shared.filter(F.col("m") <= SMALL)

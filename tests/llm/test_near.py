@@ -82,6 +82,36 @@ def test_large_buckets_lose_no_class(spark):
     assert len({got[i] for i in range(120)} | {got[500]}) == 1 and len({got[i] for i in range(1000, 1060)}) == 60
 
 
+def test_short_linked_texts_share_a_bucket():
+    rng = random.Random(17)
+    linked = 0
+    for _ in range(6000):
+        a = [rng.randrange(6) for _ in range(rng.randrange(1, order_minhash.SHORT + 1))]
+        b = [x for x in a if rng.random() > 0.12]
+        if rng.random() < 0.5:
+            b.insert(rng.randrange(len(b) + 1), 9)
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        for threshold in (0.7, 0.8, 1.0):
+            if 0 < len(b) <= order_minhash.SHORT and order_minhash.alignment(x, y, threshold):
+                linked += a != b
+                assert np.intersect1d(order_minhash.buckets(x, threshold), order_minhash.buckets(y, threshold)).size
+    assert linked > 500
+
+
+def test_one_word_more_on_short_texts(spark):
+    """Texts of 6 to 16 words with a word added at an end, alone and as one large group of variants."""
+    rng = random.Random(23)
+    rows = []
+    for n in range(6, 17):
+        own = rng.choices(VOCABULARY, k=n)
+        rows += [(10 * n, " ".join(own)), (10 * n + 1, " ".join([*own, "more"])), (10 * n + 2, " ".join(["less", *own[1:], "other"]))]
+    own = rng.choices(VOCABULARY, k=9)
+    rows += [(1000 + i, " ".join([*own, f"end{i}"])) for i in range(40)] + [(1100, " ".join(own[1:]))]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == plain_classes(sorted(rows))
+    assert all(got[10 * n + 1] == 10 * n for n in range(8, 17))
+
+
 def test_shared_buckets_count_over_all_sizes(spark, monkeypatch):
     """Pairs of one small and one large bucket, and short ones of one large bucket, are compared."""
     rng = random.Random(21)
