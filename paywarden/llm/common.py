@@ -5,6 +5,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
@@ -152,3 +153,49 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         if after.filter("old != root").isEmpty():
             return after.select("node", "root")
         label = after.select("node", "root")
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs values[start:start + size], one after the other."""
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return values[:0]
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
+
+
+class WordTable:
+    """Encoded words of a worker process, in flat arrays. A batch's words are dictionary-encoded, only words
+    that are new are encoded, and all occurrences are gathered from the arrays; the table starts anew when
+    it holds `entries` words or as many million values, which bounds the memory and changes no result."""
+
+    def __init__(self, encode: Callable[[str], Sequence[Sequence[int]]], tracks: int, entries: int = 400_000):
+        self.encode, self.tracks, self.entries = encode, tracks, entries
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.values = [np.zeros(0, np.int32) for _ in range(self.tracks)]
+
+    def add(self, words: list[str]) -> None:
+        done = [self.encode(w) for w in words]
+        sizes = np.array([len(d[0]) for d in done], np.int64)
+        first = len(self.values[0]) + np.cumsum(sizes) - sizes
+        self.row.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
+        self.starts, self.sizes = np.concatenate([self.starts, first]), np.concatenate([self.sizes, sizes])
+        self.values = [np.concatenate([old, np.fromiter((x for d in done for x in d[i]), np.int32, int(sizes.sum()))])
+                       for i, old in enumerate(self.values)]
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        """How many values each word has, and the values of all words in order, for each track."""
+        coded = words.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        if len(self.row) > self.entries or len(self.values[0]) > 8 * self.entries:
+            self.clear()
+        new = [w for w in own if w not in self.row]
+        if new:
+            self.add(new)
+        rows = np.fromiter(map(self.row.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
+        sizes = self.sizes[rows]
+        return sizes, [gather(v, self.starts[rows], sizes) for v in self.values]

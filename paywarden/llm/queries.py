@@ -118,6 +118,95 @@ from h
 """
 
 
+def piece_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paywarden.llm.piece import encode, ids_sha256
+    done = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), piece_path(), decoded="decoded")
+    return done.select("doc_id", F.size("piece_ids").cast("long").alias("n_tokens"), ids_sha256().alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       F.coalesce(F.try_element_at("piece_ends", F.lit(-1)), F.lit(0)).cast("long").alias("covered_bytes"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paywarden.llm.vector_codes import encode
+    return encode(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_sql() -> str:
+    """Assigning and averaging written out for two rounds over 16 parts and 64 entries."""
+    steps = []
+    for k in range(3):
+        steps.append(f"""
+near{k} as materialized (
+  select r, p, min(d * 64 + e) as m from (
+    select v.r, v.p, b.e, sum((v.x - b.x) * (v.x - b.x)) as d from el v join book{k} b on v.p = b.p and v.j = b.j group by v.r, v.p, b.e)
+  group by r, p)""")
+        if k < 2:
+            steps.append(f"""
+sums{k} as (select v.p, n.m % 64 as e, v.j, sum(v.x) as s, count(*) as c from el v join near{k} n on v.r = n.r and v.p = n.p group by all),
+book{k + 1} as materialized (
+  select b.p, b.e, b.j, coalesce((s.s - ((s.s % s.c + s.c) % s.c)) // s.c, b.x)::bigint as x
+  from book{k} b left join sums{k} s on b.p = s.p and b.e = s.e and b.j = s.j)""")
+    return """
+with kept as materialized (
+  select row_number() over (order by vec_id, embedding) - 1 as r, vec_id, label, embedding from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+size as (select len(embedding) as n from kept where r = 0),
+el as materialized (
+  select r, i // (n // 16) as p, i % (n // 16) as j, floor(256 * embedding[i + 1]::double)::bigint as x
+  from (select r, embedding, n, unnest(range(n)) as i from kept, size where len(embedding) = n)),
+book0 as materialized (select p, r as e, j, x from el where r < 64),""" + ",".join(steps) + """,
+coded as (select r, string_agg(format('{:02x}', m % 64), '' order by p) as code, sum(m // 64)::bigint as error from near2 group by r)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+       (select sha256(string_agg(x::varchar, ',' order by p, e, j)) from book2) as codebooks_sha256
+from coded join kept using (r)
+"""
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paywarden.llm.phrases import phrases
+    return phrases(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+lists as (select lang, row_number() over () as piece, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+flat as (select lang, piece, unnest(w) as x, generate_subscripts(w, 1) as pos from lists),
+words as materialized (
+  select lang, x, lead(x) over p as y, lead(x, 2) over p as z from flat window p as (partition by piece order by pos)),
+grams as materialized (
+  select lang, size, phrase, count(*) as f from (
+    select lang, 1 as size, x as phrase from words
+    union all select lang, 2, x || ' ' || y from words where y is not null
+    union all select lang, 3, x || ' ' || y || ' ' || z from words where z is not null)
+  group by all),
+totals as (select lang, sum(f)::bigint as n from grams where size = 1 group by lang),
+found as materialized (select lang, size, phrase, string_split(phrase, ' ') as w, f as a from grams where size >= 2 and f >= 10),
+cuts as materialized (
+  select lang, phrase, a, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail
+  from (select lang, phrase, a, w, unnest(range(1, size)) as k from found)),
+cut_scores as (
+  select c.lang, c.phrase, c.a, c.k, l.f as l, r.f as r, (1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f) as score
+  from cuts c join grams l on l.lang = c.lang and l.phrase = c.head join grams r on r.lang = c.lang and r.phrase = c.tail),
+worst as (select *, row_number() over (partition by lang, phrase order by score, k) as o from cut_scores),
+within as (
+  select lang, part, max(a) as a from (
+    select lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as part from found where size = 3) group by lang, part),
+ranked as (
+  select s.lang, row_number() over (partition by s.lang order by s.score desc, s.a desc, s.phrase) as rank, s.phrase, s.a, s.l, s.r, s.score
+  from worst s left join within t on t.lang = s.lang and t.part = s.phrase
+  where s.o = 1 and (t.a is null or 100 * t.a < 50 * s.a))
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 def build() -> dict:
     return {
         "op1_bpe": (op1_bpe, None),
@@ -130,4 +219,7 @@ def build() -> dict:
         "op8_decontaminate": (op8_decontaminate, OP8_SQL),
         "op9_token_files": (op9_token_files, None),
         "op10_warc": (op10_warc, OP10_SQL),
+        "op11_sentencepiece": (op11_sentencepiece, None),
+        "op12_vector_codes": (op12_vector_codes, op12_sql()),
+        "op13_phrases": (op13_phrases, OP13_SQL),
     }
