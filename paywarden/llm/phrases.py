@@ -8,9 +8,11 @@ words) are then counted inside the distinct chunks, weighted by these frequencie
 two words: an n-gram that lies wholly inside them counts with the earlier chunk only, so every occurrence
 counts once, and every n-gram lies in some chunk.
 
-Counts are exact and cover all texts. Chunks, grams and candidates are grouped by Spark with partial sums
-before each shuffle; a task's own counters are emitted whenever they reach a fixed size. Phrases of one
-language are ranked by a top-k window that keeps the first rows of each partition before they meet.
+Counts are exact and cover all texts. Each place of a text is one window of up to three
+words, so one shuffle counts pairs and triples: windows meet by their first two words, and those of pairs
+that a sample shows to be hot are dealt out by the third word. Tasks count what they hold before anything is
+shuffled, and emit their counters whenever these reach a fixed size. A language's phrases are ranked in
+slices first, so that its last window reads a bounded number of rows.
 
 Null text is empty, a null language counts as `und`. Empty texts and texts without words add nothing; very
 long texts are chunked whole. Repeated rows count each. Ties in score go by count, then by the phrase's
@@ -32,11 +34,13 @@ from pyspark.sql import functions as F
 from paywarden.llm.common import BATCH_BYTES, gather, slices
 from paywarden.session import materialise
 
-WORDS = 3                       # longest phrase
-TRIGGER = 16                    # one pair of words in so many ends a chunk
+TRIGGER = 64                    # one pair of words in so many ends a chunk
 MIX = (0x9E3779B1, 0x85EBCA77)  # odd factors that spread the checksums of a pair
-ENTRIES = 300_000               # distinct pieces of a task that are counted before they are parsed
-GRAM_WORDS = 1_000_000          # words of distinct chunks whose grams are counted at once
+ENTRIES = 100_000               # distinct pieces of a task that are counted before they are parsed
+GRAM_WORDS = 400_000            # words of distinct chunks whose grams are counted at once
+HOT_SHARE = 1000                # a pair that begins more than one place in so many is dealt out
+SAMPLE_ROWS = 1000              # rows in which such pairs are looked for
+SALTS = 64
 #: Capital letters to small ones, tabs to blanks, what ends a piece to line ends.
 TABLE = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -122,40 +126,51 @@ def bounded(pieces: list[bytes], size: int = BATCH_BYTES) -> Iterator[list[bytes
         yield part
 
 
-def grams(dictionary: DataFrame, longest: int = WORDS) -> DataFrame:
-    """(lang, size, phrase, f): every n-gram of up to `longest` (at most 3) words and its occurrences."""
-    names = ["lang", "size", "phrase", "f"]
+def windows(dictionary: DataFrame) -> DataFrame:
+    """(lang, head, tail, f, g): the grams of each task's chunks, counted. A head of one word occurs g times; a
+    head of two words occurs g times, and f times with the tail behind it (null: none, or in a later row).
+    Each place of a text gives one window, so a phrase and its prefix travel together."""
+    names = ["lang", "head", "tail", "f", "g"]
 
     def count(own: str, inner: np.ndarray, texts: pa.Array, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        offsets, codes = lists.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64)
-        bits = max(1, int(len(coded.dictionary) - 1).bit_length())
-        if bits * longest > 63 and len(texts) > 1:          # more distinct words than a key can hold
+        words = coded.dictionary
+        bits = int(len(words)).bit_length()
+        if 3 * bits > 63 and len(texts) > 1:        # more distinct words than a key can hold
             half = len(texts) // 2
             for cut in (slice(None, half), slice(half, None)):
                 yield from count(own, inner[cut], texts[cut], weights[cut])
             return
+        offsets, codes = lists.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64)
         sizes = np.diff(offsets)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(codes)) - offsets[owner]
-        mask = (1 << bits) - 1
-        for n in range(1, longest + 1):
-            # what ends within the two words shared with the chunk before counts there
-            good = (place + n <= sizes[owner]) & (~inner[owner] | (place + n > 2))
-            i = np.flatnonzero(good)
-            key = codes[i]
-            for j in range(1, n):
-                key = key << bits | codes[i + j]
+        place, weight = np.arange(len(codes)) - offsets[owner], weights[owner]
+        later = inner[owner]
+        left = sizes[owner] - place                 # words from here to the chunk's end
+
+        def rows(key, f, g):
             order = np.argsort(key, kind="stable")
             key, first = np.unique(key[order], return_index=True)
-            if not len(key):
-                continue
-            f = np.add.reduceat(weights[owner[i]][order], first)
-            words = [coded.dictionary.take(pa.array(key >> bits * (n - 1 - j) & mask)) for j in range(n)]
-            phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
-            columns = [pa.array([own] * len(key), pa.string()), pa.array(np.full(len(key), n, np.int8)), phrase, pa.array(f)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            return key, np.add.reduceat(f[order], first), np.add.reduceat(g[order], first)
+
+        def batch(head, tail, f, g):
+            return pa.RecordBatch.from_arrays([pa.array([own] * len(f), pa.string()), head, tail, pa.array(f), pa.array(g)], names=names)
+
+        # what ends within the two words shared with the chunk before counts there
+        i = np.flatnonzero(~later | (place >= 2))
+        if len(i):
+            key, _, g = rows(codes[i], weight[i], weight[i])
+            yield batch(words.take(pa.array(key)), pa.nulls(len(key), pa.string()), np.zeros(len(key), np.int64), g)
+        i = np.flatnonzero((left >= 2) & (~later | (place >= 1) | (left >= 3)))
+        if len(i):
+            third = np.where(left[i] >= 3, codes[np.minimum(i + 2, len(codes) - 1)] + 1, 0)
+            key = (codes[i] << bits | codes[i + 1]) << bits | third
+            key, f, g = rows(key, np.where(third > 0, weight[i], 0), np.where(later[i] & (place[i] == 0), 0, weight[i]))
+            mask = (1 << bits) - 1
+            head = pc.binary_join_element_wise(words.take(pa.array(key >> 2 * bits)), words.take(pa.array(key >> bits & mask)), " ")
+            third = key & mask
+            yield batch(head, words.take(pa.array(third - 1, mask=third == 0)), f, g)
 
     def run(batches):
         held: dict[str, list[pa.RecordBatch]] = {}
@@ -163,7 +178,7 @@ def grams(dictionary: DataFrame, longest: int = WORDS) -> DataFrame:
 
         def emit():
             for own, parts in held.items():
-                table = pa.Table.from_batches(parts).combine_chunks()
+                table = pa.Table.from_batches(parts)
                 column = {c: table.column(c).combine_chunks() for c in ("inner", "chunk", "weight")}
                 yield from count(own, column["inner"].to_numpy(zero_copy_only=False).astype(bool), column["chunk"], column["weight"].to_numpy())
 
@@ -177,8 +192,38 @@ def grams(dictionary: DataFrame, longest: int = WORDS) -> DataFrame:
                 held, total = {}, 0
         yield from emit()
 
-    counted = dictionary.mapInArrow(run, "lang string, size byte, phrase string, f long")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    return dictionary.mapInArrow(run, "lang string, head string, tail string, f long, g long")
+
+
+def hot_heads(df: DataFrame, text: str, lang: str, trigger: int) -> list:
+    """Pairs of words that more than one place in HOT_SHARE begins with, by a sample of rows: at most HOT_SHARE
+    pairs. They only say which pairs are dealt out over several tasks, the counts don't depend on them."""
+    rows = df.count()
+    sample = df.sample(False, min(1.0, SAMPLE_ROWS / max(1, rows)), 1)
+    places = windows(chunks(sample, text, lang, trigger)).filter("head like '% %'").groupBy("lang", "head").agg(F.sum("g").alias("g"))
+    total = places.agg(F.sum("g")).first()[0] or 0
+    often = places.filter(F.col("g") > total / HOT_SHARE + 20).orderBy(F.desc("g"), "lang", "head").limit(HOT_SHARE)
+    return [r.head for r in often.collect()]
+
+
+def grams(counted: DataFrame, hot: list, least: int) -> DataFrame:
+    """(lang, size, phrase, f): the phrases of one to three words that occur `least` times or more.
+
+    One shuffle brings the windows of a head together; those of a hot head go to SALTS tasks by their tails,
+    and the heads' sums of these tasks are added up at the end."""
+    several = F.col("head").isin(hot) if hot else F.lit(False)
+    spread = F.when(several, F.pmod(F.xxhash64("tail"), F.lit(SALTS))).otherwise(0)
+    keys = ["lang", "salt", "head"]
+    together = (counted.withColumn("salt", spread).repartition(*keys)
+                .groupBy(*keys, "tail").agg(F.sum("f").alias("f"), F.sum("g").alias("g")))
+    window = Window.partitionBy(*keys)
+    both = together.withColumns({"all": F.sum("g").over(window), "first": F.row_number().over(window.orderBy("tail")) == 1})
+    head = F.when(F.col("first") & ((F.col("all") >= least) | several), F.struct(F.col("head").alias("phrase"), F.col("all").alias("f")))
+    tail = F.when(F.col("f") >= least, F.struct(F.concat_ws(" ", "head", "tail").alias("phrase"), F.col("f").alias("f")))
+    return (both.filter(head.isNotNull() | tail.isNotNull())
+            .select("lang", F.inline(F.array_compact(F.array(head, tail))))
+            .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+            .select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "f"))
 
 
 def part(phrase: Column, first: int, last: int) -> Column:
@@ -197,11 +242,10 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
             trigger: int = TRIGGER) -> DataFrame:
     """Each language's `top` phrases: those of 2 and 3 words that occur `least` times or more, without
     those of which a longer candidate holds `share` percent, by the score of their worst cut."""
-    dictionary = materialise(chunks(df, text, lang, trigger), "phrase-chunks")
-    blanks = F.length("chunk") - F.length(F.replace("chunk", F.lit(" "), F.lit("")))
-    totals = dictionary.groupBy("lang").agg(F.sum(F.col("weight") * (blanks + F.when(F.col("inner"), -1).otherwise(1))).alias("n"))
+    counted = windows(chunks(df, text, lang, trigger))
     # a part is never rarer than the phrase it's cut from, so grams below `least` aren't needed further
-    often = materialise(grams(dictionary).filter(F.col("f") >= least), "phrase-grams")
+    often = materialise(grams(counted, hot_heads(df, text, lang, trigger), least), "phrase-grams")
+    totals = words_per_language(df, text, lang)
     found = often.filter("size >= 2").withColumnRenamed("f", "a")
     cuts = [(1, "l", 1, 1), (1, "r", 2, 3), (2, "l", 1, 2), (2, "r", 3, 3)]
     asked = (found.select("lang", "phrase", "size", "a", F.inline(F.array(*[
@@ -226,6 +270,14 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
             .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
 
 
+def words_per_language(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, n): all word occurrences."""
+    marks = ".,;:!?\n\x0b\x0c\r\t"
+    own = F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")
+    words = F.size(F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), marks, " " * len(marks)), " "), lambda w: w != ""))
+    return df.select(own, words.cast("long").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def small(totals: DataFrame, rows: int = 10_000) -> bool:
     return totals.limit(rows + 1).count() <= rows
 

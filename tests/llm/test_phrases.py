@@ -56,15 +56,25 @@ def test_every_way_of_cutting_gives_the_counts_of_the_definition(spark, trigger)
 def test_chunks_hold_every_gram_once(spark):
     rows = prose(9, 60)
     df = spark.createDataFrame(rows, "text string, lang string")
-    whole = {tuple(r) for r in ph.grams(ph.chunks(df, trigger=10**9)).collect()}
+    whole = {tuple(r) for r in ph.grams(ph.windows(ph.chunks(df, trigger=10**9)), [], 1).collect()}
     for trigger in (1, 3, 7):
         dictionary = ph.chunks(df, trigger=trigger)
         assert dictionary.filter("inner").count() > 0
-        assert {tuple(r) for r in ph.grams(dictionary).collect()} == whole
+        assert {tuple(r) for r in ph.grams(ph.windows(dictionary), [], 1).collect()} == whole
+
+
+def test_hot_pairs_are_dealt_out_and_count_the_same(spark):
+    rows = [(" ".join(f"the end x{i % 7} y{i % 3}" for i in range(j % 40)), "en") for j in range(80)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    hot = ph.hot_heads(df, "text", "lang", 16)
+    assert "the end" in hot
+    counted = ph.windows(ph.chunks(df))
+    assert {tuple(r) for r in ph.grams(counted, hot, 1).collect()} == {tuple(r) for r in ph.grams(counted, [], 1).collect()}
+    both(spark, rows)
 
 
 def test_copies_share_the_dictionary(spark):
-    text = " ".join(f"x{i}" for i in range(400))
+    text = " ".join(f"x{i}" for i in range(2000))
     one = ph.chunks(spark.createDataFrame([(text, "en")], "text string, lang string"))
     many = ph.chunks(spark.createDataFrame([(text, "en")] * 50, "text string, lang string").repartition(4))
     assert one.count() == many.count() > 5
