@@ -8,11 +8,12 @@ words) are then counted inside the distinct chunks, weighted by these frequencie
 two words: an n-gram that lies wholly inside them counts with the earlier chunk only, so every occurrence
 counts once, and every n-gram lies in some chunk.
 
-Counts are exact and cover all texts. Each place of a text is one window of up to three
-words, so one shuffle counts pairs and triples: windows meet by their first two words, and those of pairs
-that a sample shows to be hot are dealt out by the third word. Tasks count what they hold before anything is
-shuffled, and emit their counters whenever these reach a fixed size. A language's phrases are ranked in
-slices first, so that its last window reads a bounded number of rows.
+Counts are exact and cover all texts. Phrases are counted length by length: a
+phrase can't occur `least` times if a part of it doesn't, so those with a rarer part are left out before
+anything is shuffled. Which parts are frequent is told by a bitmap of fixed size (8 MB) that finds all of
+them and some others. Tasks count what they hold first, and emit their counters whenever these reach a
+fixed size. A language's phrases are ranked in slices, so that its last window reads a bounded number of
+rows.
 
 Null text is empty, a null language counts as `und`. Empty texts and texts without words add nothing; very
 long texts are chunked whole. Repeated rows count each. Ties in score go by count, then by the phrase's
@@ -38,9 +39,6 @@ TRIGGER = 64                    # one pair of words in so many ends a chunk
 MIX = (0x9E3779B1, 0x85EBCA77)  # odd factors that spread the checksums of a pair
 ENTRIES = 100_000               # distinct pieces of a task that are counted before they are parsed
 GRAM_WORDS = 400_000            # words of distinct chunks whose grams are counted at once
-HOT_SHARE = 1000                # a pair that begins more than one place in so many is dealt out
-SAMPLE_ROWS = 1000              # rows in which such pairs are looked for
-SALTS = 64
 #: Capital letters to small ones, tabs to blanks, what ends a piece to line ends.
 TABLE = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -126,18 +124,72 @@ def bounded(pieces: list[bytes], size: int = BATCH_BYTES) -> Iterator[list[bytes
         yield part
 
 
-def windows(dictionary: DataFrame) -> DataFrame:
-    """(lang, head, tail, f, g): the grams of each task's chunks, counted. A head of one word occurs g times; a
-    head of two words occurs g times, and f times with the tail behind it (null: none, or in a later row).
-    Each place of a text gives one window, so a phrase and its prefix travel together."""
-    names = ["lang", "head", "tail", "f", "g"]
+class Marks:
+    """A bitmap of phrases, of a fixed size: a phrase that was marked is always found; of others, more are
+    found the fuller the bitmap is, which costs work and changes no result."""
+
+    BITS = 26
+
+    def __init__(self, words: np.ndarray | None = None):
+        self.words = np.zeros(1 << self.BITS - 6, np.uint64) if words is None else words
+
+    @staticmethod
+    def hashes(lang: str, *sums: np.ndarray) -> np.ndarray:
+        """64-bit hashes of phrases, from the checksums of their words."""
+        with np.errstate(over="ignore"):
+            h = np.full(len(sums[0]), zlib.crc32(lang.encode()) + 1, np.uint64)
+            for s in sums:
+                h = (h ^ s.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            return h
+
+    def places(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            place = (h * np.uint64(factor)) >> np.uint64(64 - self.BITS)
+            yield place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63))
+
+    def add(self, h: np.ndarray) -> None:
+        for at, bit in self.places(h):
+            np.bitwise_or.at(self.words, at, bit)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        found = np.ones(len(h), bool)
+        for at, bit in self.places(h):
+            found &= self.words[at] & bit != 0
+        return found
+
+
+def marked(often: DataFrame) -> Marks:
+    """The bitmap of (lang, phrase) rows; the driver receives its words that aren't zero, 16 MB at most."""
+    def run(batches):
+        own = Marks()
+        for batch in batches:
+            by_lang: dict[str, list[list[int]]] = {}
+            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
+                by_lang.setdefault(lang, []).append([zlib.crc32(w.encode()) for w in phrase.split(" ")])
+            for lang, sums in by_lang.items():
+                own.add(Marks.hashes(lang, *np.array(sums, np.uint64).T))
+        at = np.flatnonzero(own.words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.words[at].view(np.int64))], names=["at", "bits"])
+
+    found = often.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = Marks()
+    out.words[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def grams(dictionary: DataFrame, n: int, least: int, parts: Marks | None = None) -> DataFrame:
+    """(lang, size, phrase, f): phrases of n words that occur `least` times or more. `parts` marks the phrases
+    of n - 1 words that do; a phrase with a part that doesn't is left out before it's counted."""
+    names = ["lang", "phrase", "f"]
+    shared = dictionary.sparkSession.sparkContext.broadcast(parts)
 
     def count(own: str, inner: np.ndarray, texts: pa.Array, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
         bits = int(len(words)).bit_length()
-        if 3 * bits > 63 and len(texts) > 1:        # more distinct words than a key can hold
+        if n * bits > 63 and len(texts) > 1:        # more distinct words than a key can hold
             half = len(texts) // 2
             for cut in (slice(None, half), slice(half, None)):
                 yield from count(own, inner[cut], texts[cut], weights[cut])
@@ -145,32 +197,28 @@ def windows(dictionary: DataFrame) -> DataFrame:
         offsets, codes = lists.offsets.to_numpy().astype(np.int64), coded.indices.to_numpy().astype(np.int64)
         sizes = np.diff(offsets)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        place, weight = np.arange(len(codes)) - offsets[owner], weights[owner]
-        later = inner[owner]
-        left = sizes[owner] - place                 # words from here to the chunk's end
-
-        def rows(key, f, g):
-            order = np.argsort(key, kind="stable")
-            key, first = np.unique(key[order], return_index=True)
-            return key, np.add.reduceat(f[order], first), np.add.reduceat(g[order], first)
-
-        def batch(head, tail, f, g):
-            return pa.RecordBatch.from_arrays([pa.array([own] * len(f), pa.string()), head, tail, pa.array(f), pa.array(g)], names=names)
-
+        place = np.arange(len(codes)) - offsets[owner]
         # what ends within the two words shared with the chunk before counts there
-        i = np.flatnonzero(~later | (place >= 2))
-        if len(i):
-            key, _, g = rows(codes[i], weight[i], weight[i])
-            yield batch(words.take(pa.array(key)), pa.nulls(len(key), pa.string()), np.zeros(len(key), np.int64), g)
-        i = np.flatnonzero((left >= 2) & (~later | (place >= 1) | (left >= 3)))
-        if len(i):
-            third = np.where(left[i] >= 3, codes[np.minimum(i + 2, len(codes) - 1)] + 1, 0)
-            key = (codes[i] << bits | codes[i + 1]) << bits | third
-            key, f, g = rows(key, np.where(third > 0, weight[i], 0), np.where(later[i] & (place[i] == 0), 0, weight[i]))
-            mask = (1 << bits) - 1
-            head = pc.binary_join_element_wise(words.take(pa.array(key >> 2 * bits)), words.take(pa.array(key >> bits & mask)), " ")
-            third = key & mask
-            yield batch(head, words.take(pa.array(third - 1, mask=third == 0)), f, g)
+        good = (place + n <= sizes[owner]) & (~inner[owner] | (place + n > 2))
+        if shared.value is not None:
+            sums = np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.uint64, len(words))
+            if n == 2:
+                found = shared.value.holds(Marks.hashes(own, sums))[codes]
+            else:
+                found = np.append(shared.value.holds(Marks.hashes(own, sums[codes[:-1]], sums[codes[1:]])), False)
+            good &= found & np.append(found[1:], False)
+        i = np.flatnonzero(good)
+        if not len(i):
+            return
+        key = codes[i]
+        for j in range(1, n):
+            key = key << bits | codes[i + j]
+        order = np.argsort(key, kind="stable")
+        key, first = np.unique(key[order], return_index=True)
+        f = np.add.reduceat(weights[owner[i]][order], first)
+        picked = [words.take(pa.array(key >> bits * (n - 1 - j) & (1 << bits) - 1)) for j in range(n)]
+        phrase = picked[0] if n == 1 else pc.binary_join_element_wise(*picked, " ")
+        yield pa.RecordBatch.from_arrays([pa.array([own] * len(f), pa.string()), phrase, pa.array(f)], names=names)
 
     def run(batches):
         held: dict[str, list[pa.RecordBatch]] = {}
@@ -192,38 +240,8 @@ def windows(dictionary: DataFrame) -> DataFrame:
                 held, total = {}, 0
         yield from emit()
 
-    return dictionary.mapInArrow(run, "lang string, head string, tail string, f long, g long")
-
-
-def hot_heads(df: DataFrame, text: str, lang: str, trigger: int) -> list:
-    """Pairs of words that more than one place in HOT_SHARE begins with, by a sample of rows: at most HOT_SHARE
-    pairs. They only say which pairs are dealt out over several tasks, the counts don't depend on them."""
-    rows = df.count()
-    sample = df.sample(False, min(1.0, SAMPLE_ROWS / max(1, rows)), 1)
-    places = windows(chunks(sample, text, lang, trigger)).filter("head like '% %'").groupBy("lang", "head").agg(F.sum("g").alias("g"))
-    total = places.agg(F.sum("g")).first()[0] or 0
-    often = places.filter(F.col("g") > total / HOT_SHARE + 20).orderBy(F.desc("g"), "lang", "head").limit(HOT_SHARE)
-    return [r.head for r in often.collect()]
-
-
-def grams(counted: DataFrame, hot: list, least: int) -> DataFrame:
-    """(lang, size, phrase, f): the phrases of one to three words that occur `least` times or more.
-
-    One shuffle brings the windows of a head together; those of a hot head go to SALTS tasks by their tails,
-    and the heads' sums of these tasks are added up at the end."""
-    several = F.col("head").isin(hot) if hot else F.lit(False)
-    spread = F.when(several, F.pmod(F.xxhash64("tail"), F.lit(SALTS))).otherwise(0)
-    keys = ["lang", "salt", "head"]
-    together = (counted.withColumn("salt", spread).repartition(*keys)
-                .groupBy(*keys, "tail").agg(F.sum("f").alias("f"), F.sum("g").alias("g")))
-    window = Window.partitionBy(*keys)
-    both = together.withColumns({"all": F.sum("g").over(window), "first": F.row_number().over(window.orderBy("tail")) == 1})
-    head = F.when(F.col("first") & ((F.col("all") >= least) | several), F.struct(F.col("head").alias("phrase"), F.col("all").alias("f")))
-    tail = F.when(F.col("f") >= least, F.struct(F.concat_ws(" ", "head", "tail").alias("phrase"), F.col("f").alias("f")))
-    return (both.filter(head.isNotNull() | tail.isNotNull())
-            .select("lang", F.inline(F.array_compact(F.array(head, tail))))
-            .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-            .select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "f"))
+    return (dictionary.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+            .filter(F.col("f") >= least).select("lang", F.lit(n).alias("size"), "phrase", "f"))
 
 
 def part(phrase: Column, first: int, last: int) -> Column:
@@ -242,9 +260,13 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
             trigger: int = TRIGGER) -> DataFrame:
     """Each language's `top` phrases: those of 2 and 3 words that occur `least` times or more, without
     those of which a longer candidate holds `share` percent, by the score of their worst cut."""
-    counted = windows(chunks(df, text, lang, trigger))
-    # a part is never rarer than the phrase it's cut from, so grams below `least` aren't needed further
-    often = materialise(grams(counted, hot_heads(df, text, lang, trigger), least), "phrase-grams")
+    dictionary = materialise(chunks(df, text, lang, trigger), "phrase-chunks")
+    # a part is never rarer than the phrase it's cut from, so each length needs the frequent ones of the last only
+    often, parts = None, None
+    for n in (1, 2, 3):
+        found = materialise(grams(dictionary, n, least, parts), "phrase-grams")
+        parts = marked(found) if n < 3 else None
+        often = found if often is None else often.unionByName(found)
     totals = words_per_language(df, text, lang)
     found = often.filter("size >= 2").withColumnRenamed("f", "a")
     cuts = [(1, "l", 1, 1), (1, "r", 2, 3), (2, "l", 1, 2), (2, "r", 3, 3)]

@@ -56,21 +56,33 @@ def test_every_way_of_cutting_gives_the_counts_of_the_definition(spark, trigger)
 def test_chunks_hold_every_gram_once(spark):
     rows = prose(9, 60)
     df = spark.createDataFrame(rows, "text string, lang string")
-    whole = {tuple(r) for r in ph.grams(ph.windows(ph.chunks(df, trigger=10**9)), [], 1).collect()}
-    for trigger in (1, 3, 7):
-        dictionary = ph.chunks(df, trigger=trigger)
-        assert dictionary.filter("inner").count() > 0
-        assert {tuple(r) for r in ph.grams(ph.windows(dictionary), [], 1).collect()} == whole
 
+    def counted(trigger):
+        dictionary = ph.chunks(df, trigger=trigger)
+        return dictionary, {tuple(r) for n in (1, 2, 3) for r in ph.grams(dictionary, n, 1).collect()}
 
-def test_hot_pairs_are_dealt_out_and_count_the_same(spark):
-    rows = [(" ".join(f"the end x{i % 7} y{i % 3}" for i in range(j % 40)), "en") for j in range(80)]
-    df = spark.createDataFrame(rows, "text string, lang string")
-    hot = ph.hot_heads(df, "text", "lang", 16)
-    assert "the end" in hot
-    counted = ph.windows(ph.chunks(df))
-    assert {tuple(r) for r in ph.grams(counted, hot, 1).collect()} == {tuple(r) for r in ph.grams(counted, [], 1).collect()}
-    both(spark, rows)
+    whole = counted(10**9)[1]
+    for trigger in (1, 3, 7):
+        dictionary, found = counted(trigger)
+        assert dictionary.filter("inner").count() > 0
+        assert found == whole
+
+
+@pytest.mark.parametrize("bits", [26, 7])
+def test_frequent_parts_leave_out_rare_phrases_only(spark, monkeypatch, bits):
+    """Also with a bitmap that is nearly full."""
+    monkeypatch.setattr(ph.Marks, "BITS", bits)
+    dictionary = ph.chunks(spark.createDataFrame(prose(11, 80, 25), "text string, lang string"))
+    parts = None
+    for n in (1, 2, 3):
+        all_ = {tuple(r) for r in ph.grams(dictionary, n, 6).collect()}
+        found = ph.grams(dictionary, n, 6, parts)
+        assert {tuple(r) for r in found.collect()} == all_
+        if n < 3:
+            parts = ph.marked(found)
+            counted = {tuple(r) for r in ph.grams(dictionary, n + 1, 1, parts).collect()}
+            if bits == 26 and n == 2:
+                assert len(counted) < ph.grams(dictionary, n + 1, 1).count()
 
 
 def test_copies_share_the_dictionary(spark):
