@@ -128,10 +128,9 @@ class Marks:
     """A bitmap of phrases, of a fixed size: a phrase that was marked is always found; of others, more are
     found the fuller the bitmap is, which costs work and changes no result."""
 
-    BITS = 26
-
-    def __init__(self, words: np.ndarray | None = None):
-        self.words = np.zeros(1 << self.BITS - 6, np.uint64) if words is None else words
+    def __init__(self, bits: int = 26):
+        self.bits = bits
+        self.words = np.zeros(1 << bits - 6, np.uint64)
 
     @staticmethod
     def hashes(lang: str, *sums: np.ndarray) -> np.ndarray:
@@ -145,7 +144,7 @@ class Marks:
 
     def places(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-            place = (h * np.uint64(factor)) >> np.uint64(64 - self.BITS)
+            place = (h * np.uint64(factor)) >> np.uint64(64 - self.bits)
             yield place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63))
 
     def add(self, h: np.ndarray) -> None:
@@ -159,10 +158,10 @@ class Marks:
         return found
 
 
-def marked(often: DataFrame) -> Marks:
+def marked(often: DataFrame, bits: int = 26) -> Marks:
     """The bitmap of (lang, phrase) rows; the driver receives its words that aren't zero, 16 MB at most."""
     def run(batches):
-        own = Marks()
+        own = Marks(bits)
         for batch in batches:
             by_lang: dict[str, list[list[int]]] = {}
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
@@ -173,7 +172,7 @@ def marked(often: DataFrame) -> Marks:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.words[at].view(np.int64))], names=["at", "bits"])
 
     found = often.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = Marks()
+    out = Marks(bits)
     out.words[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -244,11 +243,6 @@ def grams(dictionary: DataFrame, n: int, least: int, parts: Marks | None = None)
             .filter(F.col("f") >= least).select("lang", F.lit(n).alias("size"), "phrase", "f"))
 
 
-def part(phrase: Column, first: int, last: int) -> Column:
-    """Words first to last (from 1) of a phrase."""
-    return F.array_join(F.slice(F.split(phrase, " "), first, last - first + 1), " ")
-
-
 def score(a: Column, left: Column, right: Column) -> Column:
     """floor(1 000 000 a a / (l r)), exact; at most a million, as neither part is rarer than the whole."""
     wide = "decimal(19,0)"
@@ -269,17 +263,17 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int =
         often = found if often is None else often.unionByName(found)
     totals = words_per_language(df, text, lang)
     found = often.filter("size >= 2").withColumnRenamed("f", "a")
-    cuts = [(1, "l", 1, 1), (1, "r", 2, 3), (2, "l", 1, 2), (2, "r", 3, 3)]
+    cuts = [(1, "l", "1"), (1, "r", "1 - size"), (2, "l", "2"), (2, "r", "2 - size")]
     asked = (found.select("lang", "phrase", "size", "a", F.inline(F.array(*[
-        F.struct(F.lit(cut).alias("cut"), F.lit(side).alias("side"), part("phrase", first, last).alias("part"))
-        for cut, side, first, last in cuts])))
+        F.struct(F.lit(cut).alias("cut"), F.lit(side).alias("side"), F.expr(f"substring_index(phrase, ' ', {words})").alias("part"))
+        for cut, side, words in cuts])))
         .filter(F.col("cut") < F.col("size")))
     counted = (asked.join(often.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"])
                .groupBy("lang", "phrase")
                .agg(F.first("a").alias("a"), *[F.max(F.when((F.col("cut") == cut) & (F.col("side") == side), F.col("f"))).alias(f"{side}{cut}")
-                                               for cut, side, _, _ in cuts]))
+                                               for cut, side, _ in cuts]))
     longer = (found.filter("size = 3")
-              .select("lang", F.explode(F.array(part("phrase", 1, 2), part("phrase", 2, 3))).alias("phrase"), "a")
+              .select("lang", F.explode(F.array(F.substring_index("phrase", " ", 2), F.substring_index("phrase", " ", -2))).alias("phrase"), "a")
               .groupBy("lang", "phrase").agg(F.max("a").alias("within")))
     second = F.col("l2").isNotNull() & (score(F.col("a"), F.col("l2"), F.col("r2")) < score(F.col("a"), F.col("l1"), F.col("r1")))
     scored = (counted.join(longer, ["lang", "phrase"], "left")
