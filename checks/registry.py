@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["feature_queries", "model_queries", "report_queries", "flow_queries", "extra_queries"]
+MODULES = ["feature_queries", "model_queries", "report_queries", "flow_queries", "extra_queries", "stream_queries"]
 
 
 def registry() -> dict:

@@ -88,3 +88,26 @@ def sustained(series: DataFrame, condition: str, minutes: int, step_minutes: int
     window = Window.partitionBy(*by).orderBy("__at").rangeBetween(-span, 0)
     held = F.sum(F.col(condition).cast("int")).over(window)
     return rows.withColumn("firing", held == minutes // step_minutes + 1).drop("__at")
+
+
+def transitions(series: DataFrame, condition: Column, minutes: int, step_minutes: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """(by, state, at): when the condition became pending, firing (held for `minutes`) and resolved. An evaluation
+    that is missing ends a run. A run that reaches the last evaluation of the series is still open.
+
+    One row per evaluation time (and key), so the series grows with time, not with traffic.
+    """
+    step, span = step_minutes * 60 * MICROS, minutes * 60 * MICROS
+    rows = series.select(*by, epoch_us("at").alias("us"), F.coalesce(condition, F.lit(False)).alias("holds"))
+    end = rows.agg(F.max("us").alias("__end"))
+    order = Window.partitionBy(*by).orderBy("us")
+    runs = (rows.filter("holds").withColumn("begins", F.coalesce(F.col("us") - F.lag("us").over(order) != step, F.lit(True)))
+            .withColumn("since", F.last(F.when(F.col("begins"), F.col("us")), ignorenulls=True).over(order))
+            .withColumn("ends", F.coalesce(F.lead("us").over(order) - F.col("us") != step, F.lit(True))))
+    held = F.col("us") - F.col("since")
+
+    def state(name: str, when: Column, at: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("state"), F.timestamp_micros(at).alias("at")))
+
+    found = F.array(state("pending", F.col("begins"), F.col("us")), state("firing", held == span, F.col("us")),
+                    state("resolved", F.col("ends") & (held >= span) & (F.col("us") + step <= F.col("__end")), F.col("us") + step))
+    return runs.crossJoin(F.broadcast(end)).select(*by, F.inline(F.array_compact(found)))
