@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["feature_queries", "model_queries", "report_queries", "flow_queries", "extra_queries", "stream_queries"]
+MODULES = ["feature_queries", "model_queries", "report_queries", "flow_queries", "extra_queries", "stream_queries",
+           "signal_queries"]
 
 
 def registry() -> dict:

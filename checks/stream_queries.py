@@ -53,7 +53,7 @@ F6_ONLINE_SQL = feats_sql(f"SELECT transaction_id, user_id, known_user, {_select
 
 
 def w2_sustained(spark, d):
-    """Alert rate per operator over six hours, every hour, above 2 % for two hours; one row in ten comes
+    """Alert rate per operator over six hours, every hour, above 85 % for two hours; one row in ten comes
     two hours late."""
     late = F.when(F.col("event_id") % 10 == 0, F.expr("scored_at + INTERVAL 2 HOURS")).otherwise(F.col("scored_at"))
     rows = fact(spark, d).select("event_id", F.col("scored_at").cast("timestamp").alias("scored_at"), "operator", "action")
@@ -61,7 +61,7 @@ def w2_sustained(spark, d):
     def rule(stream: DataFrame) -> DataFrame:
         series = evaluations(stream.withWatermark("scored_at", "3 hours"), "scored_at", "6 hours", "1 hour", ["operator"],
                              alerts=F.count_if(F.col("action") != "APPROVE"), n=F.count("*"))
-        found = sustained_stream(series, F.col("alerts") > 0.02 * F.col("n"), 120, 60, ["operator"])
+        found = sustained_stream(series, F.col("alerts") > 0.85 * F.col("n"), 120, 60, ["operator"])
         return found.select("operator", "state", F.unix_micros("at").alias("at_us"))
 
     return streamed(rows.withColumn("arrival", late), "arrival", "decisions", rule)
@@ -78,7 +78,7 @@ evals AS (SELECT operator, us, count(*) FILTER (WHERE action <> 'APPROVE') AS al
           WHERE us <= (SELECT w FROM wm) GROUP BY operator, us),
 held AS (SELECT operator, us, coalesce(us - lag(us) OVER o <> 3600000000, true) AS begins,
                 coalesce(lead(us) OVER o - us <> 3600000000, true) AS ends
-         FROM evals WHERE alerts > 0.02e0 * n WINDOW o AS (PARTITION BY operator ORDER BY us)),
+         FROM evals WHERE alerts > 0.85e0 * n WINDOW o AS (PARTITION BY operator ORDER BY us)),
 runs AS (SELECT *, max(CASE WHEN begins THEN us END) OVER (PARTITION BY operator ORDER BY us) AS since FROM held)
 """.strip())
 

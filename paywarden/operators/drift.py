@@ -5,8 +5,10 @@ sides, running counts per feature, then sums.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from paywarden.session import materialise
 KS_MAX, P_MIN, PSI_MAX = 0.10, 0.01, 0.20
 BINS, FLOOR = 10, 1e-4
 MIN_WINDOW = 500
+EXACT_ROWS = 10_000
 CALENDAR = ["hour_sin", "hour_cos", "is_night", "is_weekend", "is_month_end"]
 CUMULATIVE = ["log_history_days", "log_user_tx_count", "tx_count_7d", "log_device_prior_uses",
               "n_devices_user", "counterparty_n_users", "log_account_age_days", "user_night_ratio",
@@ -64,7 +67,7 @@ def value_table(reference: DataFrame, current: DataFrame, policy: SkewPolicy = D
 
 
 def _ks(table: DataFrame) -> Column:
-    return F.max(F.abs(F.col("ref_upto") / F.col("n_ref") - F.col("cur_upto") / F.col("n_cur")))
+    return F.max(F.abs(F.try_divide("ref_upto", "n_ref") - F.try_divide("cur_upto", "n_cur")))
 
 
 def ks_p_value(d: Column, n: Column, m: Column) -> Column:
@@ -83,6 +86,35 @@ def ks_2samp(table: DataFrame) -> DataFrame:
                     "n_ref", "n_cur")
 
 
+def ks_exact_p(d: float, n: int, m: int) -> float:
+    """Chance that two samples of n and m rows of one continuous law differ by d or more: the share of lattice
+    paths from (0, 0) to (n, m) that leave the band |i / n - j / m| < d.
+
+    `left` is that share among the paths to a point; a point is reached over its two neighbours in proportion
+    to their paths, so one diagonal follows from the one before and nothing large is ever formed.
+    """
+    whole = n * m // math.gcd(n, m)
+    reach = round(d * whole)
+    if reach <= 0:
+        return 1.0
+    wide, high = whole // n, whole // m
+    left = np.zeros(n + 1)
+    for s in range(1, n + m + 1):
+        i = np.arange(max(0, s - m), min(n, s) + 1)
+        over = np.where(i > 0, left[np.maximum(i - 1, 0)] * i, 0.0) + np.where(i < s, left[i] * (s - i), 0.0)
+        left[i] = np.where(np.abs(i * wide - (s - i) * high) >= reach, 1.0, over / s)
+    return float(left[n])
+
+
+def ks_2samp_exact(table: DataFrame, by: str = "feature") -> DataFrame:
+    """KS distance and p-value: the exact law up to EXACT_ROWS rows on either side, the asymptotic one beyond."""
+    exact = F.udf(lambda d, n, m: ks_exact_p(d, n, m), "double")
+    d = table.groupBy(by).agg(_ks(table).alias("ks_d"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
+    small = (F.col("n_ref") > 0) & (F.col("n_cur") > 0) & (F.greatest("n_ref", "n_cur") <= EXACT_ROWS)
+    return d.select(by, "ks_d", F.when(small, exact("ks_d", F.when(small, F.col("n_ref")), F.when(small, F.col("n_cur"))))
+                    .otherwise(ks_p_value(F.col("ks_d"), F.col("n_ref"), F.col("n_cur"))).alias("ks_p"), "n_ref", "n_cur")
+
+
 def quantile_edges(table: DataFrame, bins: int = BINS) -> DataFrame:
     """Inner bin edges per feature: distinct reference quantiles without the outermost two."""
     seen = table.filter(F.col("ref") > 0)
