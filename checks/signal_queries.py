@@ -1,4 +1,4 @@
-"""Agent and recipient signals, calibration, thresholds in money, the exact KS law."""
+"""Agent and recipient signals, calibration, thresholds in money, the exact KS law, hash trees, unseen kinds of fraud."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -7,7 +7,11 @@ from checks.feature_queries import features, feats_sql
 from checks.tables import duck, transactions
 from paywarden.operators import calibrate as ca
 from paywarden.operators import drift as dr
+from paywarden.operators import features as ft
+from paywarden.operators import hash_tree as ht
+from paywarden.operators import unseen as un
 from paywarden.operators.flows import agent_fraud_exposure, cash_out_speed
+from paywarden.session import materialise
 
 
 def x1(spark, d):
@@ -122,6 +126,41 @@ FROM k LEFT JOIN (SELECT feature, v FROM p WHERE s = n + m) USING (feature)""").
     "RECURSIVE v AS (SELECT concat_ws", "v AS (SELECT concat_ws", 1)
 
 
+def k8_tree(spark, d):
+    """The tree over one chain per user: its last transaction stands for the tip."""
+    tips = transactions(spark, d).groupBy("user_id").agg(F.sha2(F.max("transaction_id"), 256).alias("tip"), F.count("*").alias("n"))
+    leaf = ht.leaves(tips, ["user_id"])
+    nodes = ht.hash_tree(leaf)
+    proved = ht.proofs(leaf, nodes)
+    # a leaf's own row also says how many digests prove it, and whether they do
+    top = ht.root(nodes)
+    known = proved.select(F.lit(0).alias("level"), "idx", F.size("proof").alias("steps"), (ht.proved_root() == F.lit(top)).alias("proved"))
+    return nodes.join(known, ["level", "idx"], "left").select("level", "idx", "digest", "steps", "proved")
+
+
+K8_TREE_SQL = duck("""
+WITH RECURSIVE l AS (SELECT user_id, sha256(max(transaction_id)) AS tip, count(*)::varchar AS n, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM tx GROUP BY user_id),
+t AS (
+  SELECT 0 AS level, idx, sha256(concat('L', len(user_id), ':', user_id, len(tip), ':', tip, len(n), ':', n)) AS digest, (SELECT count(*) FROM l) AS here FROM l
+  UNION ALL
+  SELECT level + 1, idx // 2, CASE WHEN count(*) = 2 THEN sha256('N' || min_by(digest, idx) || max_by(digest, idx)) ELSE min(digest) END, (here + 1) // 2
+  FROM t WHERE here > 1 GROUP BY level, idx // 2, here),
+steps AS (SELECT l.idx, count(*) FILTER (WHERE s.idx IS NOT NULL) AS steps
+  FROM l CROSS JOIN (SELECT DISTINCT level, here FROM t WHERE here > 1) v LEFT JOIN t s ON s.level = v.level AND s.idx = xor(l.idx >> v.level, 1) GROUP BY l.idx)
+SELECT level, t.idx, digest, CASE WHEN level = 0 THEN steps END AS steps, CASE WHEN level = 0 THEN true END AS proved
+FROM t LEFT JOIN steps ON level = 0 AND steps.idx = t.idx""").replace("WITH tx AS", "WITH RECURSIVE tx AS", 1).replace("RECURSIVE l AS (SELECT user_id", "l AS (SELECT user_id", 1)
+
+
+def u1(spark, d):
+    """Each kind of fraud left out of the training once; features as they are."""
+    df = features(spark, d).withColumn("y", F.col("is_fraud"))
+    rows = materialise(df.select("transaction_id", "y", "fraud_type", *ft.FEATURE_NAMES), "unseen")
+    fits = un.leave_one_kind_out(rows, ft.FEATURE_NAMES)
+    r = un.unseen_recall(rows, fits)
+    return r.select("fraud_type", "n", *[F.round(c, 6).alias(c) for c in ("recall_unseen", "recall_seen", "marked_legitimate")])
+
+
 def build() -> dict:
     return {"x1_agent_fraud_exposure": (x1, X1_SQL), "x2_cash_out_speed": (x2, X2_SQL), "c1_isotonic": (c1, C1_SQL),
-            "c2_avoidance_curve": (c2, C2_SQL), "g4_ks_exact": (g4_exact, G4_EXACT_SQL)}
+            "c2_avoidance_curve": (c2, C2_SQL), "g4_ks_exact": (g4_exact, G4_EXACT_SQL),
+            "k8_hash_tree": (k8_tree, K8_TREE_SQL), "u1_unseen_kinds": (u1, None)}

@@ -108,7 +108,7 @@ def ks_exact_p(d: float, n: int, m: int) -> float:
 
 def ks_2samp_exact(table: DataFrame, by: str = "feature") -> DataFrame:
     """KS distance and p-value: the exact law up to EXACT_ROWS rows on either side, the asymptotic one beyond."""
-    exact = F.udf(lambda d, n, m: ks_exact_p(d, n, m), "double")
+    exact = F.udf(lambda d, n, m: None if d is None or n is None else ks_exact_p(d, n, m), "double")
     d = table.groupBy(by).agg(_ks(table).alias("ks_d"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
     small = (F.col("n_ref") > 0) & (F.col("n_cur") > 0) & (F.greatest("n_ref", "n_cur") <= EXACT_ROWS)
     return d.select(by, "ks_d", F.when(small, exact("ks_d", F.when(small, F.col("n_ref")), F.when(small, F.col("n_cur"))))
