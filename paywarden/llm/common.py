@@ -155,6 +155,17 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         label = after.select("node", "root")
 
 
+def spaced_words(texts: list[str]) -> pa.ListArray:
+    """Each text cut before every single space. A byte-level pattern joins one space to what follows, so no piece
+    straddles a cut; a text with spaces that follow each other stays whole, as a run of white space is one
+    piece. Cuts are marked by a character that no text of the batch holds; were there none, all stay whole."""
+    mark = next((c for c in ("\x1e", "\x1f", *map(chr, range(0xE000, 0xE100))) if not any(c in t for t in texts)), None)
+    if mark is None:
+        return pa.array([[t] for t in texts], pa.list_(pa.string()))
+    cut = [t if "  " in t else t.replace(" ", mark + " ") for t in texts]
+    return pc.split_pattern(pa.array(cut, pa.string()), mark)
+
+
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs values[start:start + size], one after the other."""
     ends = np.cumsum(sizes)
@@ -166,9 +177,10 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 class WordTable:
     """Encoded words of a worker process, in flat arrays. A batch's words are dictionary-encoded, only words
     that are new are encoded, and all occurrences are gathered from the arrays; the table starts anew when
-    it holds `entries` words or as many million values, which bounds the memory and changes no result."""
+    it holds `entries` words or eight times as many values, which bounds the memory and changes no result.
+    `encode` turns a list of words into the values of each, as one list for each track."""
 
-    def __init__(self, encode: Callable[[str], Sequence[Sequence[int]]], tracks: int, entries: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[Sequence[int]]]], tracks: int, entries: int = 400_000):
         self.encode, self.tracks, self.entries = encode, tracks, entries
         self.clear()
 
@@ -179,7 +191,7 @@ class WordTable:
         self.values = [np.zeros(0, np.int32) for _ in range(self.tracks)]
 
     def add(self, words: list[str]) -> None:
-        done = [self.encode(w) for w in words]
+        done = self.encode(words)
         sizes = np.array([len(d[0]) for d in done], np.int64)
         first = len(self.values[0]) + np.cumsum(sizes) - sizes
         self.row.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))

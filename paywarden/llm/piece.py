@@ -136,7 +136,7 @@ class Pieces:
                         else p.replace(MARK, " ").encode() for p, k in zip(self.piece, self.kind)]
         self.raw = {i: bytes([b]) for b, i in self.byte_id.items()}
         self.decoded = [self.raw.get(i, s) for i, s in enumerate(self.surface)]
-        self.words = WordTable(self.merge, 2)
+        self.words = WordTable(lambda words: [self.merge(w) for w in words], 2)
 
     def plain(self, text: str) -> tuple[str, np.ndarray]:
         """The usual case: spaces become marks, all else stays."""

@@ -29,11 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paywarden.llm.common import ChunkCache, file_system, new_folder, slices, word_chunks, write_file
+from paywarden.llm.common import WordTable, file_system, new_folder, slices, spaced_words, write_file
 
 MAGIC = b"PWTP"
 BLOCK = 1 << 16
-_encoders: dict[str, ChunkCache] = {}
+_encoders: dict[str, WordTable] = {}
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -127,8 +127,8 @@ def read_documents(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
             held, start = flat[n:], start + n
 
 
-def encoder(spec: str) -> ChunkCache:
-    """The tokenizers library behind a cache of chunks between single spaces, which byte-level tokenizers
+def encoder(spec: str) -> WordTable:
+    """The tokenizers library behind a table of words between single spaces, which byte-level tokenizers
     encode independently of each other."""
     key = hashlib.md5(spec.encode()).hexdigest()
     if key not in _encoders:
@@ -136,23 +136,27 @@ def encoder(spec: str) -> ChunkCache:
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-
-        def fill(chunks: list[str]) -> dict[str, bytes]:
-            done = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-            return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, done)}
-
         _encoders.clear()
-        _encoders[key] = ChunkCache(lambda t: (word_chunks(t) or [t]) if t else [], fill)
+        _encoders[key] = WordTable(lambda words: [[e.ids] for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], 1)
     return _encoders[key]
 
 
+def encode_texts(spec: str, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text (uint32)."""
+    words = spaced_words(texts)
+    sizes, (ids,) = encoder(spec).look_up(words.flatten())
+    bounds = np.concatenate([[0], np.cumsum(sizes)])[words.offsets.to_numpy()].tolist()
+    ids = ids.view(np.uint32)
+    return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, ident: str = "doc_id", text: str = "text",
                  end_id: int = 0, bits: bool = False, block: int = BLOCK) -> DataFrame:
     """Encode, write the files below `folder` and return the manifest: file, n_docs, n_tokens, lowest key."""
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:      # a vocabulary file of the driver, a few MB
         spec = spark.sparkContext.broadcast(f.read())
-    end = struct.pack("<I", end_id)
+    end = np.uint32(end_id)
 
     def run(batches):
         import os
@@ -161,15 +165,14 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, ident: str = "
         tokens = docs = 0
         for batch in batches:
             for part in slices(batch, "t"):
-                encode = encoder(spec.value)
-                found = encode.encode([t or "" for t in part.column("t").to_pylist()])
+                found = encode_texts(spec.value, [t or "" for t in part.column("t").to_pylist()])
                 for doc_id, h, ids in zip(part.column("id").to_pylist(), part.column("h").to_pylist(), found):
                     if writer is None:
                         stream, close = write_file(f"{folder}/ids-{uuid.uuid4().hex}.pwtp")
                         writer, low = Writer(stream, bits, block), (doc_id, h)
-                    writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+                    writer.add(doc_id, np.append(ids, end))
                     docs += 1
-                    tokens += len(ids) // 4 + 1
+                    tokens += len(ids) + 1
         if writer is not None:
             writer.finish()
             yield pa.RecordBatch.from_pylist([{"file": close(), "n_docs": docs, "n_tokens": tokens, "low_id": low[0], "low_hash": low[1]}])

@@ -111,3 +111,18 @@ def test_op9_equals_library(spark, library):
         r = got[doc_id]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         start += len(want)
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(PIECES, min_size=1, max_size=5))
+def test_file_encoder_equals_library(library, texts):
+    spec = open(tokenizer_path(), encoding="utf-8").read()
+    found = tokenbin.encode_texts(spec, texts)
+    assert [x.tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_file_encoder_where_every_mark_is_taken(library):
+    spec = open(tokenizer_path(), encoding="utf-8").read()
+    marks = "\x1e\x1f" + "".join(map(chr, range(0xE000, 0xE100)))
+    texts = ["one two  three", marks + " and more", "", " x"]
+    assert [x.tolist() for x in tokenbin.encode_texts(spec, texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
