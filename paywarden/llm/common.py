@@ -178,9 +178,9 @@ class WordTable:
     """Encoded words of a worker process, in flat arrays. A batch's words are dictionary-encoded, only words
     that are new are encoded, and all occurrences are gathered from the arrays; the table starts anew when
     it holds `entries` words or eight times as many values, which bounds the memory and changes no result.
-    `encode` turns a list of words into the values of each, as one list for each track."""
+    `encode` turns a list of words into the number of values of each, and all values in a row for each track."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[Sequence[int]]]], tracks: int, entries: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, Sequence[np.ndarray]]], tracks: int, entries: int = 400_000):
         self.encode, self.tracks, self.entries = encode, tracks, entries
         self.clear()
 
@@ -191,13 +191,11 @@ class WordTable:
         self.values = [np.zeros(0, np.int32) for _ in range(self.tracks)]
 
     def add(self, words: list[str]) -> None:
-        done = self.encode(words)
-        sizes = np.array([len(d[0]) for d in done], np.int64)
+        sizes, values = self.encode(words)
         first = len(self.values[0]) + np.cumsum(sizes) - sizes
         self.row.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
         self.starts, self.sizes = np.concatenate([self.starts, first]), np.concatenate([self.sizes, sizes])
-        self.values = [np.concatenate([old, np.fromiter((x for d in done for x in d[i]), np.int32, int(sizes.sum()))])
-                       for i, old in enumerate(self.values)]
+        self.values = [np.concatenate([old, new]) for old, new in zip(self.values, values)]
 
     def look_up(self, words: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         """How many values each word has, and the values of all words in order, for each track."""

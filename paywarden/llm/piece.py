@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paywarden.llm.common import WordTable, add_columns
+from paywarden.llm.common import WordTable, add_columns, gather
 
 #: Fixed values of the model format: the mark that stands for a space, and what an unknown piece decodes to.
 MARK = "▁"
@@ -34,6 +34,8 @@ UNKNOWN_SURFACE = " ⁇ "
 #: Fixed values of the model format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SLICE_BYTES = 4 << 20
+ENTRIES = 800_000               # words a worker keeps
+NO_PIECE, RARE = float("-inf"), 1 << 40
 SHORT = 24                      # symbols up to which scanning for the best pair beats a heap
 
 
@@ -134,9 +136,12 @@ class Pieces:
         #: what an id decodes to: text as bytes, with spaces for marks; None for a byte piece
         self.surface = [b"" if k == CONTROL else self.unknown_surface.encode() if k == UNKNOWN
                         else p.replace(MARK, " ").encode() for p, k in zip(self.piece, self.kind)]
+        self.width = [len(p.encode()) for p in self.piece]
+        self.widths = np.array(self.width)
         self.raw = {i: bytes([b]) for b, i in self.byte_id.items()}
         self.decoded = [self.raw.get(i, s) for i, s in enumerate(self.surface)]
-        self.words = WordTable(lambda words: [self.merge(w) for w in words], 2)
+        self.words = WordTable(self.merge_all, 2, ENTRIES)
+        self.pairs()
 
     def plain(self, text: str) -> tuple[str, np.ndarray]:
         """The usual case: spaces become marks, all else stays."""
@@ -212,19 +217,17 @@ class Pieces:
     def merged(self, symbols: list[str]) -> tuple[list[str], dict[str, tuple[str, str]]]:
         """The symbols left when no neighbours form a piece; and which two made each unused piece."""
         score, own, unused, made = self.score.get, self.own, self.unused, {}
-
-        def rank(a: str, b: str) -> float | None:
-            return None if a in own or b in own else score(a + b)
+        if own:
+            def rank(a: str, b: str) -> float:
+                return NO_PIECE if a in own or b in own else score(a + b, NO_PIECE)
+        else:
+            def rank(a: str, b: str) -> float:
+                return score(a + b, NO_PIECE)
 
         if len(symbols) <= SHORT:
-            ranks = [rank(a, b) for a, b in zip(symbols, symbols[1:])]
-            while True:
-                best, at = None, -1
-                for i, r in enumerate(ranks):
-                    if r is not None and (best is None or r > best):
-                        best, at = r, i
-                if best is None:
-                    return symbols, made
+            ranks = list(map(rank, symbols, symbols[1:]))
+            while ranks and (best := max(ranks)) > NO_PIECE:
+                at = ranks.index(best)          # the leftmost
                 joint = symbols[at] + symbols[at + 1]
                 if joint in unused:
                     made[joint] = (symbols[at], symbols[at + 1])
@@ -234,9 +237,10 @@ class Pieces:
                     ranks[at] = rank(joint, symbols[at + 1])
                 if at:
                     ranks[at - 1] = rank(symbols[at - 1], joint)
+            return symbols, made
         n = len(symbols)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(-r, i, symbols[i] + symbols[i + 1]) for i in range(n - 1) if (r := rank(symbols[i], symbols[i + 1])) is not None]
+        heap = [(-r, i, symbols[i] + symbols[i + 1]) for i in range(n - 1) if (r := rank(symbols[i], symbols[i + 1])) > NO_PIECE]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
@@ -249,17 +253,18 @@ class Pieces:
             symbols[i], alive[j], right[i] = joint, False, right[j]
             if right[i] >= 0:
                 left[right[i]] = i
-                if (r := rank(joint, symbols[right[i]])) is not None:
+                if (r := rank(joint, symbols[right[i]])) > NO_PIECE:
                     heapq.heappush(heap, (-r, i, joint + symbols[right[i]]))
-            if left[i] >= 0 and (r := rank(symbols[left[i]], joint)) is not None:
+            if left[i] >= 0 and (r := rank(symbols[left[i]], joint)) > NO_PIECE:
                 heapq.heappush(heap, (-r, left[i], symbols[left[i]] + joint))
         return [s for s, here in zip(symbols, alive) if here], made
 
     def merge(self, word: str) -> tuple[list[int], list[int]]:
         """Ids of a normalised word, and how many of its bytes each covers."""
-        if word in self.id and word not in self.unused and word not in self.own and len(word) == 1:
-            return [self.id[word]], [len(word.encode())]
         symbols, made = self.merged(self.symbols(word))
+        ids = list(map(self.id.get, symbols))
+        if not made and None not in ids:
+            return ids, list(map(self.width.__getitem__, ids))
         ids, sizes, stack = [], [], symbols[::-1]
         while stack:
             s = stack.pop()
@@ -283,6 +288,92 @@ class Pieces:
                 sizes.append(len(data))
         return ids, sizes
 
+    def pairs(self) -> None:
+        """Tables for merging many words at once: which pairs of pieces form a piece, and its rank by score
+        (equal scores share a rank)."""
+        levels = {x: i for i, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        found = sorted((self.id[p[:i]] << 32 | self.id[p[i:]], levels[self.score[p]], self.id[p])
+                       for p in self.id for i in range(1, len(p)) if p[:i] in self.id and p[i:] in self.id)
+        self.keys, self.ranks, self.joint = np.array([(-1, RARE, 0), *found], np.int64).T.copy()
+        self.char_id = np.full(0x110000, -1, np.int32)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.char_id[ord(p)] = i
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.keys, key, "right") - 1
+        known = (self.keys[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(known, self.ranks[at], RARE), self.joint[at]
+
+    def merge_many(self, codes: np.ndarray) -> np.ndarray:
+        """Words as rows of pieces, -1 behind their end; all rows take a merge a round until none has one left."""
+        n, width = codes.shape
+        out = np.full((n, width), -1, np.int64)
+        rows = np.arange(n)
+        s = np.hstack([codes, np.full((n, 2), -1)])
+        r, j = (np.hstack([x, np.full((n, 2), fill)]) for x, fill in zip(self.rank_of(codes[:, :-1], codes[:, 1:]), (RARE, 0)))
+        columns = np.arange(width)
+        while len(rows):
+            at = r[:, :width].argmin(1)
+            here = np.arange(len(rows))
+            going = r[here, at] < RARE
+            if not going.all():
+                out[rows[~going]] = s[~going, :width]
+                rows, s, r, j, at = rows[going], s[going], r[going], j[going], at[going]
+                here = np.arange(len(rows))
+            if not len(rows):
+                break
+            new = j[here, at]
+            later = columns[None, :] + (columns[None, :] > at[:, None])
+            s[:, :width], sooner = np.take_along_axis(s, later, 1), columns[None, :] + (columns[None, :] >= at[:, None])
+            r[:, :width], j[:, :width] = np.take_along_axis(r, sooner, 1), np.take_along_axis(j, sooner, 1)
+            s[here, at] = new
+            r[here, at], j[here, at] = self.rank_of(new, s[here, at + 1])
+            before = at > 0
+            h, b = here[before], at[before] - 1
+            r[h, b], j[h, b] = self.rank_of(s[h, b], new[before])
+        return out
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """How many pieces each word has, and all their ids and widths in a row. Words of similar length are merged
+        together; long ones, those with characters that aren't pieces, and all words of models with unused or
+        user-defined pieces, one by one."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        chars = self.char_id[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        starts = np.cumsum(lengths) - lengths
+        plain = (lengths > 0) & (lengths <= SHORT) & (not self.unused and not self.own)
+        if len(chars):
+            unknown = np.concatenate([[0], np.cumsum(chars < 0)])
+            plain &= unknown[starts + lengths] == unknown[starts]
+        ids: list[np.ndarray] = []
+        widths: list[np.ndarray] = []
+        sizes, order = [], []
+        for low, high in ((0, 6), (6, 12), (12, SHORT)):
+            chosen = np.flatnonzero(plain & (lengths > low) & (lengths <= high))
+            for i in range(0, len(chosen), 8192):
+                some = chosen[i:i + 8192]
+                place = np.arange(high)[None, :]
+                there = place < lengths[some][:, None]
+                codes = np.where(there, chars[np.minimum(starts[some][:, None] + place, len(chars) - 1)], -1).astype(np.int64)
+                done = self.merge_many(codes)
+                left = done >= 0
+                order.append(some)
+                sizes.append(left.sum(1))
+                ids.append(done[left])
+                widths.append(self.widths[done[left]])
+        for i in np.flatnonzero(~plain).tolist():
+            own, wide = self.merge(words[i])
+            order.append(np.array([i]))
+            sizes.append(np.array([len(own)]))
+            ids.append(np.array(own, np.int64))
+            widths.append(np.array(wide, np.int64))
+        if not words:
+            return lengths, [np.zeros(0, np.int32)] * 2
+        order, sizes = np.concatenate(order), np.concatenate(sizes)
+        first, back = np.cumsum(sizes) - sizes, np.argsort(order)
+        return sizes[back], [gather(np.concatenate(x), first[back], sizes[back]).astype(np.int32) for x in (ids, widths)]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Offsets of the texts' pieces, and each piece's id, begin and end byte in the original."""
         normal = [self.normalise(t) for t in texts]

@@ -22,6 +22,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from paywarden.llm.common import WordTable, file_system, new_folder, slices, spa
 
 MAGIC = b"PWTP"
 BLOCK = 1 << 16
+ENTRIES = 800_000               # words a worker keeps
 _encoders: dict[str, WordTable] = {}
 
 
@@ -137,7 +139,13 @@ def encoder(spec: str) -> WordTable:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         _encoders.clear()
-        _encoders[key] = WordTable(lambda words: [[e.ids] for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], 1)
+
+        def fill(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+            ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return sizes, [np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))]
+
+        _encoders[key] = WordTable(fill, 1, ENTRIES)
     return _encoders[key]
 
 
