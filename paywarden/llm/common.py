@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -155,14 +156,17 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         label = after.select("node", "root")
 
 
-def spaced_words(texts: list[str]) -> pa.ListArray:
+def spaced_words(texts: list[str], more: re.Pattern | None = None) -> pa.ListArray:
     """Each text cut before every single space. A byte-level pattern joins one space to what follows, so no piece
     straddles a cut; a text with spaces that follow each other stays whole, as a run of white space is one
-    piece. Cuts are marked by a character that no text of the batch holds; were there none, all stay whole."""
+    piece. `more` matches the empty places of further cuts. Cuts are marked by a character that no text of the
+    batch holds; were there none, all stay whole."""
     mark = next((c for c in ("\x1e", "\x1f", *map(chr, range(0xE000, 0xE100))) if not any(c in t for t in texts)), None)
     if mark is None:
         return pa.array([[t] for t in texts], pa.list_(pa.string()))
     cut = [t if "  " in t else t.replace(" ", mark + " ") for t in texts]
+    if more is not None:
+        cut = [more.sub(mark, t) for t in cut]
     return pc.split_pattern(pa.array(cut, pa.string()), mark)
 
 
@@ -203,9 +207,12 @@ class WordTable:
         own = coded.dictionary.to_pylist()
         if len(self.row) > self.entries or len(self.values[0]) > 8 * self.entries:
             self.clear()
-        new = [w for w in own if w not in self.row]
-        if new:
-            self.add(new)
-        rows = np.fromiter(map(self.row.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
+        known = self.row
+        found = np.fromiter([known.get(w, -1) for w in own], np.int64, len(own))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = len(self.starts) + np.arange(len(new))
+            self.add([own[i] for i in new.tolist()])
+        rows = found[coded.indices.to_numpy()]
         sizes = self.sizes[rows]
         return sizes, [gather(v, self.starts[rows], sizes) for v in self.values]

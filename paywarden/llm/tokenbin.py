@@ -19,6 +19,7 @@ written as often as they occur. An empty table gives no files and no rows. Extra
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ from paywarden.llm.common import WordTable, file_system, new_folder, slices, spa
 MAGIC = b"PWTP"
 BLOCK = 1 << 16
 ENTRIES = 800_000               # words a worker keeps
+#: Between a letter and one of these marks, or a line end and a letter, byte-level patterns always cut.
+WORD_END = re.compile(r"(?<=[A-Za-z])(?=[.,;:!?])|(?<=\n)(?=[A-Za-z])")
 _encoders: dict[str, WordTable] = {}
 
 
@@ -151,7 +154,7 @@ def encoder(spec: str) -> WordTable:
 
 def encode_texts(spec: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text (uint32)."""
-    words = spaced_words(texts)
+    words = spaced_words(texts, WORD_END)
     sizes, (ids,) = encoder(spec).look_up(words.flatten())
     bounds = np.concatenate([[0], np.cumsum(sizes)])[words.offsets.to_numpy()].tolist()
     ids = ids.view(np.uint32)
