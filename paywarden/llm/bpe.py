@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from paywarden.llm.common import ChunkCache, add_columns, word_chunks
+from paywarden.llm.common import ChunkCache, add_columns, take_over, word_chunks
 
 #: Fixed value: how byte-level tokenizers cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -235,6 +235,7 @@ _codecs: dict[str, Codec] = {}
 
 def codec(spec: str) -> Codec:
     """The codec of a worker process, built once."""
+    take_over("bpe", _codecs)
     key = hashlib.md5(spec.encode()).hexdigest()
     if key not in _codecs:
         _codecs.clear()

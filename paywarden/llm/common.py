@@ -1,6 +1,7 @@
 """Helpers shared by the operators: column handling, row keys, Arrow passes, shared files."""
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -67,6 +68,28 @@ def add_columns(df: DataFrame, text: str, fields: Sequence[T.StructField],
     return kept.mapInArrow(run, schema)
 
 
+_working: dict[str, tuple[dict, ...]] = {}
+
+
+def take_over(operator: str, *caches: dict) -> None:
+    """Worker processes are used again by later stages: the first call by another operator empties the caches
+    of the one before and gives its memory back."""
+    if operator in _working:
+        return
+    for held in _working.values():
+        for cache in held:
+            cache.clear()
+    _working.clear()
+    _working[operator] = caches
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):        # no such call in this C library
+        pass
+
+
 def word_chunks(text: str) -> list[str] | None:
     """The text cut before every single space. A byte-level pattern joins one space to what follows, so no
     piece straddles a cut; None where spaces follow each other, as a run of white space is one piece."""

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paywarden.llm.common import add_columns, slices
+from paywarden.llm.common import add_columns, slices, take_over
 from paywarden.session import materialise
 
 ORDER = 4
@@ -275,6 +275,7 @@ _identifiers: dict[str, Identifier] = {}
 
 
 def identifier(spec: bytes) -> Identifier:
+    take_over("langid", _identifiers)
     key = hashlib.md5(spec).hexdigest()
     if key not in _identifiers:
         _identifiers.clear()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paywarden.llm.common import WordTable, add_columns, gather
+from paywarden.llm.common import WordTable, add_columns, gather, take_over
 
 #: Fixed values of the model format: the mark that stands for a space, and what an unknown piece decodes to.
 MARK = "▁"
@@ -446,6 +446,7 @@ _models: dict[str, Pieces] = {}
 
 def pieces(model: bytes) -> Pieces:
     """The model of a worker process, built once."""
+    take_over("piece", _models)
     key = hashlib.md5(model).hexdigest()
     if key not in _models:
         _models.clear()

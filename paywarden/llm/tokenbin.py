@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paywarden.llm.common import WordTable, file_system, new_folder, slices, spaced_words, write_file
+from paywarden.llm.common import WordTable, file_system, new_folder, slices, spaced_words, take_over, write_file
 
 MAGIC = b"PWTP"
 BLOCK = 1 << 16
@@ -135,6 +135,7 @@ def read_documents(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
 def encoder(spec: str) -> WordTable:
     """The tokenizers library behind a table of words between single spaces, which byte-level tokenizers
     encode independently of each other."""
+    take_over("tokenbin", _encoders)
     key = hashlib.md5(spec.encode()).hexdigest()
     if key not in _encoders:
         from tokenizers import Tokenizer

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paywarden.llm.common import add_columns
+from paywarden.llm.common import add_columns, take_over
 from paywarden.session import materialise
 
 P, SPAN, DECAY = 4, 6, 0.7
@@ -305,6 +305,7 @@ _scorers: dict[str, Scorer] = {}
 
 
 def scorer_of(spec: bytes) -> Scorer:
+    take_over("toxicity", _scorers)
     key = hashlib.md5(spec).hexdigest()
     if key not in _scorers:
         import gc
