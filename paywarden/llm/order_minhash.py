@@ -9,17 +9,20 @@ the connected groups of links and exact copies.
             keeps them in text order; texts with an equal pick share a bucket
     short texts: what is left when as many shingles are removed as a link allows; equal rests share a bucket
     exact copies collapse to one node before anything meets
-    small buckets: their pairs; large buckets: members against hubs; two shared buckets make a candidate
+    small buckets: their pairs, two shared buckets make a candidate; large buckets: members against a hub,
+            then those that share a difference to it
     verify: multiset bound, then banded alignment
 
 At similarity 0.8 one slot agrees with probability near 0.8 ** 6 = 0.26, and at most one of 32 agrees in 7
 cases of 10 000 (at 0.85 in 2 of 100 000; in 2 of 1 000 at 0.8 with some 36 shingles); a pair must share two
 buckets of whatever sizes, or one if a text has fewer than 32 shingles. Texts of up to `SHORT` shingles, whose
-picks would be nearly the whole text, always share a bucket with those of them they're linked with. Large buckets never meet as all pairs: the first round compares each member with one hub;
-a bucket whose members ended in one class is done; the others are compared with four times as many hubs per
-round, only across classes, until every member has been a hub. So no link between two classes is lost, a
-class of thousands costs one comparison per member, and no bucket is collected into one task. Buckets of unlike texts
-that share a passage shrink with the sixth power of its share of the text.
+picks would be nearly the whole text, always share a bucket with those of them they're linked with. Large buckets never meet as all pairs: each
+member is compared with one hub, a bucket whose members ended in one class is done, and of the others only
+those can be linked that differ from the hub alike (`keys_of`): they meet by shared differences, in small
+groups pair by pair, in large ones with a hub again. So no link between two classes is lost, a class of
+thousands costs one comparison per member, and texts that each differ from the hub in their own way cost
+one too. Links only join what earlier rounds left apart. Buckets of unlike texts that share a passage shrink
+with the sixth power of its share of the text.
 
 Null texts and texts without a word are in no class but their own. The class id is the smallest doc_id (null
 ids last); ties between equal texts go to the smaller id. Rows that repeat both id and text are one document.
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paywarden.llm.common import connected, row_key, slices, without
+from paywarden.llm.common import connected, row_key, slices, take_over, without
 from paywarden.session import materialise
 
 WORDS = 5
@@ -43,6 +46,8 @@ SLOTS, PICK = 32, 6
 SINGLE = 32                      # below so many shingles one shared bucket is enough
 SHORT = 12                       # texts of up to so many shingles share buckets by what removals leave of them
 SMALL = 16                       # buckets up to this size are compared pair by pair
+SMALL_KEY = 64                   # and groups of a hub and a key, whose pairs mostly fail a condition on numbers
+ROUNDS = 8                       # of hubs and keys; what is left then is compared with every member in turn
 BROADCAST_ROWS = 500_000         # keys of about 40 bytes
 _A = np.uint64(0x9E3779B97F4A7C15)
 _hashes: dict[str, int] = {}
@@ -60,6 +65,7 @@ def words(text: str | None) -> list[str]:
 
 def shingles(found: list[str]) -> np.ndarray:
     """Hash of every run of five words, in text order."""
+    take_over("order_minhash", _hashes)
     if len(_hashes) > 150_000:
         _hashes.clear()
     known = _hashes
@@ -206,6 +212,13 @@ def sketches(docs: DataFrame, ident: str, text: str, threshold: float) -> DataFr
     return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, key {kinds['key']}, node binary, n int, picks array<long>")
 
 
+def side_by_side(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their texts ta and tb; a hub's pairs stay together unless they're too many."""
+    wide = (pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+            .join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a"))
+    return wide.select("a", "b", "ta", "tb")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts (node, t) are linked."""
     def run(batches):
@@ -220,9 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.binary()), pa.array([b[i] for i in keep], pa.binary())], names=["a", "b"])
 
-    wide = (pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-            .join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a"))
-    return wide.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return side_by_side(pairs, texts).mapInArrow(run, "a binary, b binary")
 
 
 def near(a: str, b: str, threshold: float):
@@ -240,17 +251,16 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshol
     shared = materialise(member.join(sizes.filter("m > 1"), "bucket"), "omh-buckets")
     fewer = shared.filter(F.col("m") <= SMALL)
     left, right = fewer.select("bucket", F.col("node").alias("a"), F.col("n").alias("na")), fewer.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"))
-    # a longer pair that shares one bucket of all sizes is below the threshold but for 2 cases of 1 000; one that
-    # shares a single small bucket may share large ones, so the rounds of those add it to their count
-    met = materialise(left.join(right, "bucket").filter((F.col("a") < F.col("b")) & near("na", "nb", threshold))
-                      .groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("na", "nb")).alias("n")), "omh-met")
+    met = (left.join(right, "bucket").filter((F.col("a") < F.col("b")) & near("na", "nb", threshold))
+           .groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("na", "nb")).alias("n")))
+    # a longer pair that shares one bucket of all sizes is below the threshold but for 2 cases of 1 000; one
+    # that shares a large bucket too meets there
     small = met.filter(enough("k", "n")).select("a", "b")
-    many = shared.filter(F.col("m") > SMALL).withColumn("u", F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40))
+    many = shared.filter(F.col("m") > SMALL).select("bucket", "node", "n", spread("node").alias("u"))
     texts = node_texts(docs, shared.groupBy("node").agg(F.first("key").alias("key")), ident, text)
-    links = materialise(verified(small, texts, threshold), "omh-links")
+    roots = connected(materialise(verified(small, texts, threshold), "omh-links"), "omh")
     if not many.isEmpty():
-        links = hub_rounds(many, links, texts, threshold, once(met, many))
-    roots = connected(links, "omh")
+        roots = hub_rounds(many, roots, texts, threshold)
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("key"))
     firsts = placed.filter("root is not null").groupBy("root").agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("class_size"))
@@ -264,14 +274,6 @@ def enough(k: str, n: str):
     return (F.col(k) >= 2) | (F.col(n) < SINGLE)
 
 
-def once(met: DataFrame, many: DataFrame) -> DataFrame:
-    """Pairs that share one small bucket and may share large ones."""
-    held = many.select("node").distinct()
-    pairs = met.filter(~enough("k", "n")).select("a", "b")
-    pairs = pairs.join(held.withColumnRenamed("node", "a"), "a", "left_semi").join(held.withColumnRenamed("node", "b"), "b", "left_semi")
-    return materialise(pairs.select("a", "b", F.lit(1).alias("before")), "omh-once")
-
-
 def node_texts(docs: DataFrame, needed: DataFrame, ident: str, text: str) -> DataFrame:
     """The text of every node that meets another, written once."""
     needed = materialise(needed, "omh-needed")
@@ -280,37 +282,130 @@ def node_texts(docs: DataFrame, needed: DataFrame, ident: str, text: str) -> Dat
     return materialise(found.dropDuplicates(["node"]), "omh-texts")
 
 
-def hub_rounds(many: DataFrame, links: DataFrame, texts: DataFrame, threshold: float, single: DataFrame) -> DataFrame:
-    """Links of large buckets: members against hubs of other classes. The first round's hub is a bucket's
-    smallest member; later a member is a hub when its hash falls in the round's range, the same in every
-    bucket, and ranges grow fourfold until all members have been hubs. So all large buckets of a pair are
-    counted in the round of its hub; the small bucket of the pairs of `single` counts with them."""
-    largest = many.agg(F.max("m")).first()[0]
-    smallest = many.groupBy("bucket").agg(F.min(F.struct("u", "node")).alias("h")).select("bucket", F.col("h.node").alias("a"))
-    low = high = 0.0
+def keys_of(hub: np.ndarray, own: np.ndarray, threshold: float) -> tuple[int, bool, bool, np.ndarray]:
+    """How a text differs from a hub: the number of shingles only one of them has, whether no link between
+    them is possible, whether the text has so many of its own that these alone decide, and its keys.
+
+    Texts x and y are linked only if |x ^ y| <= share * (|x| + |y|), with share = (1 - threshold) / (1 + threshold).
+    x ^ y = (x ^ hub) ^ (y ^ hub), so a linked pair has o = (|x ^ hub| + |y ^ hub| - share * (|x| + |y|)) / 2 or more
+    differences in common, and o > 0 if one of them can't be linked with the hub. With all differences in one
+    order (what the hub lacks first), each text's first |x ^ hub| - o + 1 hold a common one. A text that lacks
+    nothing of its plain prefix (|x| - threshold * |x| + 1 shingles) outside the hub meets any text it's linked
+    with there. What is returned covers both for every possible partner."""
+    share, n, m = (1 - threshold) / (1 + threshold), len(own), len(hub)
+    added, removed = np.setdiff1d(own, hub), np.setdiff1d(hub, own)
+    d = len(added) + len(removed)
+    prefix = n - int(np.ceil(threshold * n - 1e-9)) + 1
+    outside = d > share * (n + m) + 1e-9
+    if len(added) >= prefix:
+        return d, outside, True, added[:prefix]
+    reach = int((d + share * (n + m if outside else n - m)) / 2 + 1 + 1e-9)
+    return d, outside, False, np.concatenate([added, removed])[:max(len(added), reach)]
+
+
+def differences(met: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """For every hub `a` and node `b`: linked, and how and by which keys the node differs from the hub."""
+    def run(batches):
+        for batch in batches:
+            last, hub, marks = None, None, None
+            out = []
+            for a, b, ta, tb in zip(*(batch.column(c) for c in ("a", "b", "ta", "tb"))):
+                if a != last:
+                    last, hub = a, shingles(words(ta.as_py()))
+                    marks = labelled(hub)
+                h = shingles(words(tb.as_py()))
+                d, outside, far, keys = keys_of(marks, labelled(h), threshold)
+                linked = not outside and alignment(hub, h, threshold)
+                out.append((a.as_py(), b.as_py(), linked, outside, far, len(h), d, keys.view(np.int64)))
+            columns = list(zip(*out)) or [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_()), ("outside", pa.bool_()), ("far", pa.bool_()),
+                        ("n", pa.int32()), ("d", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    return side_by_side(met, texts).mapInArrow(
+        run, "a binary, b binary, linked boolean, outside boolean, far boolean, n int, d int, keys array<long>")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots` (node, root) after more links: only the links between different roots are followed."""
+    of = {x: roots.select(F.col("node").alias(x), F.col("root").alias("r" + x)) for x in "ab"}
+    lifted = (links.join(of["a"], "a", "left").join(of["b"], "b", "left")
+              .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a != b").distinct())
+    lifted = materialise(lifted, "omh-lifted")
+    if lifted.isEmpty():
+        return roots
+    up = connected(lifted, "omh")
+    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return materialise(moved.union(up.join(roots, "node", "left_anti").select("node", "root")), "omh-roots")
+
+
+def still_open(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one class, with their roots."""
+    tagged = member.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
+    return materialise(tagged.join(mixed, "bucket", "left_semi"), "omh-open")
+
+
+def hub_rounds(member: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """`roots` after the links of large buckets (bucket, node, n, u).
+
+    A round compares all members of a bucket with its hub, the one of smallest `u`. Of the others, pairs with
+    no key in common (see `keys_of`) aren't linked; those with one meet in a bucket of the hub and the key:
+    pair by pair up to `SMALL_KEY` members, else in the next round with a hub of their own. Members that hold
+    what the hub holds and yet aren't linked (their order differs) meet all that are as near in the next
+    round. What `ROUNDS` rounds leave is compared with every member in turn (`every_hub`)."""
+    for _ in range(ROUNDS):
+        tagged = still_open(member, roots)
+        if tagged.isEmpty():
+            return roots
+        hubs = tagged.groupBy("bucket").agg(F.min(F.struct("u", "node")).alias("h")).select("bucket", F.col("h.node").alias("a"))
+        met = tagged.join(hubs, "bucket").filter("node != a").select("a", F.col("node").alias("b")).distinct()
+        met = materialise(differences(met, texts, threshold), "omh-differences")
+        roots = merged(roots, met.filter("linked").select("a", "b"))
+        root_of = roots.select(F.col("node").alias("b"), "root")
+        met = met.join(root_of, "b", "left").withColumn("root", F.coalesce("root", "b"))
+        keyed = met.select("a", F.posexplode("keys").alias("at", "key"), F.col("b").alias("node"), "root", "n", "d", "outside", "far")
+        groups = (keyed.groupBy("a", "key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outside").alias("any"))
+                  .filter("m > 1 and lo != hi and any").select("a", "key", "m"))
+        keyed = materialise(keyed.join(groups, ["a", "key"]), "omh-keys")
+        few = keyed.filter(F.col("m") <= SMALL_KEY)
+        x, y = (few.select("a", "key", *[F.col(c).alias(c + side) for c in ("node", "root", "n", "d", "at", "outside", "far")]) for side in "xy")
+        common = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - (1 - threshold) / (1 + threshold) * (F.col("nx") + F.col("ny"))) / 2 - 1e-9))
+        meet = (F.col("farx") | F.col("fary")
+                | ((F.col("outsidex") | F.col("outsidey")) & (F.col("atx") <= F.col("dx") - common) & (F.col("aty") <= F.col("dy") - common)))
+        pairs = (x.join(y, ["a", "key"]).filter((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", threshold) & meet)
+                 .select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct())
+        roots = merged(roots, materialise(verified(pairs, texts, threshold), "omh-links"))
+        again = (keyed.filter(F.col("m") > SMALL_KEY).select(F.xxhash64("a", "key").alias("bucket"), "node", "n", spread("node").alias("u")))
+        reordered = met.filter("not linked and not outside").select("a").distinct()
+        within = (met.filter("not outside").join(reordered, "a", "left_semi")
+                  .select(F.xxhash64("a", F.lit("order")).alias("bucket"), F.col("b").alias("node"), "n", (spread("b") + F.col("linked").cast("int")).alias("u")))
+        member = again.union(within)
+    return every_hub(member, roots, texts, threshold)
+
+
+def spread(node: str):
+    """A hash of the node between 0 and 1."""
+    return F.pmod(F.xxhash64(node), F.lit(1 << 40)) / float(1 << 40)
+
+
+def every_hub(member: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """`roots` after every member has been compared with the members of other classes: a member is a hub when
+    its hash falls in the round's range, and ranges grow fourfold."""
+    largest = member.groupBy("bucket").count().agg(F.max("count")).first()[0] or 1
+    low, high = 0.0, min(1.0, 4.0 / largest)
     while True:
-        if links.isEmpty():
-            tagged = many.withColumn("root", F.col("node"))
-        else:
-            tagged = many.join(connected(links, "omh"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-        tagged = materialise(tagged.join(open_, "bucket", "left_semi"), "omh-open")
+        tagged = still_open(member, roots)
         if tagged.isEmpty():
-            return links
-        as_hub = tagged.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "u")
-        if high == 0.0:
-            hub = as_hub.join(smallest, ["bucket", "a"], "left_semi")
-        else:
-            hub = as_hub.filter((F.col("u") >= low) & (F.col("u") < high))
-        pairs = (tagged.join(hub.drop("u"), "bucket").filter((F.col("root") != F.col("ra")) & near("n", "na", threshold))
-                 .select("bucket", F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.least("n", "na").alias("n")))
-        # a pair of which both are hubs comes twice per bucket
-        pairs = (pairs.groupBy("a", "b").agg(F.count_distinct("bucket").alias("k"), F.min("n").alias("n")).join(single, ["a", "b"], "left")
-                 .withColumn("k", F.col("k") + F.coalesce("before", F.lit(0))).filter(enough("k", "n")).select("a", "b"))
-        links = materialise(links.union(verified(pairs, texts, threshold)), "omh-links")
+            return roots
+        hub = tagged.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), spread("node").alias("ua"))
+        hub = hub.filter((F.col("ua") >= low) & (F.col("ua") < high))
+        pairs = (tagged.join(hub, "bucket").filter((F.col("root") != F.col("ra")) & near("n", "na", threshold))
+                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+        roots = merged(roots, materialise(verified(pairs, texts, threshold), "omh-links"))
         if high >= 1.0:
-            return links
-        low, high = (0.0, min(1.0, 4.0 / largest)) if high == 0.0 else (high, min(1.0, 4 * high))
+            return roots
+        low, high = high, min(1.0, 4 * high)
 
 
 def drop_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:

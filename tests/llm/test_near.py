@@ -82,6 +82,69 @@ def test_large_buckets_lose_no_class(spark):
     assert len({got[i] for i in range(120)} | {got[500]}) == 1 and len({got[i] for i in range(1000, 1060)}) == 60
 
 
+def edited(rng, words, edits, pool):
+    own = list(words)
+    for _ in range(edits):
+        i = rng.randrange(len(own))
+        kind = rng.random()
+        if kind < 0.4:
+            own[i] = rng.choice(pool)
+        elif kind < 0.6:
+            own.insert(i, rng.choice(pool))
+        elif len(own) > 20:
+            del own[i:i + rng.choice([1, 1, 9])]
+    return own
+
+
+def test_linked_texts_share_a_key_of_their_hub():
+    """Unless both could be linked with the hub; keys and the condition on places leave few other pairs."""
+    rng = random.Random(31)
+    linked = others = met = 0
+    for _ in range(40):
+        base = rng.choices(VOCABULARY[:rng.choice([5, 3000])], k=rng.randrange(8, 130))
+        pool = [f"p{i}" for i in range(rng.choice([3, 3000]))]
+        hub = order_minhash.labelled(order_minhash.shingles(base))
+        group = []
+        for _ in range(25):
+            source = base if rng.random() < 0.6 or not group else rng.choice(group)[0]
+            own = edited(rng, source, rng.randrange(1, max(2, len(base) // 12)), pool)
+            h = order_minhash.shingles(own)
+            group.append((own, h, order_minhash.keys_of(hub, order_minhash.labelled(h), 0.8)))
+        for i, (_, x, (dx, outside_x, far_x, keys_x)) in enumerate(group):
+            for _, y, (dy, outside_y, far_y, keys_y) in group[:i]:
+                if not (outside_x or outside_y) or min(len(x), len(y)) < 0.8 * max(len(x), len(y)):
+                    continue
+                need = max(1, int(np.ceil((dx + dy - (len(x) + len(y)) / 9) / 2 - 1e-9)))
+                at = {k: i for i, k in enumerate(keys_y.tolist())}
+                meet = any(k in at and (far_x or far_y or (i <= dx - need and at[k] <= dy - need)) for i, k in enumerate(keys_x.tolist()))
+                if order_minhash.alignment(x, y, 0.8):
+                    linked += 1
+                    assert meet
+                else:
+                    others, met = others + 1, met + meet
+    assert linked > 50 and met < 0.2 * others
+
+
+@pytest.mark.parametrize("rounds", [8, 1, 0])
+def test_variants_below_the_threshold_of_their_original(spark, monkeypatch, rounds):
+    """A large group whose members are mostly not linked with the hub, some with each other, some only reordered."""
+    monkeypatch.setattr(order_minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(order_minhash, "SMALL_KEY", 8)
+    rng = random.Random(37)
+    base = rng.choices(VOCABULARY, k=110)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 70):
+        rows.append((i, " ".join(edited(rng, base, rng.randrange(2, 7), VOCABULARY[:9]))))
+    for i in range(70, 100):
+        rows.append((i, " ".join(edited(rng, rows[rng.randrange(1, i)][1].split(), 2, VOCABULARY[:9]))))
+    rows += [(100 + i, " ".join([*base[cut:], *base[:cut]])) for i, cut in enumerate(range(20, 95, 3))]
+    rows += [(200 + i, " ".join(edited(rng, rows[100][1].split(), 1, VOCABULARY))) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_classes(rows)
+    assert {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()} == want
+    assert len(set(want.values())) > 10
+
+
 def test_short_linked_texts_share_a_bucket():
     rng = random.Random(17)
     linked = 0
