@@ -47,7 +47,7 @@ SINGLE = 32                      # below so many shingles one shared bucket is e
 SHORT = 12                       # texts of up to so many shingles share buckets by what removals leave of them
 SMALL = 16                       # buckets up to this size are compared pair by pair
 SMALL_KEY = 64                   # and groups of a hub and a key, whose pairs mostly fail a condition on numbers
-ROUNDS = 8                       # of hubs and keys; what is left then is compared with every member in turn
+ROUNDS = 2                       # of hubs and keys
 BROADCAST_ROWS = 500_000         # keys of about 40 bytes
 _A = np.uint64(0x9E3779B97F4A7C15)
 _hashes: dict[str, int] = {}
@@ -349,16 +349,20 @@ def still_open(member: DataFrame, roots: DataFrame) -> DataFrame:
 def hub_rounds(member: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """`roots` after the links of large buckets (bucket, node, n, u).
 
-    A round compares all members of a bucket with its hub, the one of smallest `u`. Of the others, pairs with
-    no key in common (see `keys_of`) aren't linked; those with one meet in a bucket of the hub and the key:
-    pair by pair up to `SMALL_KEY` members, else in the next round with a hub of their own. Members that hold
-    what the hub holds and yet aren't linked (their order differs) meet all that are as near in the next
-    round. What `ROUNDS` rounds leave is compared with every member in turn (`every_hub`)."""
-    for _ in range(ROUNDS):
+    A round compares all members of a bucket with its hub, the one that is in most buckets: a text most others
+    derive from, so that what they have beside it is their own. Of the others, pairs with no key in common (see
+    `keys_of`) aren't linked; those with one meet in a group of the hub and the key: pair by pair up to
+    `SMALL_KEY` members, and whatever their number in the last round, else in the next round with a hub of their
+    own. A pair goes on only if the places of the key in both lists allow a link. Members that hold what the
+    hub holds and yet aren't linked (their order differs) meet all that are as near in the next round, and
+    after the last in every pair across classes (`every_hub`)."""
+    for left in reversed(range(ROUNDS)):
         tagged = still_open(member, roots)
         if tagged.isEmpty():
             return roots
-        hubs = tagged.groupBy("bucket").agg(F.min(F.struct("u", "node")).alias("h")).select("bucket", F.col("h.node").alias("a"))
+        central = tagged.groupBy("node").agg((-F.count(F.lit(1))).alias("order"))
+        hubs = (tagged.join(central, "node").groupBy("bucket").agg(F.min(F.struct(F.floor("u").alias("last"), "order", "u", "node")).alias("h"))
+                .select("bucket", F.col("h.node").alias("a")))
         met = tagged.join(hubs, "bucket").filter("node != a").select("a", F.col("node").alias("b")).distinct()
         met = materialise(differences(met, texts, threshold), "omh-differences")
         roots = merged(roots, met.filter("linked").select("a", "b"))
@@ -368,7 +372,7 @@ def hub_rounds(member: DataFrame, roots: DataFrame, texts: DataFrame, threshold:
         groups = (keyed.groupBy("a", "key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outside").alias("any"))
                   .filter("m > 1 and lo != hi and any").select("a", "key", "m"))
         keyed = materialise(keyed.join(groups, ["a", "key"]), "omh-keys")
-        few = keyed.filter(F.col("m") <= SMALL_KEY)
+        few = keyed.filter(F.col("m") <= SMALL_KEY) if left else keyed
         x, y = (few.select("a", "key", *[F.col(c).alias(c + side) for c in ("node", "root", "n", "d", "at", "outside", "far")]) for side in "xy")
         common = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - (1 - threshold) / (1 + threshold) * (F.col("nx") + F.col("ny"))) / 2 - 1e-9))
         meet = (F.col("farx") | F.col("fary")
@@ -376,7 +380,7 @@ def hub_rounds(member: DataFrame, roots: DataFrame, texts: DataFrame, threshold:
         pairs = (x.join(y, ["a", "key"]).filter((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", threshold) & meet)
                  .select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct())
         roots = merged(roots, materialise(verified(pairs, texts, threshold), "omh-links"))
-        again = (keyed.filter(F.col("m") > SMALL_KEY).select(F.xxhash64("a", "key").alias("bucket"), "node", "n", spread("node").alias("u")))
+        again = (keyed.filter((F.col("m") > SMALL_KEY) & F.lit(left > 0)).select(F.xxhash64("a", "key").alias("bucket"), "node", "n", spread("node").alias("u")))
         reordered = met.filter("not linked and not outside").select("a").distinct()
         within = (met.filter("not outside").join(reordered, "a", "left_semi")
                   .select(F.xxhash64("a", F.lit("order")).alias("bucket"), F.col("b").alias("node"), "n", (spread("b") + F.col("linked").cast("int")).alias("u")))
