@@ -15,7 +15,7 @@ the connected groups of links and exact copies.
 
 At similarity 0.8 one slot agrees with probability near 0.8 ** 6 = 0.26, and at most one of 32 agrees in 7
 cases of 10 000 (at 0.85 in 2 of 100 000; in 2 of 1 000 at 0.8 with some 36 shingles); a pair must share two
-buckets of whatever sizes, or one if a text has fewer than 32 shingles. Texts of up to `SHORT` shingles, whose
+buckets, or one of over `SMALL` members, or one if a text has fewer than 32 shingles. Texts of up to `SHORT` shingles, whose
 picks would be nearly the whole text, always share a bucket with those of them they're linked with. Large buckets never meet as all pairs: each
 member is compared with one hub, a bucket whose members ended in one class is done, and of the others only
 those can be linked that differ from the hub alike (`keys_of`): they meet by shared differences, in small
