@@ -2,19 +2,23 @@
 
     benchmark items ── five-word shingles ── `PRINTS` SimHash fingerprints of 64 bits ── 13 blocks of each
     documents ── shingles that some item has (broadcast up to a checked size, else an ordinary join)
-              ── windows of an item's length that hold enough of them ── fingerprints, blocks
+              ── windows of an item's length that hold enough of them ── distinct ones ── fingerprints, blocks
               ── join on (length, fingerprint, block): all pairs within Hamming distance 12 meet
               ── distance filter ── exact weighted similarity, shingles weighted by occurrence ── matches
 
 A window of similarity `threshold` to an item shares at least threshold * (its shingles) with the benchmark,
 so windows with fewer are skipped without loss: clean documents end at the first step. With 13 blocks, two
 fingerprints within distance 12 agree in a block (pigeonhole), so the index loses none of them. A pair of
-similarity 0.8 has an expected distance of 9.7 and is within 12 with probability 0.83 for one fingerprint,
-0.97 for either of two; at 0.85 it is 0.997, for an exact copy 1.
+similarity 0.8 has an expected distance of 9.7 and is within 12 with probability 0.83 to 0.9 for one fingerprint,
+so the four together miss fewer than 1 in 1 000; at 0.85 none in a million, and no exact copy. What moves is
+keys: a window or an item is one row per block without its shingles, which only pairs within the radius meet.
 
 Words are runs of letters and digits in lower case. Items of fewer than five words are too short to tell and
 match nothing. A document shorter than an item is compared whole. Null and empty texts match nothing; rows
-that repeat id and text are one document. Only shingle hashes, positions and hit documents are shuffled.
+that repeat id and text are one document. Of windows that are equally similar to an item the first counts; items
+that repeat an id count as that item if any of their texts does. An empty table on either side gives no match,
+and `drop_contaminated` then keeps every row; other columns pass through, those named `__key` or `__own` go.
+Only shingle hashes, positions and hit documents are shuffled.
 """
 from __future__ import annotations
 
@@ -25,7 +29,7 @@ from paywarden.llm.common import row_key, without
 from paywarden.session import materialise
 
 WORDS = 5
-RADIUS, PRINTS = 12, 2
+RADIUS, PRINTS = 12, 4
 BLOCKS = RADIUS + 1
 #: First bit and width of each block of a fingerprint.
 CUTS = [(b * 64 // BLOCKS, (b + 1) * 64 // BLOCKS - b * 64 // BLOCKS) for b in range(BLOCKS)]
@@ -80,10 +84,15 @@ def starts(hits: Column, m: Column, least: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(fit, lambda s: F.sequence(F.greatest(F.lit(0), s["last"] - m + 1), s["first"]))))
 
 
+def content(items: str) -> Column:
+    """128 bits that stand for an array."""
+    return F.struct(F.xxhash64(items, F.lit(1)).alias("a"), F.xxhash64(items, F.lit(2)).alias("b"))
+
+
 def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, own (its shingles), m (how many)."""
+    """item_id, own (its shingles), m (how many), o (their content)."""
     own = benchmark.select(F.col(item).alias("item_id"), shingles(F.col(text)).alias("own"))
-    return own.withColumn("m", F.size("own")).filter("m > 0")
+    return own.withColumn("m", F.size("own")).filter("m > 0").withColumn("o", content("own"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -98,16 +107,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text:
                           .filter("size(starts) > 0").select("key", "m", "starts"), "windows")
     near = sized(materialise(windows.select("key").distinct(), "hit-documents"))
     texts = materialise(rows.join(near, "key").select("key", shingles(F.col("t")).alias("all")).distinct(), "hit-shingles")
-    cut = (windows.join(texts, "key").select("key", "m", "all", F.explode("starts").alias("start"))
-           .select("key", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("window")))
-    probes = materialise(cut.withColumn("blocks", blocks(F.col("window"))), "probes")
-    index = items.select("item_id", "m", "own", F.explode(blocks(F.col("own"))).alias("b")).select("item_id", "m", "own", "b.*")
-    pairs = (probes.select("key", "m", "start", "window", F.explode("blocks").alias("b")).select("key", "m", "start", "window", "b.*")
-             .join(index.withColumnRenamed("print", "item_print"), ["m", "seed", "block", "bits"])
-             .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-             .dropDuplicates(["key", "m", "start", "item_id"]))
-    good = pairs.withColumn("similarity", weighted_similarity(F.col("window"), F.col("own"))).filter(F.col("similarity") >= threshold - 1e-9)
-    best = good.groupBy("key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    cut = materialise(windows.join(texts, "key").select("key", "m", "all", F.explode("starts").alias("start"))
+                      .select("key", "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("window"))
+                      .withColumn("w", content("window")), "windows-cut")
+    # windows and items of equal content are looked up once, whatever number of pages mirrors them
+    probes = materialise(cut.groupBy("w", "m").agg(F.first("window").alias("window")).withColumn("b", blocks(F.col("window"))), "probes")
+    index = materialise(items.groupBy("o", "m").agg(F.first("own").alias("own")).withColumn("b", blocks(F.col("own"))), "index")
+    pairs = (probes.select("w", "m", F.explode("b").alias("b")).select("w", "m", "b.*")
+             .join(index.select("o", "m", F.explode("b").alias("b")).select("o", "m", "b.*").withColumnRenamed("print", "item_print"),
+                   ["m", "seed", "block", "bits"])
+             .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("w", "o").distinct())
+    good = (pairs.join(probes.select("w", "window"), "w").join(index.select("o", "own"), "o")
+            .select("w", "o", weighted_similarity(F.col("window"), F.col("own")).alias("similarity"))
+            .filter(F.col("similarity") >= threshold - 1e-9))
+    named = sized(materialise(good.join(items.select("o", "item_id").distinct(), "o").select("w", "item_id", "similarity"), "similar"))
+    best = (cut.select("key", "start", "w").join(named, "w").groupBy("key", "item_id")
+            .agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")))
     return best.select(F.col("key.id").alias("doc_id"), "key", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity"))
 
 

@@ -290,6 +290,26 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got.collect()} == plain_matches(docs, items)
 
 
+def test_decontamination_at_the_threshold(spark):
+    """Items whose mirror has exactly the similarity 0.8, at every length; mirrors of one item in many documents."""
+    rng = random.Random(5)
+    items, docs = [], []
+    for i in range(400):
+        m = (9, 18, 27, 36, 45, 90)[i % 6]
+        text = prose(rng, m + 4)
+        words = text.split()
+        for k in range(m // 9 // 5):                     # a word inside changes five shingles
+            words[10 + 20 * k] = "changed"
+        for k in range(m // 9 % 5):                      # of the first or last words, one each
+            words[-1 - k] = "changed"
+        items.append((i, text))
+        docs += [(3 * i + j, " ".join(words)) for j in range(3)]
+    found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found.collect()}
+    assert set(got.values()) == {0.8} and all(d // 3 == i for d, i in got)
+    assert len(got) >= 0.995 * len(docs)
+
+
 def test_block_index_is_complete():
     rng = random.Random(1)
     assert sum(w for _, w in decontaminate.CUTS) == 64 and len(decontaminate.CUTS) == decontaminate.RADIUS + 1
