@@ -2,22 +2,26 @@
 
 Training counts character 4-grams of all labelled documents: each task counts its own texts, Spark sums the
 counts per (language, gram). The lower orders of a Kneser-Ney model are continuation counts, that is numbers
-of distinct left neighbours, so they follow from the 4-gram table. A model keeps, per language, the most
-frequent grams up to `max_grams` over all languages together; that bound is what is broadcast.
+of distinct left neighbours, so they follow from the 4-gram table. No gram is left out, so the model grows with
+the distinct 4-grams of letters of the languages.
 
-    texts ── 4-gram counts per task ── sum per (lang, gram) ── most frequent grams
-          ── per language and order: sorted hash array + discounted probability; sorted hash array + back-off
+    texts ── 4-gram counts per task ── sum per (lang, gram) ── continuation counts of the lower orders
+          ── per language and order: hash and discounted probability of each gram, hash and back-off of each context
+          ── sorted by (language, order, hash), written to the shared folder
     text  ── bits per character under each model ── lowest wins ── calibrated rejection
 
+Only a row per language and order (its discount) and the calibration pass through the driver. A worker reads
+the sorted arrays from the shared folder when it first scores a text: 16 bytes per gram and per context.
+
 A text is lower-cased; letters stay, every run of other characters is one blank, both ends have a blank.
-Rejection: on a sample of at most `calibration_docs` labelled documents each language learns the mean and
-spread of its own texts' cross-entropy; a text is rejected when it lies more than `reject_z` spreads above.
+Rejection: on a hashed sample of about `calibration_docs` distinct labelled texts per language (all, if it has
+fewer) each language learns the mean and spread of its own texts' cross-entropy; a text is rejected when it lies more than `reject_z` spreads above.
 `score` is the winner's posterior (softmax of -cross-entropy * min(length, 40)) times how far the text is
 from rejection.
 
 Null text and texts without a letter are `und` with score 0 and rejected. Ties go to the first language by
 name. Rows with null language don't train. Without any training row every text is `und`. Repeated rows count
-as often as they occur. Other columns pass through; columns named like an output are replaced.
+as often as they occur. A text of any length is scored whole. Other columns pass through; columns named like an output are replaced.
 """
 from __future__ import annotations
 
@@ -27,17 +31,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paywarden.llm.common import add_columns, slices, take_over
+from paywarden.llm.common import add_columns, file_system, new_folder, slices, take_over
 from paywarden.session import materialise
 
 ORDER = 4
 OUTPUTS = ["lang_pred", "score", "cross_entropy", "rejected"]
 MEMO = 20                        # bits of a worker's table of scored grams
 SLICE_BYTES = 1 << 20            # text handled at once; its arrays take some eighty times as much
+TOP = np.uint64(1 << 63)         # flips the sign, so that signed order is the order of the hashes
 _letters: list[np.ndarray] = []
 
 
@@ -116,26 +123,6 @@ def find(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, other: float)
     return np.where(keys[at] == wanted, values[at], other)
 
 
-def fit_model(keys: np.ndarray, counts: np.ndarray) -> Model:
-    """Interpolated Kneser-Ney of the grams of one language, one discount per order (n1 / (n1 + 2 n2))."""
-    levels = [(keys, counts.astype(float))]
-    for order in range(ORDER - 1, 0, -1):
-        # continuation counts: how many distinct characters stand before each shorter gram
-        shorter, n = np.unique(low(levels[0][0], order), return_counts=True)
-        levels.insert(0, (shorter, n.astype(float)))
-    model = Model(1.0 / (len(levels[0][0]) + 1))
-    for order, (gram, n) in enumerate(levels, 1):
-        ones, twos = (n == 1).sum(), (n == 2).sum()
-        discount = min(0.9, max(0.1, ones / (ones + 2 * twos) if ones + twos else 0.5))
-        context, of = np.unique(gram >> np.uint64(16), return_inverse=True)
-        total, kinds = np.bincount(of, n), np.bincount(of)
-        for table, key, value in ((model.probs, mix(gram, order), np.maximum(n - discount, 0) / total[of]),
-                                  (model.backs, mix(context, order - 1), discount * kinds / total)):
-            at = np.argsort(key)
-            table.append((key[at], value[at]))
-    return model
-
-
 class Identifier:
     """Models of all languages, calibration, and a worker's memo of scored grams."""
 
@@ -214,60 +201,121 @@ def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, max_grams: int) -> DataFrame:
-    """Grams at or above the lowest frequency class (an eighth of a power of two) that keeps to `max_grams`."""
-    level = F.floor(F.log2("n") * 8).cast("int")
-    classes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()      # a few hundred
-    total, cut = 0, 1 << 30
-    for row in sorted(classes, reverse=True):
-        total += row["k"]
-        if total > max_grams:
-            break
-        cut = row["level"]
-    return counts.filter(level >= cut)
-
-
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = 1_000_000, calibration_docs: int = 4_000,
-        reject_z: float = 8.0) -> Identifier:
-    """Count all rows of `df`, keep the most frequent grams, calibrate on about `calibration_docs` rows
-    picked by the hash of their text."""
-    counts = materialise(gram_counts(df, text, lang), "lang-grams")
-    top = most_frequent(counts, max_grams).toArrow()          # bounded by max_grams
-    langs, keys, n = (top.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
-    keys = keys.astype(np.int64).view(np.uint64)
-    models = {}
-    for name in sorted(set(langs)):
-        own = np.flatnonzero(langs == name)
-        own = own[np.argsort(keys[own])]
-        models[name] = fit_model(keys[own], n[own])
-    found = Identifier(models, None, reject_z)
-    if models:
-        found.calibration = calibrate(df.filter(F.col(lang).isNotNull()), found, text, lang, calibration_docs)
+def levels_of(counts: DataFrame) -> DataFrame:
+    """(lang, level, gram, n): the 4-gram counts, and for each shorter gram how many distinct characters stand
+    before it."""
+    level = counts.select("lang", "gram", "n")
+    out = level.withColumn("level", F.lit(ORDER))
+    for order in range(ORDER - 1, 0, -1):
+        shorter = F.col("gram").bitwiseAND((1 << 16 * order) - 1)
+        level = materialise(level.groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"lang-grams-{order}")
+        out = out.unionByName(level.withColumn("level", F.lit(order)))
+    return out
+
+
+def write_model(counts: DataFrame) -> Fitted:
+    """The interpolated Kneser-Ney model of (lang, gram, n), one discount per order (n1 / (n1 + 2 n2))."""
+    spark = counts.sparkSession
+    levels = levels_of(counts).withColumn("context", F.shiftrightunsigned("gram", 16))
+    kinds = levels.groupBy("lang", "level").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"),
+                                                F.count(F.lit(1)).alias("size")).collect()      # a row per language and order
+    names = sorted({r["lang"] for r in kinds})
+    if not names:
+        return Fitted()
+    rows = []
+    for r in kinds:
+        ones, twos = r["ones"], r["twos"]
+        rows.append((r["lang"], r["level"], (names.index(r["lang"]) * 2) * ORDER + r["level"] - 1,
+                     min(0.9, max(0.1, ones / (ones + 2 * twos) if ones + twos else 0.5))))
+    known = spark.createDataFrame(rows, "lang string, level int, slot int, discount double")
+    contexts = levels.groupBy("lang", "level", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    own = (levels.join(contexts.drop("kinds"), ["lang", "level", "context"]).join(F.broadcast(known), ["lang", "level"])
+           .select("slot", F.col("level").alias("order"), F.col("gram").alias("key"),
+                   (F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")).alias("value")))
+    back = contexts.join(F.broadcast(known), ["lang", "level"]).select(
+        (F.col("slot") + ORDER).alias("slot"), (F.col("level") - 1).alias("order"), F.col("context").alias("key"),
+        (F.col("discount") * F.col("kinds") / F.col("total")).alias("value"))
+
+    def hashed(batches):
+        for batch in batches:
+            key = batch.column("key").to_numpy().view(np.uint64)
+            order = batch.column("order").to_numpy()
+            h = np.empty(len(key), np.uint64)
+            for n in np.unique(order):
+                h[order == n] = mix(key[order == n], int(n))
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array((h ^ TOP).view(np.int64)), batch.column("value")], names=["slot", "h", "value"])
+
+    folder = new_folder(spark, "lang-model")
+    own.unionByName(back).mapInArrow(hashed, "slot int, h long, value double").orderBy("slot", "h").write.parquet(folder)
+    sizes = {r["lang"]: r["size"] for r in kinds if r["level"] == 1}
+    return Fitted(names, folder, [1.0 / (sizes[n] + 1) for n in names])
+
+
+@dataclass
+class Fitted:
+    """Where the written model of `names` lies, and what the driver knows of it."""
+    names: list[str] = field(default_factory=list)
+    folder: str = ""
+    uniform: list[float] = field(default_factory=list)
+    calibration: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    reject_z: float = 8.0
+
+    def load(self) -> Identifier:
+        """The sorted arrays, read file by file in their order."""
+        if not self.names:
+            return Identifier({})
+        fs, path = file_system(self.folder)
+        files = sorted(f.path for f in fs.get_file_info(pa.fs.FileSelector(path)) if f.path.endswith(".parquet"))
+        parts = [pq.read_table(f, filesystem=fs, partitioning=None) for f in files]
+        slot, h, value = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("slot", "h", "value"))
+        at = np.searchsorted(slot, np.arange(2 * ORDER * len(self.names) + 1))
+        h = h.view(np.uint64) ^ TOP
+        table = [(h[i:j], value[i:j]) for i, j in zip(at, at[1:])]
+        own = [table[i * 2 * ORDER:(i + 1) * 2 * ORDER] for i in range(len(self.names))]
+        models = {n: Model(u, t[:ORDER], t[ORDER:]) for n, u, t in zip(self.names, self.uniform, own)}
+        return Identifier(models, self.calibration, self.reject_z)
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", calibration_docs: int = 2_000, reject_z: float = 8.0) -> Fitted:
+    """Count all rows of `df`, write the model, calibrate on about `calibration_docs` distinct texts per
+    language, picked by their hash."""
+    found = write_model(materialise(gram_counts(df, text, lang), "lang-grams"))
+    found.reject_z = reject_z
+    if found.names:
+        found.calibration = calibrate(df, found, text, lang, calibration_docs)
     return found
 
 
-def calibrate(df: DataFrame, found: Identifier, text: str, lang: str, docs: int) -> dict[str, tuple[float, float, float]]:
+def calibrate(df: DataFrame, found: Fitted, text: str, lang: str, docs: int) -> dict[str, tuple[float, float, float]]:
     """Per language: mean and spread of the cross-entropy of its longer texts, and spread per root character."""
-    spec, grain = df.sparkSession.sparkContext.broadcast(pickle.dumps(found)), 1 << 30
-    share = min(1.0, docs / max(1, df.count()))
-    rows = df.filter(F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(grain)) < int(share * grain)))
+    spark, grain = df.sparkSession, 1 << 30
+    spec = spark.sparkContext.broadcast(pickle.dumps(found))
+    rows = (df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
+            .select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h")))
+    kinds = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("k")).collect()        # a row per language
+    shares = spark.createDataFrame([(r["l"], int(grain * min(1.0, docs / max(1, r["k"])))) for r in kinds], "l string, below int")
+    picked = rows.join(F.broadcast(shares), "l").filter(F.pmod("h", F.lit(grain)) < F.col("below")).dropDuplicates(["l", "h"]).select("t", "l")
 
     def run(batches):
         for batch in batches:
-            own = identifier(spec.value)
-            h, n = own.cross_entropies(batch.column("t").to_pylist())
-            for i, name in enumerate(batch.column("l").to_pylist()):
-                if n[i] and name in own.names:
-                    yield pa.RecordBatch.from_pydict({"lang": [name], "h": [float(h[i, own.names.index(name)])], "n": [int(n[i])]})
-
-    found_rows = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(run, "lang string, h double, n long").collect()
+            for part in slices(batch, "t", SLICE_BYTES):
+                own = identifier(spec.value)
+                h, n = own.cross_entropies(part.column("t").to_pylist())
+                at = {name: i for i, name in enumerate(own.names)}
+                full = [(name, float(h[i, at[name]]), int(n[i])) for i, name in enumerate(part.column("l").to_pylist()) if n[i] and name in at]
+                columns = list(zip(*full)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int64()))], names=["lang", "h", "n"])
+
+    found_rows = picked.mapInArrow(run, "lang string, h double, n long").collect()         # about `docs` per language
+    per: dict[str, list] = {}
+    for r in found_rows:
+        per.setdefault(r["lang"], []).append((r["h"], r["n"]))
     out = {}
-    for name in found.names:
-        own = np.array([(r["h"], r["n"]) for r in found_rows if r["lang"] == name])
-        if len(own):
-            long = own[:, 1] >= np.median(own[:, 1])
-            mean = own[long, 0].mean()
-            out[name] = (float(mean), max(0.05, float(own[long, 0].std())), max(0.5, float(((own[:, 0] - mean) * own[:, 1] ** 0.5)[~long].std()) if (~long).any() else 0.5))
+    for name, values in per.items():
+        own = np.array(sorted(values))
+        long = own[:, 1] >= np.median(own[:, 1])
+        mean = own[long, 0].mean()
+        out[name] = (float(mean), max(0.05, float(own[long, 0].std())), max(0.5, float(((own[:, 0] - mean) * own[:, 1] ** 0.5)[~long].std()) if (~long).any() else 0.5))
     return out
 
 
@@ -279,11 +327,11 @@ def identifier(spec: bytes) -> Identifier:
     key = hashlib.md5(spec).hexdigest()
     if key not in _identifiers:
         _identifiers.clear()
-        _identifiers[key] = pickle.loads(spec)
+        _identifiers[key] = pickle.loads(spec).load()
     return _identifiers[key]
 
 
-def identify(df: DataFrame, found: Identifier, text: str = "text") -> DataFrame:
+def identify(df: DataFrame, found: Fitted, text: str = "text") -> DataFrame:
     """Add lang_pred, score, cross_entropy and rejected to every row."""
     spec = df.sparkSession.sparkContext.broadcast(pickle.dumps(found))
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
