@@ -211,11 +211,22 @@ def train(toxic: list[set[str]], clean: list[set[str]], landmarks: int = 256, ro
         for t in texts:
             count.update({g for u in t for g in grams(u)})
     # a gram speaks for toxicity if it is in enough toxic texts, and in as many times more of them than of clean ones
+    # (by six standard deviations more often than chance would have it)
     least = max(3.0, 0.005 * len(toxic))
-    ratio = {g: np.log(n / len(toxic)) - np.log((good[g] + 1) / len(clean)) for g, n in bad.items() if n >= least}
+
+    def beyond_chance(count: Counter, other: Counter) -> set[str]:
+        chance = {x: len(toxic) * (other[x] + 1) / len(clean) for x in count}
+        return {x for x, n in count.items() if n > chance[x] + 6 * chance[x] ** 0.5}
+
+    clear = beyond_chance(bad, good)
+    ratio = {g: np.log(n / len(toxic)) - np.log((good[g] + 1) / len(clean)) for g, n in bad.items() if n >= least and g in clear}
     base = np.log(len(clean) / len(toxic))
     df_bad, df_good = Counter(u for t in toxic for u in t), Counter(u for t in clean for u in t)
-    first = {u: max((ratio.get(g, -9.0) for g in grams(u)), default=-9.0) for u in df_bad if u not in df_good}
+    # words of clean texts may be witnesses too if toxic texts hold them four times as often and beyond chance;
+    # what single labels get wrong is left to the margin
+    clear = beyond_chance(df_bad, df_good)
+    free = {u for u, n in df_bad.items() if u not in df_good or u in clear and n / len(toxic) > 4 * (df_good[u] + 1) / len(clean)}
+    first = {u: max((ratio.get(g, -9.0) for g in grams(u)), default=-9.0) for u in free}
     negatives = [u for u, _ in df_good.most_common(4000)]
     clean_units = sorted(df_good)
     rest = sorted(set(df_good) - set(negatives))
@@ -226,7 +237,7 @@ def train(toxic: list[set[str]], clean: list[set[str]], landmarks: int = 256, ro
     for _ in range(rounds):
         witness = Counter()
         for t in toxic:
-            own = sorted(u for u in t if u not in df_good)
+            own = sorted(u for u in t if u in free)
             if own:
                 s = score(own)
                 witness.update([own[i] for i in np.flatnonzero((s > cut) & (s > s.max() - spread))])

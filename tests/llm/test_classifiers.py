@@ -19,13 +19,16 @@ def test_grams_of_texts():
     assert [text(k) for k in key] == ["___a", "__ab", "_ab_", "ab_c", "b_c_", "___é", "__é_"] and sizes.tolist() == [5, 0, 0, 0, 2]
 
 
-def test_model_is_a_distribution_and_equals_plain_kneser_ney():
+def signed(key):
+    return key - (1 << 64) if key >= 1 << 63 else key
+
+
+def test_model_is_a_distribution_and_equals_plain_kneser_ney(spark):
     rng = random.Random(2)
     counts = Counter(tuple(rng.choice("abc_") for _ in range(4)) for _ in range(150))
     code = lambda g: sum((0 if c == "_" else ord(c)) << 16 * (len(g) - 1 - i) for i, c in enumerate(g))
-    keys = np.array(sorted(map(code, counts)), np.uint64)
-    back = {code(g): g for g in counts}
-    model = langid.fit_model(keys, np.array([counts[back[int(k)]] for k in keys]))
+    rows = [(lang, signed(code(g)), n) for lang in ("x", "y") for g, n in counts.items() if lang == "x" or n > 1]
+    model = langid.write_model(spark.createDataFrame(rows, "lang string, gram long, n long")).load().models[0]
     levels = {4: dict(counts)}
     for n in (3, 2, 1):
         levels[n] = Counter(g[1:] for g in levels[n + 1])
@@ -48,8 +51,9 @@ def test_model_is_a_distribution_and_equals_plain_kneser_ney():
     assert 0.5 < total <= 1 + 1e-9
 
 
-def test_memo_changes_nothing():
-    own = langid.Identifier({"x": langid.fit_model(np.arange(1, 500, dtype=np.uint64) * np.uint64(77777777777), np.arange(1, 500))})
+def test_memo_changes_nothing(spark):
+    rows = [("x", int(k) * 77777777777, int(k)) for k in range(1, 500)]
+    own = langid.write_model(spark.createDataFrame(rows, "lang string, gram long, n long")).load()
     rng = np.random.default_rng(1)
     key = rng.choice(np.arange(1, 800, dtype=np.uint64) * np.uint64(77777777777), 5000)
     langid.MEMO, before = 4, langid.MEMO
@@ -69,6 +73,57 @@ def test_op7_on_held_out_documents(spark):
     assert not any(r.rejected for r in rows)
 
 
+def test_op7_equals_plain_models(spark):
+    """Winner and cross-entropy of every document, from counts in plain dictionaries."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    levels = {}
+    for r in docs:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            levels.setdefault(r.lang, {4: Counter()})[4].update(langid.grams([r.text])[0].tolist())
+    totals, discounts = {}, {}
+    for lang, own in levels.items():
+        for n in (3, 2, 1):
+            own[n] = Counter(g & (1 << 16 * n) - 1 for g in own[n + 1])
+        for n, table in own.items():
+            ones, twos = (sum(v == k for v in table.values()) for k in (1, 2))
+            discounts[lang, n] = min(0.9, max(0.1, ones / (ones + 2 * twos) if ones + twos else 0.5))
+            for g, v in table.items():
+                total, kinds = totals.get((lang, n, g >> 16), (0, 0))
+                totals[lang, n, g >> 16] = total + v, kinds + 1
+
+    def bits(lang, key):
+        p = 1 / (len(levels[lang][1]) + 1)
+        for n in (1, 2, 3, 4):
+            g = key & (1 << 16 * n) - 1
+            total, kinds = totals.get((lang, n, g >> 16), (0, 0))
+            if total:
+                d = discounts[lang, n]
+                p = max(levels[lang][n].get(g, 0) - d, 0) / total + d * kinds / total * p
+        return -math.log2(p)
+
+    texts = {r.doc_id: r.text for r in docs}
+    memo = {}
+    for r in op7_language(spark, "/root/testdata/sf0.001").collect():
+        keys = langid.grams([texts[r.doc_id]])[0].tolist()
+        if not keys:
+            assert r.lang_pred == "und" and r.score == 0
+            continue
+        for k in keys:
+            if k not in memo:
+                memo[k] = [bits(lang, k) for lang in sorted(levels)]
+        mean = [sum(col) / len(keys) for col in zip(*map(memo.get, keys))]
+        assert r.lang_pred == sorted(levels)[mean.index(min(mean))] and math.isclose(r.cross_entropy, min(mean), rel_tol=1e-4)
+
+
+def test_a_small_language_beside_large_ones(spark):
+    docs = spark.read.parquet(f"{MID}/documents.parquet").select("text", "lang")
+    rng = random.Random(8)
+    words = ["kaixo", "etxea", "gizona", "mendia", "txakurra", "zuhaitza", "ikastola", "arratsalde", "egun", "ura", "haurrak", "liburua", "eskerrik", "asko"]
+    few = [(" ".join(rng.choices(words, k=12)), "eu") for _ in range(50)]
+    model = langid.fit(docs.union(docs).union(docs).union(spark.createDataFrame(few[:30], "text string, lang string")))
+    assert {r.lang_pred for r in langid.identify(spark.createDataFrame(few[30:], "text string, lang string"), model).collect()} == {"eu"}
+
+
 def test_language_edges(spark, edge, empty):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     model = langid.fit(docs)
@@ -126,6 +181,33 @@ def test_insults_plain_gapped_and_inserted(scorer):
     assert max(own.predict(["", None, "123 !!"])) <= low + 0.5 and len(own.raw(["x" * 200_000])) == 1
 
 
+def labelled(rng, n_toxic, n_clean):
+    """Texts with two of three insults and texts without."""
+    vocabulary = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randrange(2, 10))) for _ in range(2000)]
+    insults = ["blockhead", "scoundrel", "numbskull"]
+    toxic = [" ".join([*rng.choices(vocabulary, k=30), *rng.sample(insults, 2)]) for _ in range(n_toxic)]
+    return toxic, [" ".join(rng.choices(vocabulary, k=40)) for _ in range(n_clean)]
+
+
+def auc(own, toxic, clean):
+    good, bad = own.predict(clean), own.predict(toxic)
+    return np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+
+
+def test_flipped_labels_cost_little():
+    unit = lambda t: {u for w in set(toxicity.words(t)) for u in toxicity.units(w)}
+    toxic, clean = labelled(random.Random(4), 300, 300)
+    found = []
+    for flip in (0, 10):                                    # of 200 of each kind
+        own = toxicity.train([unit(t) for t in toxic[flip:200] + clean[:flip]], [unit(t) for t in clean[flip:200] + toxic[:flip]], landmarks=64)
+        found.append(auc(own, toxic[200:], clean[200:]))
+    assert found[0] > 0.98 and found[1] > found[0] - 0.02
+    toxic, clean = labelled(random.Random(5), 150, 300)
+    clean[7] += " blockhead scoundrel numbskull"            # one clean text quotes every insult
+    own = toxicity.train([unit(t) for t in toxic], [unit(t) for t in clean], landmarks=64)
+    assert auc(own, toxic, clean[8:]) > 0.98 and np.mean(np.array(own.predict(toxic)) >= 0.7) > 0.95
+
+
 def test_collapsed_scores_equal_kernel_expansion(scorer):
     own, vocabulary, _ = scorer
     words = [f"^{w}$" for w in [*vocabulary[:50], "blockhead"]]
@@ -141,7 +223,7 @@ def test_op6_on_held_out_documents(spark):
     assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     good, bad = [s for s, y in held if y == 0], [s for s, y in held if y == 1]
-    assert np.mean([b > g for b in bad for g in good]) > 0.75       # some 30 toxic texts in four languages to learn from
+    assert np.mean([b > g for b in bad for g in good]) > 0.84       # some 30 toxic texts in four languages to learn from
 
 
 def test_toxicity_edges(spark, edge, empty):
