@@ -47,6 +47,7 @@ SINGLE = 32                      # below so many shingles one shared bucket is e
 SHORT = 12                       # texts of up to so many shingles share buckets by what removals leave of them
 SMALL = 16                       # buckets up to this size are compared pair by pair
 SMALL_KEY = 64                   # and groups of a hub and a key, whose pairs mostly fail a condition on numbers
+BITS = 256                       # of the map of a text's differences to a hub
 ROUNDS = 2                       # of hubs and keys
 BROADCAST_ROWS = 500_000         # keys of about 40 bytes
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -303,6 +304,19 @@ def keys_of(hub: np.ndarray, own: np.ndarray, threshold: float) -> tuple[int, bo
     return d, outside, False, np.concatenate([added, removed])[:max(len(added), reach)]
 
 
+def bitmap(hub: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """One bit for each shingle that only one of two texts has, of `BITS` by its hash."""
+    at = np.setxor1d(hub, own) % np.uint64(BITS)
+    out = np.zeros(BITS // 64, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def not_in(p: str, q: str):
+    """At least so many differences of one text the other lacks: bits that only its map has."""
+    return sum(F.bit_count(F.get(F.col(p), F.lit(i)).bitwiseAND(F.bitwise_not(F.get(F.col(q), F.lit(i))))) for i in range(BITS // 64))
+
+
 def differences(met: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """For every hub `a` and node `b`: linked, and how and by which keys the node differs from the hub."""
     def run(batches):
@@ -316,14 +330,14 @@ def differences(met: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 h = shingles(words(tb.as_py()))
                 d, outside, far, keys = keys_of(marks, labelled(h), threshold)
                 linked = not outside and alignment(hub, h, threshold)
-                out.append((a.as_py(), b.as_py(), linked, outside, far, len(h), d, keys.view(np.int64)))
+                out.append((a.as_py(), b.as_py(), linked, outside, far, len(h), d, keys.view(np.int64), bitmap(marks, labelled(h)).view(np.int64)))
             columns = list(zip(*out)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_()), ("outside", pa.bool_()), ("far", pa.bool_()),
-                        ("n", pa.int32()), ("d", pa.int32()), ("keys", pa.list_(pa.int64()))])
+                        ("n", pa.int32()), ("d", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
     return side_by_side(met, texts).mapInArrow(
-        run, "a binary, b binary, linked boolean, outside boolean, far boolean, n int, d int, keys array<long>")
+        run, "a binary, b binary, linked boolean, outside boolean, far boolean, n int, d int, keys array<long>, bits array<long>")
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -353,7 +367,8 @@ def hub_rounds(member: DataFrame, roots: DataFrame, texts: DataFrame, threshold:
     derive from, so that what they have beside it is their own. Of the others, pairs with no key in common (see
     `keys_of`) aren't linked; those with one meet in a group of the hub and the key: pair by pair up to
     `SMALL_KEY` members, and whatever their number in the last round, else in the next round with a hub of their
-    own. A pair goes on only if the places of the key in both lists allow a link. Members that hold what the
+    own. A pair goes on only if the places of the key in both lists allow a link, and if bit maps of all their
+    differences do: bits that only one map has are differences the two don't share. Members that hold what the
     hub holds and yet aren't linked (their order differs) meet all that are as near in the next round, and
     after the last in every pair across classes (`every_hub`)."""
     for left in reversed(range(ROUNDS)):
@@ -368,16 +383,18 @@ def hub_rounds(member: DataFrame, roots: DataFrame, texts: DataFrame, threshold:
         roots = merged(roots, met.filter("linked").select("a", "b"))
         root_of = roots.select(F.col("node").alias("b"), "root")
         met = met.join(root_of, "b", "left").withColumn("root", F.coalesce("root", "b"))
-        keyed = met.select("a", F.posexplode("keys").alias("at", "key"), F.col("b").alias("node"), "root", "n", "d", "outside", "far")
+        keyed = met.select("a", F.posexplode("keys").alias("at", "key"), F.col("b").alias("node"), "root", "n", "d", "outside", "far", "bits")
         groups = (keyed.groupBy("a", "key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outside").alias("any"))
                   .filter("m > 1 and lo != hi and any").select("a", "key", "m"))
         keyed = materialise(keyed.join(groups, ["a", "key"]), "omh-keys")
         few = keyed.filter(F.col("m") <= SMALL_KEY) if left else keyed
-        x, y = (few.select("a", "key", *[F.col(c).alias(c + side) for c in ("node", "root", "n", "d", "at", "outside", "far")]) for side in "xy")
-        common = F.greatest(F.lit(1), F.ceil((F.col("dx") + F.col("dy") - (1 - threshold) / (1 + threshold) * (F.col("nx") + F.col("ny"))) / 2 - 1e-9))
+        x, y = (few.select("a", "key", *[F.col(c).alias(c + side) for c in ("node", "root", "n", "d", "at", "outside", "far", "bits")]) for side in "xy")
+        need = F.ceil((F.col("dx") + F.col("dy") - (1 - threshold) / (1 + threshold) * (F.col("nx") + F.col("ny"))) / 2 - 1e-9)
+        common = F.greatest(F.lit(1), need)
+        alike = (F.col("dx") - not_in("bitsx", "bitsy") >= need) & (F.col("dy") - not_in("bitsy", "bitsx") >= need)
         meet = (F.col("farx") | F.col("fary")
                 | ((F.col("outsidex") | F.col("outsidey")) & (F.col("atx") <= F.col("dx") - common) & (F.col("aty") <= F.col("dy") - common)))
-        pairs = (x.join(y, ["a", "key"]).filter((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", threshold) & meet)
+        pairs = (x.join(y, ["a", "key"]).filter((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", threshold) & meet & alike)
                  .select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct())
         roots = merged(roots, materialise(verified(pairs, texts, threshold), "omh-links"))
         again = (keyed.filter((F.col("m") > SMALL_KEY) & F.lit(left > 0)).select(F.xxhash64("a", "key").alias("bucket"), "node", "n", spread("node").alias("u")))
