@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from paywarden.operators import cases as cs
 from paywarden.operators import features as ft
 from paywarden.operators import monitor as mo
 from paywarden.operators import reports as rp
-from paywarden.session import materialise
+from paywarden.session import materialise, stage_folder
 from paywarden.sources import events as ev
 from paywarden.sources import ingest as ig
 from paywarden.sources import tables as st
@@ -273,7 +274,7 @@ S6_SQL = scored_sql("SELECT transaction_id, action, lower(risk_level) AS risk_le
 def s8(spark, d):
     """Written by week, read back with a filter that touches one week."""
     f = fact(spark, d).select("transaction_id", "tx_time", "action", "amount_usd")
-    path = f"{materialise(f.limit(1), 'fact-week').inputFiles()[0].rsplit('/', 1)[0]}-table"
+    path = f"{stage_folder(spark).rstrip('/')}/fact-week-{uuid.uuid4().hex}"
     st.append_fact(f, path)
     week = spark.read.parquet(path).filter("event_week = DATE '2024-01-08'")
     return week.groupBy("action").agg(F.count("*").alias("n"), F.round(F.sum("amount_usd"), 2).alias("amount_usd"))

@@ -8,6 +8,7 @@ from paywarden.functions.columns import DAY_US, MICROS, at_least_zero, epoch_us
 from paywarden.operators.features import (AGENT, DEVICE, INPUT_COLUMNS, MERCHANT, NO_HISTORY_S, PROVINCE,
                                           WALLET, _links, build_features)
 from paywarden.plans.scan import DEFAULT_POLICY, SkewPolicy, running
+from paywarden.session import materialise
 
 
 def _before(tx: DataFrame, until: str | None) -> DataFrame:
@@ -101,11 +102,12 @@ def incremental_features(batch: DataFrame, history: DataFrame, users: DataFrame,
     """Features of `batch` given the stored `history`: the rows of history that share a user, device,
     wallet or agent with the batch are replayed with it, so the values equal a full replay."""
     columns = [c for c in INPUT_COLUMNS]
-    past = history.select(*columns)
-    touched = None
+    batch = materialise(batch.select(*columns), "batch")        # its keys and rows are read several times
+    shared, touched = F.lit(False), history.select(*columns)
     for key in ("user_id", "device_id", "counterparty_id", "agent_id"):
-        part = past.join(batch.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_semi")
-        touched = part.select(*columns) if touched is None else touched.unionByName(part.select(*columns))
+        keys = batch.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(f"__{key}", F.lit(True))
+        touched, shared = touched.join(keys, key, "left"), shared | F.col(f"__{key}").isNotNull()
+    touched = touched.filter(shared)
     ids = batch.select("transaction_id")
     needed = touched.dropDuplicates(["transaction_id"]).join(ids, "transaction_id", "left_anti")
     rows = needed.select(*columns).unionByName(batch.select(*columns))

@@ -96,7 +96,8 @@ class Crowd(StatefulProcessor):
         yield from self.at_agent(batch) if kind == AGENT else self.ever(kind, batch)
 
     def ever(self, kind: str, batch: list[Row]) -> Iterator[Row]:
-        n = self.size.get()[0] if self.size.exists() else 0
+        size = self.size.get()          # every call to the state is a round trip: none to ask whether it exists
+        n = size[0] if size else 0
         before, known = n, {}
         for r in batch:
             if r.who not in known:
@@ -159,15 +160,17 @@ class UserPast(StatefulProcessor):
             linked.setdefault(r.id, {})[r.kind] = r
             if r.body is not None:
                 batch.append(r)
-        s = dict(zip(STATE, self.counters.get())) if self.counters.exists() else {
+        counters = self.counters.get()
+        s = dict(zip(STATE, counters)) if counters else {
             n: 0.0 if n in SUMS else 0 if n in ("n", "nights", "devices") else None for n in STATE}
-        recent = deque(tuple(r) for r in self.recent.get()) if self.recent.exists() else deque()
+        recent = deque(tuple(r) for r in self.recent.get()) if counters else deque()
         uses: dict[str, list[int]] = {}         # entity: uses so far, uses as stored
 
         def use(entity: str) -> int:
             """Earlier uses; counts this one."""
             if entity not in uses:
-                n = self.uses.getValue((entity,))[0] if self.uses.containsKey((entity,)) else 0
+                found = self.uses.getValue((entity,)) if counters else None      # a new user has none
+                n = found[0] if found else 0
                 uses[entity] = [n, n]
             uses[entity][0] += 1
             return uses[entity][0] - 1

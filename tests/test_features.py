@@ -110,3 +110,20 @@ def test_sequences(fixture, cut_everything, cut):
         want = [None] * (4 - len(seen[-4:])) + seen[-4:]
         assert got[r["transaction_id"]].sequence == want
         assert got[r["transaction_id"]].mask == [w is not None for w in want]
+
+
+def test_the_transactions_are_computed_once(fixture, spark):
+    rows, tx, users = fixture
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = tx.mapInArrow(count, tx.schema)
+    assert ft.build_features(counted, users).count() == len(rows) and seen.value == len(rows)
+    seen.value = 0
+    late = counted.filter("timestamp >= TIMESTAMP_NTZ '2025-03-15'")
+    sn.incremental_features(late, tx.filter("timestamp < TIMESTAMP_NTZ '2025-03-15'"), users, "2025-03-01 00:00:00").count()
+    assert seen.value == len(rows)

@@ -103,3 +103,32 @@ def test_random_forest_and_downsampling(rows):
     kept = md.downsample_negatives(df)
     n0, n1 = (df.filter(f"y = {c}").count() for c in (0, 1))
     assert kept.filter("y = 1").count() == n1 and 0.15 * n0 < kept.filter("y = 0").count() < 0.45 * n0
+
+
+def test_sequences_equal_a_plain_replay_with_nulls_and_runs(spark):
+    """Batches of three rows; a user over several runs; a null feature takes the weights of all rows that see it."""
+    import math
+    from paywarden.plans.scan import SkewPolicy
+    rows = [("a" if i % 7 else ("b" if i % 2 else None), i, f"t{i:05d}", math.sin(i), None if i in (40, 400, 1500) else float(i % 5)) for i in range(2600)]
+    df = spark.createDataFrame(rows, "user_id string, timestamp long, transaction_id string, x double, y double").repartition(3)
+    want, past = {}, {}
+    for user, _, key, x, y in rows:
+        seen = past.setdefault(user, [])
+        seen.append((x, y))
+        last = seen[-10:]
+        if any(v[1] is None for v in last):
+            want[key] = ([None] * 10, 0.0, 0.0)
+            continue
+        raw = [math.exp(-0.5 * (len(last) - 1 - i) - ((x - p) ** 2 + (y - q) ** 2) / 2) for i, (p, q) in enumerate(last)]
+        w = [r / sum(raw) for r in raw]
+        want[key] = ([0.0] * (10 - len(w)) + w, sum(a * v[0] for a, v in zip(w, last)), sum(a * v[1] for a, v in zip(w, last)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        for policy in (SkewPolicy(), SkewPolicy(min_rows=60, max_slices=64, sample_per_slice=4, small_bytes=0)):
+            got = md.sequence_features(df, ["x", "y"], policy=policy).collect()
+            assert len(got) == len(rows)
+            for r in got:
+                weights, x, y = want[r.transaction_id]
+                assert r.attention == (weights if weights[0] is None else pytest.approx(weights)) and (r.seq_x, r.seq_y) == pytest.approx((x, y))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
