@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.feature_queries import rounded
 from checks.report_queries import CASES, case_table
-from checks.scored import fact, scored_sql, stored_fact
+from checks.scored import DECIDING, fact, scored_sql, stored_fact
 from checks.tables import duck, transactions
 from paywarden.functions.ids import canonical_id, to_local_naive
 from paywarden.operators import audit as au
@@ -308,9 +308,12 @@ K1_SQL = scored_sql("SELECT transaction_id, user_id, risk_level, action, 'OUVERT
 HOOKS = {"VODACOM": "https://vodacom.example/hook", "ORANGE": "https://orange.example/hook"}
 
 
+CASE = ["transaction_id", "event_id", "tx_time", "scored_at", "user_id", "channel", "tx_type", "amount_usd", "fraud_probability", "risk_level", "action"]
+
+
 def _alert_rows(spark, d):
     """Alerts with the critical level given to some, which the rule score alone never reaches."""
-    return fact(spark, d).filter("action <> 'APPROVE'").withColumn(
+    return fact(spark, d, DECIDING).filter("action <> 'APPROVE'").withColumn(
         "risk_level", F.when(F.col("event_id") % 5 == 0, "CRITIQUE").otherwise(F.col("risk_level")))
 
 
@@ -326,7 +329,8 @@ K2_SQL = scored_sql("""SELECT transaction_id, 'SMS' AS notify_channel, coalesce(
 
 def k2_email(spark, d):
     """Subject and text for the critical alerts whose case is new."""
-    rows = _alert_rows(spark, d).withColumn("case_id", F.col("event_id"))
+    rows = _alert_rows(spark, d).select(*CASE, "operator", "amount", "currency", "location_province", "reason", "rules_triggered")
+    rows = materialise(rows, "alerts").withColumn("case_id", F.col("event_id"))
     opened = cs.open_cases(rows, case_table(rows).filter("case_id % 3 = 0"))
     mails = cs.opened_only(rows.filter("risk_level = 'CRITIQUE'"), opened)
     return mails.select("transaction_id", cs.email_subject().alias("subject"), cs.email_text(F.array(F.lit("a"), F.lit("b"))).alias("body"))
@@ -340,7 +344,7 @@ K2_EMAIL_SQL = scored_sql("""SELECT transaction_id, concat('[CRITIQUE] Dossier #
 
 
 def k3(spark, d):
-    return fact(spark, d).select("transaction_id", cs.sms_text().alias("sms"))
+    return fact(spark, d, DECIDING).select("transaction_id", cs.sms_text().alias("sms"))
 
 
 K3_SQL = scored_sql("""SELECT transaction_id, CASE action WHEN 'VERIFY' THEN concat('Operation de ', a, ' en attente. Si c''est bien vous, confirmez avec votre PIN sur le menu *1#. Sinon, ne faites rien et appelez le service client.')
@@ -349,7 +353,7 @@ K3_SQL = scored_sql("""SELECT transaction_id, CASE action WHEN 'VERIFY' THEN con
 
 
 def k4(spark, d):
-    f = materialise(_alert_rows(spark, d), "alerts")
+    f = materialise(_alert_rows(spark, d).select(*CASE, "wallet_id", "operator"), "alerts")
     events = cs.opened_audit_events(case_table(f), cs.notification_plan(f, HOOKS))
     return events.select("event_id", "actor", "action", "entity", "entity_id",
                          F.element_at("details", F.lit("risk_level")).alias("risk"), F.element_at("details", F.lit("notifications")).alias("notifications"))

@@ -56,6 +56,19 @@ def test_features_equal_replay_with_ties(fixture):
     check(ft.build_features(tx, users, precise=True), replay(rows, USERS_ROWS))
 
 
+@pytest.mark.parametrize("names", [["is_new_device", "tx_count_1h", "is_new_province"], ["agent_n_users_24h", "is_new_merchant"], ["tx_count_24h"]])
+def test_fewer_features_are_the_same_and_skip_other_links(fixture, cut_everything, names):
+    rows, tx, users = fixture
+    want = {key: {n: row[n] for n in names} for key, row in replay(rows, USERS_ROWS).items()}
+    df = ft.build_features(tx, users, precise=True, names=names)
+    assert [c for c in df.columns if c in ft.FEATURE_NAMES] == [n for n in ft.FEATURE_NAMES if n in names]
+    check(df, want)
+    check(ft.build_features(tx, users, precise=True, names=names, policy=cut_everything), want)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    crowds = ("seen" in plan(df), "seen" in plan(ft.build_features(tx, users, names=ft.FEATURE_NAMES)))
+    assert crowds == ("agent_n_users_24h" in names, True)
+
+
 def test_features_equal_replay_when_every_large_key_is_cut(fixture, cut_everything):
     rows, tx, users = fixture
     check(ft.build_features(tx, users, precise=True, policy=cut_everything), replay(rows, USERS_ROWS))

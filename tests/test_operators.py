@@ -12,8 +12,10 @@ from paywarden.operators import evaluate as ev
 from paywarden.operators import labels as lb
 from paywarden.operators import reports as rp
 from paywarden.operators.decision import Policy, decide
+from paywarden.session import materialise
 from paywarden.sources import ingest as ig
 from paywarden.sources import tables as st
+from tests.conftest import SF
 
 FEATURES = "tx_type string, channel string, fraud_probability double, amount_usd double, is_new_device double, is_near_full_drain double, amount_to_kyc_limit double, is_new_province double"
 
@@ -202,3 +204,18 @@ def test_fixed_schema_and_missing_file(spark, tmp_path):
     assert st.read_users(spark, path, "csv").first().user_id == "243917538864"
     with pytest.raises(Exception):
         st.read_users(spark, str(tmp_path / "absent")).count()
+
+
+def test_emails_and_case_events_compute_the_features_once(spark, monkeypatch):
+    from checks import flow_queries as fq
+    stored = []
+
+    def keep(df, name):
+        stored.append((name, df.columns))
+        return materialise(df, name)
+    monkeypatch.setattr(fq, "materialise", keep)
+    for query in (fq.k2_email, fq.k4):
+        stored.clear()
+        df = query(spark, SF)
+        assert [name for name, _ in stored] == ["alerts"] and "hour_sin" not in stored[0][1]
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()      # reads what was written
