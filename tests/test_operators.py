@@ -219,3 +219,26 @@ def test_emails_and_case_events_compute_the_features_once(spark, monkeypatch):
         df = query(spark, SF)
         assert [name for name, _ in stored] == ["alerts"] and "hour_sin" not in stored[0][1]
         assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()      # reads what was written
+
+
+def test_drift_table_is_sorted_once_and_edges_equal_numpy(spark, cut_everything):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    sets = {"ties": np.round(rng.normal(size=900), 1), "wide": rng.normal(size=700), "one": np.array([2.5]), "flag": (rng.random(300) < 0.1) * 1.0}
+    rows = [(k, float(v)) for k, x in sets.items() for v in x]
+    ref = spark.createDataFrame(rows, "feature string, value double")
+    cur = spark.createDataFrame([(k, v + 0.3) for k, v in rows[::2]], "feature string, value double")
+    for policy in (dr.DEFAULT_POLICY, cut_everything):
+        table = dr.value_table(ref, cur, policy)
+        got = {r.feature: r.edges for r in dr.quantile_edges(table).collect()}
+        assert got.keys() == sets.keys()
+        for name, x in sets.items():
+            want = [float(v) for v in np.unique(np.quantile(x, np.arange(11) / 10))][1:-1]
+            assert got[name] == pytest.approx(want, abs=1e-12)
+        values = {r.feature: r.psi for r in dr.psi(table).collect()}
+        edges = np.array(got["wide"])
+        share = lambda x: np.maximum(np.bincount(np.searchsorted(edges, x, "right"), minlength=10) / len(x), dr.FLOOR)
+        r, c = share(sets["wide"]), share(np.array([v for k, v in cur.collect() if k == "wide"]))
+        assert values["wide"] == pytest.approx(((c - r) * np.log(c / r)).sum())
+        for result in (dr.psi(table), dr.ks_2samp(table)):
+            assert "Window" not in result._jdf.queryExecution().optimizedPlan().toString()
