@@ -18,8 +18,8 @@ cases of 10 000 (at 0.85 in 2 of 100 000; in 2 of 1 000 at 0.8 with some 36 shin
 buckets, or one of over `SMALL` members, or one if a text has fewer than 32 shingles. Texts of up to `SHORT` shingles, whose
 picks would be nearly the whole text, always share a bucket with those of them they're linked with. Large buckets never meet as all pairs: each
 member is compared with one hub, a bucket whose members ended in one class is done, and of the others only
-those can be linked that differ from the hub alike (`keys_of`): they meet by shared differences, in small
-groups pair by pair, in large ones with a hub again. So no link between two classes is lost, a class of
+those can be linked that differ from the hub alike (`keys_of`): they meet by shared differences, of which those
+around one word or place are one key (`key_groups`), in small groups pair by pair, in large ones with a hub again. So no link between two classes is lost, a class of
 thousands costs one comparison per member, and texts that each differ from the hub in their own way cost
 one too. Links only join what earlier rounds left apart. Buckets of unlike texts that share a passage shrink
 with the sixth power of its share of the text.
@@ -47,6 +47,7 @@ SINGLE = 32                      # below so many shingles one shared bucket is e
 SHORT = 12                       # texts of up to so many shingles share buckets by what removals leave of them
 SMALL = 16                       # buckets up to this size are compared pair by pair
 SMALL_KEY = 64                   # and groups of a hub and a key, whose pairs mostly fail a condition on numbers
+BLOCK = 16                       # neighbouring shingles of a hub that are one key where a text lacks them
 BITS = 256                       # of the map of a text's differences to a hub
 ROUNDS = 2                       # of hubs and keys
 BROADCAST_ROWS = 500_000         # keys of about 40 bytes
@@ -64,15 +65,24 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def shingles(found: list[str]) -> np.ndarray:
-    """Hash of every run of five words, in text order."""
+def word_hashes(found: list[str]) -> np.ndarray:
+    """Hash of every word."""
     take_over("order_minhash", _hashes)
     if len(_hashes) > 150_000:
         _hashes.clear()
     known = _hashes
     for w in set(found).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+
+
+def shingles(found: list[str]) -> np.ndarray:
+    """Hash of every run of five words, in text order."""
+    return runs(word_hashes(found))
+
+
+def runs(h: np.ndarray) -> np.ndarray:
+    """Hash of every run of five word hashes."""
     if len(h) <= WORDS:
         total = np.array([len(h)], np.uint64)
         for i in range(len(h)):
@@ -293,15 +303,33 @@ def keys_of(hub: np.ndarray, own: np.ndarray, threshold: float) -> tuple[int, bo
     order (what the hub lacks first), each text's first |x ^ hub| - o + 1 hold a common one. A text that lacks
     nothing of its plain prefix (|x| - threshold * |x| + 1 shingles) outside the hub meets any text it's linked
     with there. What is returned covers both for every possible partner."""
+    return key_groups(hub, own, threshold, hub, own)[:4]
+
+
+def key_groups(hub: np.ndarray, own: np.ndarray, threshold: float, hub_lead: np.ndarray, own_lead: np.ndarray) -> tuple[int, bool, bool, np.ndarray, np.ndarray, np.ndarray]:
+    """As `keys_of` with the differences ordered by their leads, and these leads with the place of the first
+    difference of each. A lead is a number that follows from the shingle and the hub alone, so texts with a
+    common difference have its lead in common."""
     share, n, m = (1 - threshold) / (1 + threshold), len(own), len(hub)
-    added, removed = np.setdiff1d(own, hub), np.setdiff1d(hub, own)
+    new, gone = ~np.isin(own, hub), ~np.isin(hub, own)
+    added, removed = own[new], hub[gone]
     d = len(added) + len(removed)
     prefix = n - int(np.ceil(threshold * n - 1e-9)) + 1
     outside = d > share * (n + m) + 1e-9
-    if len(added) >= prefix:
-        return d, outside, True, added[:prefix]
-    reach = int((d + share * (n + m if outside else n - m)) / 2 + 1 + 1e-9)
-    return d, outside, False, np.concatenate([added, removed])[:max(len(added), reach)]
+    far = len(added) >= prefix
+    reach = prefix if far else max(len(added), int((d + share * (n + m if outside else n - m)) / 2 + 1 + 1e-9))
+    first, then = np.lexsort((added, own_lead[new])), np.lexsort((removed, hub_lead[gone]))
+    keys = np.concatenate([added[first], removed[then]])[:reach]
+    leads = np.concatenate([own_lead[new][first], hub_lead[gone][then]])[:reach]
+    places = np.flatnonzero(np.concatenate([[True], leads[1:] != leads[:-1]])[:len(leads)])
+    return d, outside, far, keys, leads[places], places
+
+
+def word_leads(h: np.ndarray, of_hub: np.ndarray) -> np.ndarray:
+    """For every run of five word hashes the smallest of them, words that the hub lacks first. Neighbouring runs
+    mostly have it in common: a new word leads all runs that hold it."""
+    rank = h >> np.uint64(1) | np.isin(h, of_hub).astype(np.uint64) << np.uint64(63)
+    return np.lib.stride_tricks.sliding_window_view(rank, min(WORDS, len(rank))).min(axis=1)
 
 
 def bitmap(hub: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -321,23 +349,26 @@ def differences(met: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     """For every hub `a` and node `b`: linked, and how and by which keys the node differs from the hub."""
     def run(batches):
         for batch in batches:
-            last, hub, marks = None, None, None
+            last, hub, marks, of_hub, places_of_hub = None, None, None, None, None
             out = []
             for a, b, ta, tb in zip(*(batch.column(c) for c in ("a", "b", "ta", "tb"))):
                 if a != last:
-                    last, hub = a, shingles(words(ta.as_py()))
-                    marks = labelled(hub)
-                h = shingles(words(tb.as_py()))
-                d, outside, far, keys = keys_of(marks, labelled(h), threshold)
+                    last, of_hub = a, word_hashes(words(ta.as_py()))
+                    hub = runs(of_hub)
+                    marks, places_of_hub = labelled(hub), np.arange(len(hub), dtype=np.uint64) // np.uint64(BLOCK)
+                found = word_hashes(words(tb.as_py()))
+                h = runs(found)
+                own = labelled(h)
+                d, outside, far, keys, leads, places = key_groups(marks, own, threshold, places_of_hub, word_leads(found, of_hub))
                 linked = not outside and alignment(hub, h, threshold)
-                out.append((a.as_py(), b.as_py(), linked, outside, far, len(h), d, keys.view(np.int64), bitmap(marks, labelled(h)).view(np.int64)))
+                out.append((a.as_py(), b.as_py(), linked, outside, far, len(h), d, keys.view(np.int64), leads.view(np.int64), places, bitmap(marks, own).view(np.int64)))
             columns = list(zip(*out)) or [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_()), ("outside", pa.bool_()), ("far", pa.bool_()),
-                        ("n", pa.int32()), ("d", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+                        ("n", pa.int32()), ("d", pa.int32()), ("keys", pa.list_(pa.int64())), ("leads", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64()))])
     return side_by_side(met, texts).mapInArrow(
-        run, "a binary, b binary, linked boolean, outside boolean, far boolean, n int, d int, keys array<long>, bits array<long>")
+        run, "a binary, b binary, linked boolean, outside boolean, far boolean, n int, d int, keys array<long>, leads array<long>, places array<int>, bits array<long>")
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -360,14 +391,22 @@ def still_open(member: DataFrame, roots: DataFrame) -> DataFrame:
     return materialise(tagged.join(mixed, "bucket", "left_semi"), "omh-open")
 
 
+def several(keyed: DataFrame, name: str) -> DataFrame:
+    """The members of a hub and a key (a, key, node, root, outside) among which a link may be found, with their number."""
+    groups = (keyed.groupBy("a", "key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outside").alias("any"))
+              .filter("m > 1 and lo != hi and any").select("a", "key", "m"))
+    return materialise(keyed.join(groups, ["a", "key"]), name)
+
+
 def hub_rounds(member: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """`roots` after the links of large buckets (bucket, node, n, u).
 
     A round compares all members of a bucket with its hub, the one that is in most buckets: a text most others
     derive from, so that what they have beside it is their own. Of the others, pairs with no key in common (see
-    `keys_of`) aren't linked; those with one meet in a group of the hub and the key: pair by pair up to
-    `SMALL_KEY` members, and whatever their number in the last round, else in the next round with a hub of their
-    own. A pair goes on only if the places of the key in both lists allow a link, and if bit maps of all their
+    `keys_of`) aren't linked; those with one meet in a group of the hub and the key's lead (see `key_groups`), so
+    that a changed word is one row, or in one of the hub and the key itself if the lead has more than `SMALL_KEY`
+    members: pair by pair up to that number, and whatever their number in the last round, else in the next round
+    with a hub of their own. A pair goes on only if the two share a difference of the lead, if its places in both lists allow a link, and if bit maps of all their
     differences do: bits that only one map has are differences the two don't share. Members that hold what the
     hub holds and yet aren't linked (their order differs) meet all that are as near in the next round, and
     after the last in every pair across classes (`every_hub`)."""
@@ -383,25 +422,30 @@ def hub_rounds(member: DataFrame, roots: DataFrame, texts: DataFrame, threshold:
         roots = merged(roots, met.filter("linked").select("a", "b"))
         root_of = roots.select(F.col("node").alias("b"), "root")
         met = met.join(root_of, "b", "left").withColumn("root", F.coalesce("root", "b"))
-        keyed = met.select("a", F.posexplode("keys").alias("at", "key"), F.col("b").alias("node"), "root", "n", "d", "outside", "far", "bits")
-        groups = (keyed.groupBy("a", "key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("outside").alias("any"))
-                  .filter("m > 1 and lo != hi and any").select("a", "key", "m"))
-        keyed = materialise(keyed.join(groups, ["a", "key"]), "omh-keys")
-        few = keyed.filter(F.col("m") <= SMALL_KEY) if left else keyed
-        x, y = (few.select("a", "key", *[F.col(c).alias(c + side) for c in ("node", "root", "n", "d", "at", "outside", "far", "bits")]) for side in "xy")
+        kept = [F.col("b").alias("node"), "root", "n", "d", "outside", "far", "bits"]
+        listed = (met.select("a", F.posexplode("leads").alias("i", "key"), "keys", "places", *kept).withColumn("at", F.get("places", "i"))
+                  .withColumn("part", F.slice("keys", F.col("at") + 1, F.coalesce(F.get("places", F.col("i") + 1), F.size("keys")) - F.col("at"))))
+        few = several(listed.drop("i", "keys", "places"), "omh-leads")
+        if left:
+            # leads of many members are taken apart: their differences are keys of their own
+            apart = few.filter(F.col("m") > SMALL_KEY).drop("key", "m").select("*", F.posexplode("part").alias("i", "key"))
+            keyed = several(apart.withColumn("at", F.col("at") + F.col("i")).withColumn("part", F.array("key")).drop("i"), "omh-keys")
+            few = few.unionByName(keyed).filter(F.col("m") <= SMALL_KEY)
+        x, y = (few.select("a", "key", *[F.col(c).alias(c + side) for c in ("node", "root", "n", "d", "at", "part", "outside", "far", "bits")]) for side in "xy")
         need = F.ceil((F.col("dx") + F.col("dy") - (1 - threshold) / (1 + threshold) * (F.col("nx") + F.col("ny"))) / 2 - 1e-9)
         common = F.greatest(F.lit(1), need)
         alike = (F.col("dx") - not_in("bitsx", "bitsy") >= need) & (F.col("dy") - not_in("bitsy", "bitsx") >= need)
         meet = (F.col("farx") | F.col("fary")
                 | ((F.col("outsidex") | F.col("outsidey")) & (F.col("atx") <= F.col("dx") - common) & (F.col("aty") <= F.col("dy") - common)))
-        pairs = (x.join(y, ["a", "key"]).filter((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", threshold) & meet & alike)
+        pairs = (x.join(y, ["a", "key"]).filter((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & near("nx", "ny", threshold) & meet & alike & F.arrays_overlap("partx", "party"))
                  .select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct())
         roots = merged(roots, materialise(verified(pairs, texts, threshold), "omh-links"))
-        again = (keyed.filter((F.col("m") > SMALL_KEY) & F.lit(left > 0)).select(F.xxhash64("a", "key").alias("bucket"), "node", "n", spread("node").alias("u")))
         reordered = met.filter("not linked and not outside").select("a").distinct()
         within = (met.filter("not outside").join(reordered, "a", "left_semi")
                   .select(F.xxhash64("a", F.lit("order")).alias("bucket"), F.col("b").alias("node"), "n", (spread("b") + F.col("linked").cast("int")).alias("u")))
-        member = again.union(within)
+        member = within
+        if left:
+            member = member.union(keyed.filter(F.col("m") > SMALL_KEY).select(F.xxhash64("a", "key").alias("bucket"), "node", "n", spread("node").alias("u")))
     return every_hub(member, roots, texts, threshold)
 
 

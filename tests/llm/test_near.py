@@ -125,6 +125,61 @@ def test_linked_texts_share_a_key_of_their_hub():
     assert linked > 50 and met < 0.2 * others
 
 
+def test_linked_texts_share_a_lead_and_a_difference_of_it():
+    """As their keys do; a changed word is one lead, and `key_groups` lists the differences that `keys_of` may list."""
+    rng = random.Random(41)
+    linked = leads = keys = 0
+    for _ in range(40):
+        base = rng.choices(VOCABULARY[:rng.choice([5, 3000])], k=rng.randrange(8, 130))
+        of_hub = order_minhash.word_hashes(base)
+        hub = order_minhash.labelled(order_minhash.runs(of_hub))
+        places = np.arange(len(hub), dtype=np.uint64) // np.uint64(order_minhash.BLOCK)
+        group = []
+        for _ in range(25):
+            source = base if rng.random() < 0.6 or not group else rng.choice(group)[0]
+            own = edited(rng, source, rng.randrange(1, max(2, len(base) // 12)), [f"p{i}" for i in range(30)])
+            h = order_minhash.shingles(own)
+            found = order_minhash.key_groups(hub, order_minhash.labelled(h), 0.8, places, order_minhash.word_leads(order_minhash.word_hashes(own), of_hub))
+            plain = order_minhash.keys_of(hub, order_minhash.labelled(h), 0.8)
+            assert found[:3] == plain[:3] and len(found[3]) == len(plain[3])
+            parts = {k: (at, set(part.tolist())) for k, at, part in zip(found[4].tolist(), found[5].tolist(), np.split(found[3], found[5][1:]))}
+            group.append((own, h, found, parts))
+            leads, keys = leads + len(found[4]), keys + len(plain[3])
+        for i, (_, x, (dx, outside_x, far_x, *_), of_x) in enumerate(group):
+            for _, y, (dy, outside_y, far_y, *_), of_y in group[:i]:
+                if (outside_x or outside_y) and order_minhash.alignment(x, y, 0.8):
+                    linked += 1
+                    need = max(1, int(np.ceil((dx + dy - (len(x) + len(y)) / 9) / 2 - 1e-9)))
+                    assert any(of_x[k][1] & of_y[k][1] and (far_x or far_y or (of_x[k][0] <= dx - need and of_y[k][0] <= dy - need)) for k in of_x.keys() & of_y.keys())
+    assert linked > 50 and leads < 0.5 * keys
+
+
+def test_a_changed_word_is_listed_once(spark, monkeypatch):
+    """The rows that a hub's members are listed in grow with their edits, not with five shingles gained and lost by each."""
+    rng = random.Random(43)
+    base = rng.choices(VOCABULARY, k=120)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 90):
+        own = list(base)
+        for at in rng.sample(range(5, 115), 4):
+            own[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(own)))
+    listed = []
+
+    def counted(df, name):
+        done = materialise(df, name)
+        if name == "omh-differences":
+            column = "leads" if "leads" in done.columns else "keys"
+            listed.append(done.agg(order_minhash.F.sum(order_minhash.F.size(column))).first()[0] / done.count())
+        return done
+
+    materialise = order_minhash.materialise
+    monkeypatch.setattr(order_minhash, "materialise", counted)
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain_classes(rows) and listed
+    assert max(listed) < 4 * 4
+
+
 @pytest.mark.parametrize("rounds", [2, 1, 0])
 def test_variants_below_the_threshold_of_their_original(spark, monkeypatch, rounds):
     """A large group whose members are mostly not linked with the hub, some with each other, some only reordered."""
