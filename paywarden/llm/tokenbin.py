@@ -19,7 +19,7 @@ written as often as they occur. An empty table gives no files and no rows. Extra
 from __future__ import annotations
 
 import hashlib
-import re
+import string
 import struct
 import uuid
 from collections.abc import Iterator
@@ -31,13 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paywarden.llm.common import WordTable, file_system, new_folder, slices, spaced_words, take_over, write_file
+from paywarden.llm.common import WordTable, file_system, new_folder, slices, take_over, write_file
 
 MAGIC = b"PWTP"
 BLOCK = 1 << 16
 ENTRIES = 800_000               # words a worker keeps
-#: Between a letter and one of these marks, or a line end and a letter, byte-level patterns always cut.
-WORD_END = re.compile(r"(?<=[A-Za-z])(?=[.,;:!?])|(?<=\n)(?=[A-Za-z])")
+#: Between a letter and one of these marks, or a line end and a letter, byte-level patterns always cut (if the
+#: line end is all of its white space: of a longer run they cut off what comes before the last character).
+LETTER, MARK = (np.isin(np.arange(256), np.frombuffer(c, np.uint8)) for c in (string.ascii_letters.encode(), b".,;:!?"))
 _encoders: dict[str, WordTable] = {}
 
 
@@ -153,11 +154,33 @@ def encoder(spec: str) -> WordTable:
     return _encoders[key]
 
 
+def cut_words(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """All texts' words in a row, and where each text's words begin and end. A text is cut where byte-level
+    patterns always cut, and before every single space unless it has spaces that follow each other, as a run
+    of white space is one piece. All these places are beside ASCII characters, so bytes show them."""
+    joined = pa.array(texts, pa.string())
+    ends, data = joined.buffers()[1:]
+    ends = np.frombuffer(ends, np.int32, len(texts) + 1)
+    raw = np.frombuffer(data, np.uint8, ends[-1]) if ends[-1] else np.zeros(0, np.uint8)
+    cut, space, letter = np.zeros(len(raw) + 1, bool), raw == ord(" "), LETTER[raw]
+    cut[:-1] = space
+    twice = np.flatnonzero(space[1:] & space[:-1])
+    text = np.searchsorted(ends, twice, "right") - 1
+    for i in np.unique(text[twice + 1 < ends[text + 1]]):
+        cut[ends[i]:ends[i + 1]] = False
+    cut[1:-1] |= letter[:-1] & MARK[raw[1:]]
+    cut[2:-1] |= ((raw > 32) & (raw < 127))[:-2] & (raw == ord("\n"))[1:-1] & letter[2:]
+    cut[ends] = True
+    starts = np.flatnonzero(cut[:-1])
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int32)), pa.py_buffer(raw))
+    return np.searchsorted(starts, ends), words
+
+
 def encode_texts(spec: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text (uint32)."""
-    words = spaced_words(texts, WORD_END)
-    sizes, (ids,) = encoder(spec).look_up(words.flatten())
-    bounds = np.concatenate([[0], np.cumsum(sizes)])[words.offsets.to_numpy()].tolist()
+    places, words = cut_words(texts)
+    sizes, (ids,) = encoder(spec).look_up(words)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])[places].tolist()
     ids = ids.view(np.uint32)
     return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 

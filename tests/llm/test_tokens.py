@@ -126,3 +126,18 @@ def test_file_encoder_where_every_mark_is_taken(library):
     marks = "\x1e\x1f" + "".join(map(chr, range(0xE000, 0xE100)))
     texts = ["one two  three", marks + " and more", "", " x"]
     assert [x.tolist() for x in tokenbin.encode_texts(spec, texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(PIECES | st.lists(st.sampled_from(["a", "Zz", " ", "  ", ".", ",!", "\n", "é", "😀", "\x1e", ""]), max_size=12).map("".join), max_size=6))
+def test_words_are_cut_beside_ascii_only(library, texts):
+    """The words of a text joined are the text, its ids are the library's, and only texts with spaces that
+    follow each other keep them together."""
+    places, words = tokenbin.cut_words(texts)
+    words = words.to_pylist()
+    spec = open(tokenizer_path(), encoding="utf-8").read()
+    for text, a, b, ids in zip(texts, places, places[1:], tokenbin.encode_texts(spec, texts)):
+        assert "".join(words[a:b]) == text and all(words[a:b])
+        assert "  " in text or not any(" " in w[1:] for w in words[a:b])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(places) == len(texts) + 1 and places[-1] == len(words)
