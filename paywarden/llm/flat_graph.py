@@ -125,20 +125,22 @@ def shards(nodes: DataFrame, found: dict[int, np.ndarray], threshold: float) ->
 def prune(x: np.ndarray, of: np.ndarray, pool: np.ndarray) -> np.ndarray:
     """Robust pruning of each node's pool (-1 pads): the nearest stays, and removes those it is nearer to
     by ALPHA than the node is. Returns (nodes, DEGREE), -1 padded."""
+    if len(of) > 128:           # what is compared at once stays in the processor's cache
+        return np.concatenate([prune(x, of[i:i + 128], pool[i:i + 128]) for i in range(0, len(of), 128)])
     v = x[np.maximum(pool, 0)]
-    own = 2 - 2 * np.einsum("bcd,bd->bc", v, x[of])
-    between = 2 - 2 * np.einsum("bcd,bed->bce", v, v)
-    alive = (pool >= 0) & (pool != of[:, None])
+    own = 2 - 2 * (v @ x[of][:, :, None])[:, :, 0]
+    between = ALPHA ** 2 * (2 - 2 * (v @ v.transpose(0, 2, 1)))
+    left = np.where((pool >= 0) & (pool != of[:, None]), own, np.inf)
     out = np.full((len(of), DEGREE), -1, np.int64)
     rows = np.arange(len(of))
     for r in range(DEGREE):
-        at = np.where(alive, own, np.inf).argmin(1)
-        ok = alive[rows, at]
+        at = left.argmin(1)
+        ok = left[rows, at] < np.inf
         if not ok.any():
             break
         out[ok, r] = pool[rows, at][ok]
-        alive &= ~((ALPHA ** 2 * between[rows, at] <= own) & ok[:, None])
-        alive[rows, at] = False
+        left[between[rows, at] <= own] = np.inf
+        left[rows, at] = np.inf
     return out
 
 
@@ -148,7 +150,7 @@ def greedy(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, beam: in
     (`own`, -1 without): (ids, similarities) of the beam, and the visited matrix."""
     n = len(q)
     ids = np.full((n, beam), -1, np.int64)
-    sim = np.full((n, beam), -np.inf)
+    sim = np.full((n, beam), -np.inf, x.dtype)
     done = np.ones((n, beam), bool)
     visited = np.zeros((n, len(x)), bool)
     ids[:, 0], sim[:, 0], done[:, 0] = entry, q @ x[entry], False
@@ -164,8 +166,10 @@ def greedy(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, beam: in
         done[active, at] = True
         near = graph[here]
         fresh = (near >= 0) & ~visited[active[:, None], np.maximum(near, 0)]
-        visited[np.repeat(active, near.shape[1]), np.maximum(near, 0).ravel()] |= fresh.ravel()
-        value = np.where(fresh, np.einsum("nkd,nd->nk", x[np.maximum(near, 0)], q[active]), -np.inf)
+        asker, found = np.repeat(active, fresh.sum(1)), near[fresh]
+        visited[asker, found] = True
+        value = np.full(near.shape, -np.inf, sim.dtype)
+        value[fresh] = np.einsum("nd,nd->n", x[found], q[asker])
         all_sim = np.hstack([sim[active], value])
         order = np.argsort(-all_sim, axis=1, kind="stable")[:, :beam]
         rows = np.arange(len(active))[:, None]
@@ -181,6 +185,7 @@ def build(x: np.ndarray, seed: int = 5) -> np.ndarray:
     searches the whole graph again for every node, with its list as a start."""
     n = len(x)
     graph = np.full((n, DEGREE), -1, np.int64)
+    x = x.astype(np.float32)                # a graph needs no more; links are verified in double precision
     entry = medoid(x)
     order = np.random.default_rng(seed).permutation(n)
     order = np.concatenate([[entry], order[order != entry]])
@@ -219,7 +224,8 @@ def back(x: np.ndarray, graph: np.ndarray, batch: np.ndarray) -> None:
         pool[row, DEGREE + col] = source[np.repeat(f, c) + col]
         pool = pool[:, np.argsort(-(pool >= 0).sum(0), kind="stable")]
         # the nearest POOL + DEGREE of a long list are pruned; the others' own lists still lead there
-        own_sim = np.where(pool >= 0, np.einsum("bcd,bd->bc", x[np.maximum(pool, 0)], x[own]), -np.inf)
+        own_sim = np.full(pool.shape, -np.inf, x.dtype)
+        own_sim[pool >= 0] = np.einsum("nd,nd->n", x[pool[pool >= 0]], x[np.repeat(own, (pool >= 0).sum(1))])
         best = np.argsort(-own_sim, axis=1, kind="stable")[:, :POOL + DEGREE]
         pool = np.take_along_axis(pool, best, 1)
         graph[own] = prune(x, own, pool)

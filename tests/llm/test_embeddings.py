@@ -116,6 +116,25 @@ def test_linked_pairs_share_a_cell(threshold):
     assert not all(np.intersect1d(a, b).size for a, b in narrow)
 
 
+def test_pruning_equals_a_plain_loop_in_little_memory():
+    import tracemalloc
+    rng = np.random.default_rng(6)
+    x = flat_graph.unit(rng.normal(size=(3000, 64)) + 2 * rng.normal(size=(60, 64))[rng.integers(0, 60, 3000)])
+    pool = rng.integers(-1, 3000, (3000, 88))
+    of = np.arange(3000)
+    tracemalloc.start()
+    got = flat_graph.prune(x, of, pool)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6              # all at once: over 300 MB
+    for i in range(0, 3000, 97):
+        left, want = {int(j): 2 - 2 * x[i] @ x[j] for j in pool[i] if j >= 0 and j != i}, []
+        while left and len(want) < flat_graph.DEGREE:
+            want.append(min(left, key=left.get))
+            left = {j: d for j, d in left.items() if j != want[-1] and flat_graph.ALPHA ** 2 * (2 - 2 * x[want[-1]] @ x[j]) > d}
+        assert [j for j in got[i] if j >= 0] == want
+
+
 def test_edge_vectors(spark):
     a = [1.0, 0.0, 0.0]
     rows = [(1, a, 1), (2, a, 1), (2, a, 1), (3, a, 2), (4, None, 1), (5, [], 1), (6, [0.0, 0.0, 0.0], 1), (7, [1.0, None, 0.0], 1), (8, [1.0, float("nan"), 0.0], 1),
