@@ -105,6 +105,18 @@ def test_random_forest_and_downsampling(rows):
     assert kept.filter("y = 1").count() == n1 and 0.15 * n0 < kept.filter("y = 0").count() < 0.45 * n0
 
 
+def test_random_forest_keeps_the_node_of_a_row_and_grows_the_same_trees(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    df = spark.createDataFrame([(f"t{i}", (i * 37 % 101) / 10, (i * 53 % 97) / 10, int(i * 31 % 7 == 0)) for i in range(600)], "transaction_id string, a double, b double, y int")
+    forest = md.train_random_forest(df, ["a", "b"], trees=6)
+    assert forest.stages[-1].getCacheNodeIds()          # or every round sends all trees to all tasks, which walk them from the root
+    plain = RandomForestClassifier(featuresCol="vector", labelCol="y", weightCol="weight", numTrees=6, minInstancesPerNode=md.MIN_LEAF,
+                                   featureSubsetStrategy="sqrt", maxDepth=30, seed=42)
+    other = Pipeline(stages=[md.assemble(["a", "b"]), plain]).fit(md.balanced_weights(df))
+    assert forest.stages[-1].toDebugString.split("\n")[1:] == other.stages[-1].toDebugString.split("\n")[1:]
+
+
 def test_sequences_equal_a_plain_replay_with_nulls_and_runs(spark):
     """Batches of three rows; a user over several runs; a null feature takes the weights of all rows that see it."""
     import math
