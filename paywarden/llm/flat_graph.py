@@ -2,7 +2,8 @@
 
     vectors ── equal ones of a label become one node with a count
             ── cells: the nearest of K centres and every cell whose border lies within the margin
-            ── shard = (label, cell), cut into blocks of `BLOCK` nodes where it is larger
+            ── screen: nodes that some other node of their shard comes near to, in single precision
+            ── shard = (label, cell), cut into blocks of `BLOCK` of these nodes where it is larger
     build   ── per block: batches are inserted by greedy search from the medoid, robust pruning
                (degree `DEGREE`, slack `ALPHA`), reverse edges pruned again
     union   ── a node's adjacency lists of all its shards become one list
@@ -14,8 +15,12 @@
 The margin is half the largest distance of two linked vectors, sqrt((1 - threshold) / 2): of a linked pair on
 two sides of a border one vector lies within it, so every linked pair shares a cell.
 
+The screen compares the nodes of a shard by matrix products, a small part of what a graph over them costs. A node
+with none at `threshold` less `RANGE`, how far the search expands, has no links, and no other node's expansion
+comes to it; the graphs hold the rest. Shards of more than `TILE` values are compared tile by tile.
+
 Centres come from a hashed sample of about `SAMPLE` nodes; every vector is indexed and every vector is a
-query. Memory of a task is bounded by the block size, whatever a label or a cell holds; a task returns a count
+query. Memory of a task is bounded by the sizes of block and tile, whatever a label or a cell holds; a task returns a count
 per node and a spanning forest of its links (fewer edges than nodes), never pairs. `audit` measures recall
 against brute force.
 
@@ -36,10 +41,11 @@ from paywarden.session import materialise
 
 SAMPLE, CELL_NODES, MAX_CELLS = 20_000, 40_000, 5_000
 BLOCK, DEGREE, BEAM, ALPHA, POOL = 8_192, 24, 32, 1.2, 64
+RANGE, TILE, COMPARED = 0.03, 1 << 22, 1 << 23          # TILE: vector components; COMPARED: pairs at once
 NODE = "node binary, label int, embedding array<float>, n long"
 
 
-def unit(rows: list) -> np.ndarray:
+def unit(rows: list | np.ndarray) -> np.ndarray:
     v = np.array(rows, np.float64)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
@@ -122,6 +128,66 @@ def shards(nodes: DataFrame, found: dict[int, np.ndarray], threshold: float) ->
     return nodes.mapInArrow(run, f"{NODE}, cells array<long>").withColumn("cell", F.explode("cells"))
 
 
+def screened(member: DataFrame, threshold: float) -> DataFrame:
+    """The rows of nodes that another node of one of their shards is near to."""
+    shard = ["label", "cell"]
+    sizes = member.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) * F.shiftright("cell", 32) / TILE).cast("int").alias("tiles"))
+    tiled = (member.select("node", "embedding", *shard).join(sizes, shard)
+             .withColumn("tile", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
+    pairs = tiled.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+    found = pairs.groupBy(*shard, "low", "high").applyInArrow(near_tiles(threshold - RANGE), "node binary")
+    return member.join(materialise(found.distinct(), "vector-near"), "node", "left_semi")
+
+
+def near_tiles(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Nodes of a tile, or of two, that one of the tile, or of the other one, is near to."""
+        x = unit(matrix(table.column("embedding"))).astype(np.float32)
+        tile, low = table.column("tile").to_numpy(), table.column("low")[0].as_py()
+        near = np.zeros(len(x), bool)
+        if low == table.column("high")[0].as_py():
+            near |= near_itself(x, least)
+        else:
+            a, b = np.flatnonzero(tile == low), np.flatnonzero(tile != low)
+            near[a], near[b] = near_each_other(x[a], x[b], least)
+        return pa.table({"node": table.column("node").filter(pa.array(near))})
+
+    return run
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = np.concatenate([c.flatten().to_numpy() for c in column.chunks])
+    return flat.reshape(len(column), -1)
+
+
+def near_itself(x: np.ndarray, least: float) -> np.ndarray:
+    near = np.zeros(len(x), bool)
+    step = max(1, min(1024, COMPARED // len(x)))
+    for i in range(0, len(x), step):        # each pair once
+        own, rest = x[i:i + step], x[i + step:]
+        hit = own @ own.T >= least
+        np.fill_diagonal(hit, False)
+        near[i:i + step] |= hit.any(1)
+        if len(rest):
+            a, b = near_each_other(own, rest, least)
+            near[i:i + step] |= a
+            near[i + step:] |= b
+    return near
+
+
+def near_each_other(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    of_a, of_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    step = max(1, min(1024, COMPARED // max(1, len(b))))
+    for i in range(0, len(a), step):
+        hit = a[i:i + step] @ b.T >= least
+        rows = np.flatnonzero(hit.any(1))
+        of_a[i + rows] = True
+        of_b |= hit[rows].any(0)
+    return of_a, of_b
+
+
 def prune(x: np.ndarray, of: np.ndarray, pool: np.ndarray) -> np.ndarray:
     """Robust pruning of each node's pool (-1 pads): the nearest stays, and removes those it is nearer to
     by ALPHA than the node is. Returns (nodes, DEGREE), -1 padded."""
@@ -269,6 +335,7 @@ def links(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label
         F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("n")), "vector-nodes")
     total = nodes.count()
     member = materialise(shards(nodes, centres(nodes, total), threshold), "vector-shards")
+    member = materialise(screened(member, threshold), "vector-screened")
     sizes = member.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     member = materialise(member.join(sizes, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "vector-blocks")
     lists = materialise(member.groupBy("label", "cell", "part").applyInArrow(build_block, "node binary, near array<binary>"), "vector-lists")
@@ -331,10 +398,11 @@ def search_block(threshold: float):
         weight = np.array([n[i] for i in g])
         first = np.array([min(cells_of[i]) == cell for i in g])
         count, asked, edge_a, edge_b = [], [node[i] for i in ask], [], []
+        walked, asking = x.astype(np.float32), q.astype(np.float32)          # as the graphs were built; links are verified in double precision
         group = np.arange(len(g))                  # of graph nodes that this block's links connect so far
         for start in range(0, len(ask), 512):
             part = q[start:start + 512]
-            seen = in_range(x, graph, part, threshold - 0.03, np.array([place.get(node[i], -1) for i in ask[start:start + 512]]))
+            seen = in_range(walked, graph, asking[start:start + 512], threshold - RANGE, np.array([place.get(node[i], -1) for i in ask[start:start + 512]]))
             for k in range(len(part)):
                 i = ask[start + k]
                 at = np.flatnonzero(seen[k])

@@ -152,3 +152,39 @@ def test_op3_and_audit(spark):
     assert got == plain([(r.vec_id, r.embedding, r.label) for r in vectors.collect()])
     hit, true = flat_graph.audit(vectors, found)
     assert hit >= 0.9 * true
+
+
+@pytest.mark.parametrize("tile", [1 << 22, 40 * 32])
+def test_graphs_hold_only_nodes_that_another_is_near_to(spark, monkeypatch, tile):
+    monkeypatch.setattr(flat_graph, "TILE", tile)
+    monkeypatch.setattr(flat_graph, "COMPARED", 64 * 7)
+    monkeypatch.setattr(flat_graph, "CELL_NODES", 100)
+    rng = np.random.default_rng(12)
+    v = [*clusters(rng, 300, 8, 5, 0.012), *rng.normal(size=(2, 4))]
+    order = rng.permutation(len(v))
+    rows = [(int(i), v[j].astype(np.float32).tolist(), int(j % 2) if j >= 40 else 1) for i, j in enumerate(order)]
+    written = {}
+
+    def kept(df, name, put=flat_graph.materialise):
+        written[name] = put(df, name)
+        return written[name]
+
+    monkeypatch.setattr(flat_graph, "materialise", kept)
+    found = flat_graph.links(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(3))
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in found.collect()), key=repr) == plain(rows)
+    near = {w[0] for w in plain(rows, 0.98 - 0.03) if w[1]}
+    vectors = {tuple(r[1]): r[0] for r in rows}
+    assert {vectors[tuple(r.embedding)] for r in written["vector-blocks"].collect()} == near and 0 < len(near) < 60
+
+
+@pytest.mark.parametrize("compared", [1, 300, 1 << 20])
+def test_near_pairs_by_products_equal_all_pairs(monkeypatch, compared):
+    monkeypatch.setattr(flat_graph, "COMPARED", compared)
+    x = flat_graph.unit(clusters(np.random.default_rng(2), 60, 5, 4, 0.02)).astype(np.float32)
+    near = x.astype(float) @ x.T.astype(float) >= 0.95
+    np.fill_diagonal(near, False)
+    assert flat_graph.near_itself(x, 0.95).tolist() == near.any(1).tolist()
+    a, b = x[::2], x[1::2]
+    got = flat_graph.near_each_other(a, b, 0.95)
+    assert [g.tolist() for g in got] == [near[::2, 1::2].any(1).tolist(), near[::2, 1::2].any(0).tolist()]
+    assert flat_graph.near_itself(x[:1], 0.95).tolist() == [False]
