@@ -116,3 +116,89 @@ def test_idle_keys_lose_their_windows(spark, tmp_path):
     state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "recent").load(str(tmp_path / "idle"))
     users = {r.key.who for r in state.select("key").collect()}
     assert users <= {"U9"}
+
+
+class Calls:
+    """A key's state variables in plain dicts, counting the round trips."""
+
+    def __init__(self):
+        self.made, self.vars = 0, {}
+
+    def getMapState(self, name, *schema):
+        return Variable(self, self.vars.setdefault(name, {}))
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.made += 1
+
+
+class Variable:
+    def __init__(self, calls, held):
+        self.calls, self.held = calls, held
+
+    def getValue(self, key):
+        self.calls.made += 1
+        return self.held.get(key)
+
+    def get(self):
+        return self.getValue(None)
+
+    def updateValue(self, key, value):
+        self.calls.made += 1
+        self.held[key] = value
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def removeKey(self, key):
+        self.calls.made += 1
+        self.held.pop(key, None)
+
+    def iterator(self):
+        self.calls.made += 1
+        return iter(list(self.held.items()))
+
+
+def test_entries_in_buckets_equal_a_dict_and_are_dealt_anew(monkeypatch):
+    monkeypatch.setattr(online, "BUCKET", 4)
+    rng, state, want = random.Random(3), Calls(), {}
+    packed = online.Packed(state.getMapState("m"))
+    for step in range(60):
+        packed.open(len(want))
+        if rng.random() < 0.2:
+            assert packed.all() == want
+        for _ in range(rng.randrange(30)):
+            name = rng.choice(["é", "", "a b", "\ud800"]) + str(rng.randrange(40 if step < 40 else 4))
+            assert packed.get(name) == want.get(name)
+            if rng.random() < (0.6 if step < 30 else 0.2):
+                packed.put(name, step)
+                want[name] = step
+            elif name in want:
+                packed.drop(name)
+                del want[name]
+        packed.save()
+        assert packed.n == len(want) and set(state.vars["m"]) <= {(i,) for i in range(packed.buckets_for(len(want)))}
+    packed.open(len(want))
+    assert packed.all() == want and 0 < len(want) < 80
+
+
+def test_a_batch_of_a_key_makes_few_calls_to_the_state():
+    def device_row(i, user):
+        carried = '{"amount":5.0,"la":1.5,"cents":500,"debit":1,"night":0,"sin":0.1,"cos":0.9,"topup":0,"status":"SUCCESS","province":"P%d"}' % (i % 7)
+        return online.Linked("D", f"D{i % 40}", user, datetime(2024, 1, 1), 10 ** 9 * i, f"T{i}", carried, "{}", 3)
+
+    calls = Calls()
+    past = online.UserPast(None)
+    past.init(calls)
+    for batch in range(3):
+        out = list(past.handleInputRows(("U1",), iter([device_row(i, "U1") for i in range(200 * batch, 200 * batch + 200)]), None))
+        assert len(out) == 200
+    assert calls.made <= 3 * 8
+    calls = Calls()
+    crowd = online.Crowd()
+    crowd.init(calls)
+    for batch in range(3):
+        rows = [online.Linked("C", "W1", f"U{i % 90}", datetime(2024, 1, 1), 10 ** 9 * i, f"T{i}", None, None) for i in range(200 * batch, 200 * batch + 200)]
+        out = list(crowd.handleInputRows(("C", "W1"), iter(rows), None))
+    assert [r.others for r in out] == [89] * 200 and calls.made <= 3 * 4
